@@ -1,12 +1,55 @@
-"""A corpus pipeline of the operators in tessera.llm (stages follow)."""
+"""A training-corpus pipeline: five stages, each an operator of tessera.llm applied to all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tessera.llm import exact_dedup, language_id, mixing, near_dedup, pieces
+from tessera.llm.common import stash, table
+
+#: A document is rejected if its language is undetermined or holds less than this share of its letters.
+MIN_LANGUAGE_SHARE = 0.4
+#: The mix is as large as its input, in tokens.
+MIX_BUDGET = 1.0
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = language_id.identify(docs, language_id.learn(docs))
+    kept = marked.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return kept.select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_distinct(docs).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one_of_each(docs).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs.withColumn("domain", mixing.source_family(F.col("source"))), budget=MIX_BUDGET).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encoded_with_check(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+#: Models and sketches have no SQL form; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

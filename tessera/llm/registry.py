@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, sharding, url_filter
+from . import ann, exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op2_quality": quality.op2_quality,
+    "op3_pieces": pieces.op3_pieces,
     "op4_sharding": sharding.op4_sharding,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_pii": pii.op6_pii,
+    "op7_ann": ann.op7_ann,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
