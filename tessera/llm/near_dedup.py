@@ -13,16 +13,18 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stash, table
 
 WORDS, BANDS, KEPT, SIMILARITY, SEED = 5, 20, 4, 0.8, 29
 #: Words whose hashes a worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 #: A digest with more than this share of the rows is joined by broadcast; at most 1/HOT_SHARE such digests exist.
 HOT_SHARE = 0.001
+#: Pivots of a bucket in each round.
+PIVOTS = (1, 4, 8)
 
 
 class _Hashes(dict):
@@ -115,7 +117,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
-        for pdf in frames:
+        for pdf in (frame.iloc[i : i + 1000] for frame in frames for i in range(0, len(frame), 1000)):
             digest, size, bands, seq = [], [], [], []
             for text in pdf["text"]:
                 words = text.lower().split() if isinstance(text, str) else []
@@ -158,6 +160,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _ordered(a: Column, b: Column, df: DataFrame) -> DataFrame:
+    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def merge_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(row, comp) after more links: only components meet, so later rounds are small."""
+    if labels is None:
+        return components(links)
+    if not links.take(1):
+        return labels
+    of = lambda c: labels.select(F.col("row").alias(c), F.col("comp").alias(f"{c}_comp"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = components(named.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a != b"))
+    known = labels.join(joined.select(F.col("row").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("row", F.coalesce("now", "comp").alias("comp"))
+    new = joined.join(labels.select("row"), "row", "left_anti")
+    return stash(known.unionByName(new), "labels")
+
+
+def _open_buckets(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows, with comp, of buckets that hold more than one component."""
+    if labels is None:
+        return shared.withColumn("comp", F.col("row"))
+    named = shared.join(labels, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    several = named.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band", "key")
+    return named.join(several, ["band", "key"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``id_col`` (long), class_id (least id of its class), class_size, kept, text_hash.
 
@@ -166,9 +195,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat it, one. A null id stays only if its class has no other. Other columns are ignored; an empty table gives an
     empty result.
 
-    Within the rows that share a sketch, all are compared with the first one; those that it is not linked with are then
-    compared with all that are not yet in their class. So no candidate pair of different classes goes unchecked, and a
-    large group of copies costs one comparison each."""
+    Candidates are decided in rounds. First, in each bucket of rows with the same sketch, all are compared with a few
+    pivots (PIVOTS, a round each), which gathers a large group of copies by comparisons that grow with its size only.
+    Then all pairs that still are in different classes and share two sketches are compared, found by an equi-join on both,
+    so that a passage that many texts share makes no pairs of them. Two texts of similarity 0.8 share two of the 20
+    sketches with probability 0.9996."""
     marks = stash(fingerprints(docs, id_col, text_col), "prints")
     first = F.struct(F.col("id").isNull().alias("blank"), "id", "row")
     groups = stash(marks.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "groups")
@@ -176,24 +207,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     picked = marks.filter("n > 0").select("row", "n", "bands").join(reps, "row", "left_semi")
     bands = stash(picked.select("row", "n", F.posexplode("bands").alias("band", "key")), "bands")
     bucket = ["band", "key"]
-    centers = bands.groupBy(*bucket).agg(F.min(F.struct("row", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1").select(*bucket, F.col("c.row").alias("center"), F.col("c.n").alias("center_n"))
-    shared = stash(bands.join(centers, bucket), "shared")
+    full = bands.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(*bucket)
+    shared = stash(bands.join(full, bucket), "shared")
     fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
     seqs = marks.select("row", "seq")
-    star = shared.filter((F.col("row") != F.col("center")) & fits(F.col("n"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("row").alias("b")).distinct()
-    links = stash(linked(star, seqs, threshold), "links")
-    labels = components(links)
-    # what a bucket's first row did not draw in
-    mine = labels.select("row", "comp")
-    named = shared.join(mine, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    named = stash(named.join(mine.select(F.col("row").alias("center"), F.col("comp").alias("center_comp")), "center", "left").withColumn("center_comp", F.coalesce("center_comp", "center")), "named")
-    step = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(threshold)))
-    out = named.filter("comp != center_comp").select(*bucket, F.col("row").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc"), F.explode(F.array(step - 1, step, step + 1)).alias("step"))
-    rest = named.filter("row != center").select(*bucket, F.col("row").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"), step.alias("step"), (F.col("comp") != F.col("center_comp")).alias("both"))
-    open_pairs = out.join(rest, [*bucket, "step"]).filter((F.col("uc") != F.col("vc")) & (~F.col("both") | (F.col("u") < F.col("v"))) & fits(F.col("un"), F.col("vn")))
-    more = stash(linked(open_pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), seqs, threshold), "more")
-    if more.take(1):
-        labels = components(links.unionByName(more))
+    labels = None
+    for turn, k in enumerate(PIVOTS):
+        open_rows = _open_buckets(shared, labels)
+        draw = lambda i: F.struct(F.xxhash64(F.lit(turn * 100 + i), "row").alias("h"), "row", "n", "comp")  # noqa: B023, E731
+        pivots = open_rows.groupBy(*bucket).agg(F.array(*[F.min(draw(i)) for i in range(k)]).alias("pivots"))
+        meets = open_rows.join(pivots, bucket).select("row", "n", "comp", F.explode(F.array_distinct("pivots")).alias("p"))
+        meets = meets.filter((F.col("comp") != F.col("p.comp")) & fits(F.col("n"), F.col("p.n")))
+        labels = merge_labels(labels, stash(linked(_ordered(F.col("row"), F.col("p.row"), meets), seqs, threshold), "links"))
+    open_rows = stash(_open_buckets(shared, labels), "open")
+    main = open_rows.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("m")).groupBy(*bucket).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    again = shared.select("row", F.col("band").alias("band2"), F.col("key").alias("key2"))
+    twice = open_rows.join(main, bucket).join(again, "row").filter("band < band2")
+    rest = twice.filter("comp != main").select(*bucket, "band2", "key2", F.col("row").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc"))
+    every = twice.select(*bucket, "band2", "key2", F.col("row").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"), (F.col("comp") == F.col("main")).alias("in_main"))
+    apart = [F.col(f"r.{c}") == F.col(f"e.{c}") for c in (*bucket, "band2", "key2")] + [F.col("uc") != F.col("vc"), F.col("in_main") | (F.col("u") < F.col("v")), fits(F.col("un"), F.col("vn"))]
+    left = rest.alias("r").join(every.alias("e"), apart)
+    labels = merge_labels(labels, stash(linked(_ordered(F.col("u"), F.col("v"), left), seqs, threshold), "links"))
     named_groups = groups.join(labels.select("row", "comp"), groups["first.row"] == labels["row"], "left").select("digest", "first", "copies", F.coalesce("comp", "first.row").alias("comp"))
     named_groups = stash(named_groups, "classes")
     classes = named_groups.groupBy("comp").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))

@@ -16,9 +16,11 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -27,7 +29,7 @@ SEED, DROPOUT, VARIANTS = 5, 0.1, 4
 #: Different units that a worker remembers before it starts anew.
 CACHE = 150_000
 #: Characters and units worked on at once in a worker; longer units are cut one by one.
-SLICE, CHUNK, LONG = 1_500_000, 16_384, 32
+SLICE, CHUNK, LONG = 1_000_000, 16_384, 32
 SPACE = "▁"
 MASK = (1 << 64) - 1
 
@@ -337,16 +339,16 @@ class Encoder:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of about SLICE characters."""
+def slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about SLICE characters."""
     first = n = 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
+    for i, x in enumerate(lengths.tolist()):
+        n += x
         if n >= SLICE:
             yield first, i + 1
             first, n = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(lengths):
+        yield first, len(lengths)
 
 
 def decode_ids(ids, vocabulary: Vocabulary) -> str:
@@ -357,40 +359,61 @@ def decode_ids(ids, vocabulary: Vocabulary) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, model: str = MODEL) -> DataFrame:
-    """``docs`` with ``piece_ids`` (array of int), replacing a column of that name.
+def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+
+
+def _lists(ids: list[np.ndarray | None]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])]).astype(np.int32)
+    values = np.concatenate([x for x in ids if x is not None]) if any(x is not None for x in ids) else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array([x is None for x in ids]))
+
+
+def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, model: str = MODEL, check: bool = False) -> DataFrame:
+    """``docs`` with ``piece_ids`` (array of int), replacing a column of that name; with ``check`` also ``lossless``:
+    whether decoding them gives the text again.
 
     A null text gives null, an empty one an empty array. Rows that repeat id and text get the same pieces; a null id
-    counts as 0. Rows stay as they are; an empty table gives an empty result. ``model`` is read on the driver."""
-    base = docs.drop("piece_ids")
+    counts as empty. Rows stay as they are; an empty table gives an empty result. ``model`` is read on the driver."""
+    base = docs.drop("piece_ids", "lossless")
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
+    keyed = base.select(*base.columns, F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_key"))
 
-    @F.pandas_udf("array<int>")
-    def pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, seed, dropout, variants)
-        for texts, keys in batches:
-            texts, keys = [t if isinstance(t, str) else None for t in texts], [k & MASK for k in keys.tolist()]
-            out = [ids for a, b in slices(texts) for ids in encoder.encode([t or "" for t in texts[a:b]], keys[a:b])]
-            yield pd.Series([ids if t is not None else None for ids, t in zip(out, texts)], dtype=object)
+        for batch in batches:
+            texts, keys = batch.column("_text"), batch.column("_key").to_numpy()
+            batch = batch.select(base.columns)
+            for a, b in slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)):
+                some = texts.slice(a, b - a).to_pylist()
+                ids = encoder.encode([t or "" for t in some], [k & MASK for k in keys[a:b].tolist()])
+                out = _with(batch.slice(a, b - a), "piece_ids", _lists([i if t is not None else None for i, t in zip(ids, some)]))
+                if check:
+                    out = _with(out, "lossless", pa.array([t is None or decode_ids(i.tolist(), shared.value) == t for i, t in zip(ids, some)]))
+                yield out
 
-    return base.withColumn("piece_ids", pieces(F.col(text_col), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
+    schema = T.StructType([*base.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] + [T.StructField("lossless", T.BooleanType())] * check)
+    return keyed.mapInArrow(pieces, schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "piece_ids", to: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``encoded`` with the text that its pieces spell in column ``to``; null for null."""
+    """``encoded`` with the text that its pieces spell in column ``to`` (replaced if it is there); null for null."""
+    base = encoded.drop(to)
     shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(model))
 
-    @F.pandas_udf("string")
-    def spell(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else decode_ids(x.tolist(), shared.value) for x in ids], dtype=object)
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                some = batch.slice(a, 500)
+                yield _with(some, to, pa.array([None if x is None else decode_ids(x, shared.value) for x in some.column(ids_col).to_pylist()], pa.string()))
 
-    return encoded.withColumn(to, spell(F.col(ids_col)))
+    return base.mapInArrow(spell, T.StructType([*base.schema.fields, T.StructField(to, T.StringType())]))
 
 
 def encoded_with_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``id_col``, piece_ids, n_pieces, and whether decoding gives the text again (``lossless``)."""
-    both = decode(encode(docs.select(id_col, text_col), text_col, id_col, **options))
-    return both.select(id_col, "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), F.col("decoded").eqNullSafe(F.col(text_col)).alias("lossless"))
+    """``id_col``, piece_ids, n_pieces (0 for null) and ``lossless``."""
+    done = encode(docs.select(id_col, text_col), text_col, id_col, check=True, **options)
+    return done.select(id_col, "piece_ids", F.greatest(F.coalesce(F.size("piece_ids"), F.lit(0)), F.lit(0)).alias("n_pieces"), "lossless")
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
