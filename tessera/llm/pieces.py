@@ -379,11 +379,13 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
     keyed = base.select(*base.columns, F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_key"))
 
+    kept = base.columns
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, seed, dropout, variants)
         for batch in batches:
             texts, keys = batch.column("_text"), batch.column("_key").to_numpy()
-            batch = batch.select(base.columns)
+            batch = batch.select(kept)
             for a, b in slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)):
                 some = texts.slice(a, b - a).to_pylist()
                 ids = encoder.encode([t or "" for t in some], [k & MASK for k in keys[a:b].tolist()])
