@@ -23,8 +23,8 @@ WORDS, BANDS, KEPT, SIMILARITY, SEED = 5, 20, 4, 0.8, 29
 CACHE = 200_000
 #: A digest with more than this share of the rows is joined by broadcast; at most 1/HOT_SHARE such digests exist.
 HOT_SHARE = 0.001
-#: Pivots of a bucket in each round.
-PIVOTS = (1, 4, 8)
+#: Pivots of a bucket in each of the first rounds; rounds with central pivots, and their number.
+PIVOTS, CENTRAL_ROUNDS, CENTRAL = (1, 4), 1, 4
 
 
 class _Hashes(dict):
@@ -65,7 +65,7 @@ def sketches(s: np.ndarray) -> np.ndarray:
     if not len(s):
         return np.zeros(0, np.int64)
     if len(s) <= KEPT:
-        chosen = np.repeat(s[None], 1, axis=0)  # all of them: one sketch says it
+        chosen = np.repeat(s[None], BANDS, axis=0)  # all of them
     else:
         h = (s[None] ^ _salt) * _odd
         rows, at = np.arange(BANDS), np.empty((BANDS, KEPT), np.int64)
@@ -187,6 +187,32 @@ def _open_buckets(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(several, ["band", "key"])
 
 
+def _pivot_round(open_rows: DataFrame, labels: DataFrame | None, seqs: DataFrame, threshold: float, order: list[Column]) -> DataFrame:
+    """Compares the rows of each bucket with its pivots, the first row by each of ``order``, and merges components."""
+    bucket = ["band", "key"]
+    draw = lambda o: F.struct(o.alias("o"), "row", "n", "comp")
+    pivots = open_rows.groupBy(*bucket).agg(F.array(*[F.min(draw(o)) for o in order]).alias("pivots"))
+    pivots = pivots.select(*bucket, F.array_distinct(F.transform("pivots", lambda p: F.struct(p["row"].alias("row"), p["n"].alias("n"), p["comp"].alias("comp")))).alias("pivots"))
+    meets = open_rows.join(pivots, bucket).select("row", "n", "comp", F.explode("pivots").alias("p"))
+    near = F.least(F.col("n"), F.col("p.n")) >= threshold * F.greatest(F.col("n"), F.col("p.n")) - 1e-9
+    pairs = _ordered(F.col("row"), F.col("p.row"), meets.filter((F.col("comp") != F.col("p.comp")) & near))
+    return merge_labels(labels, stash(linked(pairs, seqs, threshold), "links"))
+
+
+def own_kmers(rows: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(row, own): how many k-mers of each row no other of the rows has. Hashes of four bytes can only make it smaller."""
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in (frame.iloc[i : i + 500] for frame in frames for i in range(0, len(frame), 500)):
+            parts = [np.frombuffer(x, np.int32) for x in pdf["seq"]]
+            yield pd.DataFrame({"row": np.repeat(pdf["row"].to_numpy(), [len(p) for p in parts]), "kmer": np.concatenate(parts)})
+
+    kmers_of = seqs.join(rows, "row", "left_semi").mapInPandas(spread, "row long, kmer int")
+    single = kmers_of.groupBy("kmer").agg(F.min("row").alias("row"), F.max("row").alias("_high")).filter("row = _high")
+    own = single.groupBy("row").agg(F.count(F.lit(1)).alias("own"))
+    return rows.join(own, "row", "left").select("row", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``id_col`` (long), class_id (least id of its class), class_size, kept, text_hash.
 
@@ -195,11 +221,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat it, one. A null id stays only if its class has no other. Other columns are ignored; an empty table gives an
     empty result.
 
-    Candidates are decided in rounds. First, in each bucket of rows with the same sketch, all are compared with a few
-    pivots (PIVOTS, a round each), which gathers a large group of copies by comparisons that grow with its size only.
-    Then all pairs that still are in different classes and share two sketches are compared, found by an equi-join on both,
-    so that a passage that many texts share makes no pairs of them. Two texts of similarity 0.8 share two of the 20
-    sketches with probability 0.9996."""
+    Candidates are decided in rounds. In each bucket of rows with the same sketch, all are compared with a few pivots
+    (PIVOTS, a round each), which gathers a large group of copies by comparisons that grow with its size only. Of what is
+    still apart, a text that has over 1 - ``threshold`` of its k-mers to itself can have no partner and is settled; the rest
+    meet pivots with few k-mers of their own, which stand in a group's middle. Last, all pairs that still are in different
+    classes, share two sketches and can have enough k-mers in common are compared, found by an equi-join on both sketches.
+    Two texts of similarity 0.8 share two of the 20 sketches with probability 0.9996."""
     marks = stash(fingerprints(docs, id_col, text_col), "prints")
     first = F.struct(F.col("id").isNull().alias("blank"), "id", "row")
     groups = stash(marks.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "groups")
@@ -209,23 +236,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = ["band", "key"]
     full = bands.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(*bucket)
     shared = stash(bands.join(full, bucket), "shared")
-    fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
     seqs = marks.select("row", "seq")
     labels = None
     for turn, k in enumerate(PIVOTS):
-        open_rows = _open_buckets(shared, labels)
-        draw = lambda i: F.struct(F.xxhash64(F.lit(turn * 100 + i), "row").alias("h"), "row", "n", "comp")  # noqa: B023, E731
-        pivots = open_rows.groupBy(*bucket).agg(F.array(*[F.min(draw(i)) for i in range(k)]).alias("pivots"))
-        meets = open_rows.join(pivots, bucket).select("row", "n", "comp", F.explode(F.array_distinct("pivots")).alias("p"))
-        meets = meets.filter((F.col("comp") != F.col("p.comp")) & fits(F.col("n"), F.col("p.n")))
-        labels = merge_labels(labels, stash(linked(_ordered(F.col("row"), F.col("p.row"), meets), seqs, threshold), "links"))
+        labels = _pivot_round(_open_buckets(shared, labels), labels, seqs, threshold, [F.xxhash64(F.lit(turn * 100 + i), "row") for i in range(k)])
+    # of what is still apart, texts whose own k-mers are too many for any partner are settled
+    open_rows = stash(_open_buckets(shared, labels), "open")
+    shared = stash(shared.join(own_kmers(open_rows.select("row").distinct(), seqs), "row").filter(F.col("n") - F.col("own") >= threshold * F.col("n") - 1e-9), "shared")
+    for turn in range(CENTRAL_ROUNDS):
+        central = [F.struct(F.floor(F.col("own") * 50 / F.col("n")).alias("t"), F.xxhash64(F.lit(1000 + turn * 100 + i), "row").alias("x")) for i in range(CENTRAL)]
+        labels = _pivot_round(_open_buckets(shared, labels), labels, seqs, threshold, central)
     open_rows = stash(_open_buckets(shared, labels), "open")
     main = open_rows.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("m")).groupBy(*bucket).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
     again = shared.select("row", F.col("band").alias("band2"), F.col("key").alias("key2"))
-    twice = open_rows.join(main, bucket).join(again, "row").filter("band < band2")
-    rest = twice.filter("comp != main").select(*bucket, "band2", "key2", F.col("row").alias("u"), F.col("n").alias("un"), F.col("comp").alias("uc"))
-    every = twice.select(*bucket, "band2", "key2", F.col("row").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"), (F.col("comp") == F.col("main")).alias("in_main"))
-    apart = [F.col(f"r.{c}") == F.col(f"e.{c}") for c in (*bucket, "band2", "key2")] + [F.col("uc") != F.col("vc"), F.col("in_main") | (F.col("u") < F.col("v")), fits(F.col("un"), F.col("vn"))]
+    brief = marks.select("row", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
+    main = open_rows.join(main, bucket).join(brief, "row")
+    twice = main.join(again, "row").filter("band < band2")
+    named = lambda x, *more: twice.select(*bucket, "band2", "key2", F.col("row").alias(x), F.col("n").alias(f"{x}n"), (F.col("n") - F.col("own")).alias(f"{x}s"), F.col("comp").alias(f"{x}c"), F.col("brief").alias(f"{x}b"), *more)
+    rest, every = named("u", F.col("main").alias("um")).filter("uc != um").drop("um"), named("v", (F.col("comp") == F.col("main")).alias("in_main"))
+    most = F.least("us", "vs")  # k-mers that the two can have in common
+    # a pair comes once: by the first two sketches that it shares
+    once = F.size(F.filter(F.sequence(F.lit(0), F.col("r.band2") - 1), lambda i: F.get("ub", i) == F.get("vb", i))) == 1
+    apart = [F.col(f"r.{c}") == F.col(f"e.{c}") for c in (*bucket, "band2", "key2")] + [F.col("uc") != F.col("vc"), F.col("in_main") | (F.col("u") < F.col("v")), most >= threshold * (F.col("un") + F.col("vn") - most) - 1e-9, once]
     left = rest.alias("r").join(every.alias("e"), apart)
     labels = merge_labels(labels, stash(linked(_ordered(F.col("u"), F.col("v"), left), seqs, threshold), "links"))
     named_groups = groups.join(labels.select("row", "comp"), groups["first.row"] == labels["row"], "left").select("digest", "first", "copies", F.coalesce("comp", "first.row").alias("comp"))
