@@ -233,3 +233,29 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str,
     pairs = vectors.join(F.broadcast(q), F.col(key) != F.col("query"))
     scored = pairs.select("query", key, cosine(F.col("_q"), F.col(vector)).alias("similarity")).filter(F.col("similarity") >= least)
     return top_k_per_group(scored, ["query"], [F.desc("similarity"), F.col(key)], k)
+
+
+def match_schemas(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
+    """(source, target, confidence, conversion) of two sources' fields, (field, type) rows: the best target by name, with
+    what a conversion of the types is: safe, lossy or invalid."""
+    from .rows import CONVERSIONS
+
+    best = map_fields(left.select("field"), right.select("field"), 1).filter(F.col("confidence") >= least)
+    typed = best.join(left.select(F.col("field").alias("source"), F.col("type").alias("_a")), "source").join(right.select(F.col("field").alias("target"), F.col("type").alias("_b")), "target")
+    verdict = F.when(F.col("_a") == F.col("_b"), "safe")
+    for (a, b), v in CONVERSIONS.items():
+        verdict = verdict.when((F.col("_a") == a) & (F.col("_b") == b), v)
+    return typed.select("source", "target", "confidence", verdict.otherwise("invalid").alias("conversion"))
+
+
+def term_candidates(fields: DataFrame, terms: DataFrame, manual: DataFrame | None = None, k: int = 3) -> DataFrame:
+    """(field, term, confidence, origin): the k best ontology terms (term, label, synonyms) of each field: the mean of name,
+    token and n-gram similarity to the label or a synonym; a manual mapping (field, term) goes before all."""
+    names = terms.select("term", F.explode(F.array_union(F.array("label"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("name"))
+    pairs = fields.select("field").distinct().join(F.broadcast(names))
+    a, b = F.lower("field"), F.lower("name")
+    score = (levenshtein_similarity(a, b) + jaccard(tokens(a), tokens(b)) + jaccard(ngrams(a), ngrams(b))) / 3
+    best = pairs.groupBy("field", "term").agg(F.max(score).alias("confidence")).withColumn("origin", F.lit("similarity"))
+    if manual is not None:
+        best = best.join(manual.select("field", "term"), ["field", "term"], "left_anti").unionByName(manual.select("field", "term", F.lit(1.0).alias("confidence"), F.lit("manual").alias("origin")))
+    return top_k_per_group(best, ["field"], [F.desc(F.col("origin") == "manual"), F.desc("confidence"), F.col("term")], k)

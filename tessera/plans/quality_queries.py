@@ -460,3 +460,44 @@ def coalesce_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("n09_suggest_strategy", f"SELECT entity, CASE WHEN max(confidence) = min(confidence) THEN 'coalesce' ELSE 'primary' END AS strategy FROM {VALUES} GROUP BY entity")
 def suggest_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.suggest_strategy(_values(spark, sf_dir)).select("entity", "strategy")
+
+
+@query("l10_type_by_name", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' END AS kind FROM customer")
+def type_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    names = table(spark, sf_dir, "customer").select(k, F.when(k % 3 == 0, F.concat(F.lit("E_Mail_"), k)).when(k % 3 == 1, F.concat(F.lit("mobile"), k)).otherwise(F.concat(F.lit("x"), k)).alias("column"))
+    return profile.type_by_name(names).select("c_custkey", "kind")
+
+
+def _fields(spark: SparkSession, sf_dir: str, name: str, cut: int) -> DataFrame:
+    schema = table(spark, sf_dir, name)
+    return schema.limit(1).select(F.explode(F.array(*[F.struct(F.lit(f.name[cut:]).alias("field"), F.lit(f.dataType.simpleString()).alias("type")) for f in schema.schema])).alias("f")).select("f.*")
+
+
+@query("m17_match_schemas", "SELECT unnest(['name', 'acctbal', 'nationkey']) AS source, unnest(['name', 'acctbal', 'nationkey']) AS target, 'safe' AS conversion")
+def match_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.match_schemas(_fields(spark, sf_dir, "customer", 2), _fields(spark, sf_dir, "supplier", 2), 0.9)
+    return found.select("source", "target", "conversion")
+
+
+@query("m18_term_candidates", "SELECT DISTINCT p_brand AS field, 'T' || p_brand AS term FROM part")
+def term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("field")).distinct()
+    terms = brands.select(F.concat(F.lit("T"), "field").alias("term"), F.lower("field").alias("label"), F.lit(None).cast("array<string>").alias("synonyms"))
+    return match.term_candidates(brands, terms, k=1).select("field", "term")
+
+
+@query("n10_customer_360", """WITH good AS (SELECT c_custkey, upper(c_mktsegment) AS segment, c_acctbal FROM customer WHERE c_acctbal BETWEEN 0 AND 9000),
+    one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment, floor(c_acctbal) ORDER BY c_custkey) AS rn FROM good) WHERE rn = 1),
+    f AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1)
+    SELECT segment, count(*) AS customers, sum(coalesce(n, 0))::BIGINT AS orders, round(sum(coalesce(spent, 0)), 2) AS spent FROM one LEFT JOIN f ON c_custkey = o_custkey GROUP BY 1""")
+def customer_360(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean, validate, drop duplicates, join features, summarise."""
+    from ..operators import relational, rows
+
+    clean = rows.field_transform(rows.standardize(table(spark, sf_dir, "customer")), {"c_mktsegment": ["TRIM", "UPPER"]}).withColumn("whole", F.floor("c_acctbal"))
+    good = quality.with_violations(clean, [{"field": "c_acctbal", "rule": "RANGE", "min": 0, "max": 9000}]).filter(F.size("_violations") == 0).drop("_violations")
+    one = relational.dedup(good, ["c_mktsegment", "whole"], ["c_custkey"])
+    features = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("spent"))
+    wide = relational.feature_join(one, {"orders": (features, {"n_orders": 0, "spent": 0.0})}, "c_custkey")
+    return wide.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("customers"), F.sum("n_orders").alias("orders"), F.round(F.sum("spent"), 2).alias("spent"))

@@ -215,7 +215,7 @@ def test_stream_cdc_restart(spark, tmp_path):
         (tmp_path / "in" / name).write_text("\n".join(map(json.dumps, events)))
 
     def step():
-        changes = cdc.parse_cdc(cdc.read_cdc_files(spark, str(tmp_path / "in")), "id bigint, v string")
+        changes = cdc.parse_cdc(readers.read_cdc_files(spark, str(tmp_path / "in")), "id bigint, v string")
         q = cdc.apply_cdc_stream(changes, str(tmp_path / "state"), ["id"], ["ts_ms"], ["id", "v"], str(tmp_path / "check")).trigger(availableNow=True).start()
         q.awaitTermination(120)
         last = max((tmp_path / "state").iterdir(), key=lambda p: int(p.name.split("=")[1]))
