@@ -23,6 +23,8 @@ CENTROIDS, SAMPLE, ROUNDS, SEED = 64, 8_192, 10, 3
 #: A query walks cells until they hold this share of the entries. Vectors without clusters need about half for a recall
 #: of 0.95; README has the recall measured against brute force.
 SHARE = 0.6
+#: And this many entries at least, so that small tables are searched whole.
+LEAST = 1_000
 NEIGHBOURS = 5
 #: Entries and queries that meet in one block.
 ENTRY_BLOCK, QUERY_BLOCK, ROWS_AT_ONCE = 8_192, 2_048, 128
@@ -172,7 +174,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str
             x, norm = _unit(pdf["vector"])
             x /= norm[:, None]
             d1, d2 = nearest(x[:, :half], books.first), nearest(x[:, half:], books.second)
-            masks = np.stack([visit(a, b, counts, share * total) for a, b in zip(d1, d2)])
+            masks = np.stack([visit(a, b, counts, max(share * total, LEAST)) for a, b in zip(d1, d2)])
             q, i = np.nonzero(masks)
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[q], "vector": [pdf["vector"].iloc[r] for r in q], "i": i.astype(np.int32), "mask": masks[q, i]})
 
