@@ -2,7 +2,7 @@
 
 A text's k-mers are its runs of five words, each labelled with how often it occurred before. A sketch takes the few
 labelled k-mers of least hash and keeps them in text order, so that equal sketches speak for a small edit distance and not
-only for common words. Texts that share one of BANDS sketches are candidates; a banded alignment of their k-mers decides.
+only for common words. Texts that share SHARED of BANDS sketches are candidates; a banded alignment of their k-mers decides.
 Similarity is aligned k-mers over all k-mers of the two (a Jaccard similarity that respects order)."""
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 WORDS, BANDS, KEPT, SIMILARITY, SEED = 5, 20, 4, 0.8, 29
+#: Sketches that candidates must share.
+SHARED = 2
 #: Words whose hashes a worker remembers.
 CACHE = 200_000
 #: A digest with more than this share of the rows is joined by broadcast; at most 1/HOT_SHARE such digests exist.
@@ -135,7 +137,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def linked(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) whose sequences are similar."""
+    """The (a, b) that share two sketches and whose sequences are similar. ``seqs`` has row, brief and seq; the brief sketches
+    go first, so that few sequences are shuffled."""
+    brief = lambda c: seqs.select(F.col("row").alias(c), F.col("brief").alias(f"{c}f"))
+    same = F.aggregate(F.zip_with("af", "bf", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.join(brief("a"), "a").join(brief("b"), "b").filter(same >= SHARED).select("a", "b")
 
     @F.pandas_udf("double")
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -236,7 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = ["band", "key"]
     full = bands.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(*bucket)
     shared = stash(bands.join(full, bucket), "shared")
-    seqs = marks.select("row", "seq")
+    brief = F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("brief")
+    seqs = stash(marks.select("row", brief, "seq").join(shared.select("row").distinct(), "row", "left_semi"), "seqs")
     labels = None
     for turn, k in enumerate(PIVOTS):
         labels = _pivot_round(_open_buckets(shared, labels), labels, seqs, threshold, [F.xxhash64(F.lit(turn * 100 + i), "row") for i in range(k)])
@@ -249,8 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_rows = stash(_open_buckets(shared, labels), "open")
     main = open_rows.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("m")).groupBy(*bucket).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
     again = shared.select("row", F.col("band").alias("band2"), F.col("key").alias("key2"))
-    brief = marks.select("row", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
-    main = open_rows.join(main, bucket).join(brief, "row")
+    main = open_rows.join(main, bucket).join(seqs.select("row", "brief"), "row")
     twice = main.join(again, "row").filter("band < band2")
     named = lambda x, *more: twice.select(*bucket, "band2", "key2", F.col("row").alias(x), F.col("n").alias(f"{x}n"), (F.col("n") - F.col("own")).alias(f"{x}s"), F.col("comp").alias(f"{x}c"), F.col("brief").alias(f"{x}b"), *more)
     rest, every = named("u", F.col("main").alias("um")).filter("uc != um").drop("um"), named("v", (F.col("comp") == F.col("main")).alias("in_main"))
