@@ -26,7 +26,7 @@ CACHE = 200_000
 #: A digest with more than this share of the rows is joined by broadcast; at most 1/HOT_SHARE such digests exist.
 HOT_SHARE = 0.001
 #: Pivots of a bucket in each of the first rounds; rounds with central pivots, and their number.
-PIVOTS, CENTRAL_ROUNDS, CENTRAL = (1, 4), 1, 4
+PIVOTS, CENTRAL_ROUNDS, CENTRAL = (1,), 1, 4
 
 
 class _Hashes(dict):
@@ -137,11 +137,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def linked(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) that share two sketches and whose sequences are similar. ``seqs`` has row, brief and seq; the brief sketches
-    go first, so that few sequences are shuffled."""
-    brief = lambda c: seqs.select(F.col("row").alias(c), F.col("brief").alias(f"{c}f"))
-    same = F.aggregate(F.zip_with("af", "bf", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = pairs.join(brief("a"), "a").join(brief("b"), "b").filter(same >= SHARED).select("a", "b")
+    """The (a, b) whose sequences are similar."""
 
     @F.pandas_udf("double")
     def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -196,12 +192,13 @@ def _open_buckets(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _pivot_round(open_rows: DataFrame, labels: DataFrame | None, seqs: DataFrame, threshold: float, order: list[Column]) -> DataFrame:
     """Compares the rows of each bucket with its pivots, the first row by each of ``order``, and merges components."""
     bucket = ["band", "key"]
-    draw = lambda o: F.struct(o.alias("o"), "row", "n", "comp")
+    draw = lambda o: F.struct(o.alias("o"), "row", "n", "comp", "brief")
     pivots = open_rows.groupBy(*bucket).agg(F.array(*[F.min(draw(o)) for o in order]).alias("pivots"))
-    pivots = pivots.select(*bucket, F.array_distinct(F.transform("pivots", lambda p: F.struct(p["row"].alias("row"), p["n"].alias("n"), p["comp"].alias("comp")))).alias("pivots"))
-    meets = open_rows.join(pivots, bucket).select("row", "n", "comp", F.explode("pivots").alias("p"))
+    pivots = pivots.select(*bucket, F.array_distinct(F.transform("pivots", lambda p: F.struct(p["row"].alias("row"), p["n"].alias("n"), p["comp"].alias("comp"), p["brief"].alias("brief")))).alias("pivots"))
+    meets = open_rows.join(pivots, bucket).select("row", "n", "comp", "brief", F.explode("pivots").alias("p"))
     near = F.least(F.col("n"), F.col("p.n")) >= threshold * F.greatest(F.col("n"), F.col("p.n")) - 1e-9
-    pairs = _ordered(F.col("row"), F.col("p.row"), meets.filter((F.col("comp") != F.col("p.comp")) & near))
+    same = F.aggregate(F.zip_with("brief", "p.brief", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    pairs = _ordered(F.col("row"), F.col("p.row"), meets.filter((F.col("comp") != F.col("p.comp")) & near).filter(same >= SHARED))
     return merge_labels(labels, stash(linked(pairs, seqs, threshold), "links"))
 
 
@@ -237,13 +234,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.struct(F.col("id").isNull().alias("blank"), "id", "row")
     groups = stash(marks.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "groups")
     reps = groups.select(F.col("first.row").alias("row"))
-    picked = marks.filter("n > 0").select("row", "n", "bands").join(reps, "row", "left_semi")
-    bands = stash(picked.select("row", "n", F.posexplode("bands").alias("band", "key")), "bands")
+    brief = F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("brief")
+    picked = marks.filter("n > 0").select("row", "n", "bands", brief).join(reps, "row", "left_semi")
+    bands = stash(picked.select("row", "n", "brief", F.posexplode("bands").alias("band", "key")), "bands")
     bucket = ["band", "key"]
     full = bands.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(*bucket)
     shared = stash(bands.join(full, bucket), "shared")
-    brief = F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("brief")
-    seqs = stash(marks.select("row", brief, "seq").join(shared.select("row").distinct(), "row", "left_semi"), "seqs")
+    seqs = stash(marks.select("row", "seq").join(shared.select("row").distinct(), "row", "left_semi"), "seqs")
     labels = None
     for turn, k in enumerate(PIVOTS):
         labels = _pivot_round(_open_buckets(shared, labels), labels, seqs, threshold, [F.xxhash64(F.lit(turn * 100 + i), "row") for i in range(k)])
@@ -256,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_rows = stash(_open_buckets(shared, labels), "open")
     main = open_rows.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("m")).groupBy(*bucket).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
     again = shared.select("row", F.col("band").alias("band2"), F.col("key").alias("key2"))
-    main = open_rows.join(main, bucket).join(seqs.select("row", "brief"), "row")
+    main = open_rows.join(main, bucket)
     twice = main.join(again, "row").filter("band < band2")
     named = lambda x, *more: twice.select(*bucket, "band2", "key2", F.col("row").alias(x), F.col("n").alias(f"{x}n"), (F.col("n") - F.col("own")).alias(f"{x}s"), F.col("comp").alias(f"{x}c"), F.col("brief").alias(f"{x}b"), *more)
     rest, every = named("u", F.col("main").alias("um")).filter("uc != um").drop("um"), named("v", (F.col("comp") == F.col("main")).alias("in_main"))
