@@ -262,7 +262,7 @@ def denormalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("o_orderkey", F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["l_linenumber"], c["l_partkey"])), ",").alias("lines"))
 
 
-@query("d07_convert_units", "SELECT p_partkey, p_size * 2.54 + 1 AS size_cm FROM part")
+@query("d07_convert_units", "SELECT p_partkey, p_size * 2.54::DOUBLE + 1 AS size_cm FROM part")
 def convert_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.convert_units(table(spark, sf_dir, "part"), "p_size", 2.54, 1.0, "size_cm").select("p_partkey", "size_cm")
 
