@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_sharding": sharding.ORACLE_SQL,
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,

@@ -68,4 +68,23 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
 
 
-ORACLE_SQL = None
+def _hash_sql(text: str, mod: int) -> str:
+    return f"(('0x' || substring(md5({text}), 1, 15))::BIGINT % {mod})"
+
+
+_N = len(SHARDS)
+#: The same turns as a recursive query, a claim a step.
+ORACLE_SQL = f"""
+WITH RECURSIVE s AS (SELECT {sorted(SHARDS)} AS names),
+c AS (SELECT list_transform(names, lambda n: {_hash_sql("'offset:' || n", SLOTS)}) AS off, list_transform(names, lambda n: {_hash_sql("'skip:' || n", SLOTS - 1)} + 1) AS skip FROM s),
+f(k, owner, nxt) AS (
+  SELECT 0, list_transform(range({SLOTS}), lambda x: -1), list_transform(range({_N}), lambda x: 0)
+  UNION ALL
+  SELECT k + 1, list_concat(owner[:slot], [i], owner[slot + 2:]), list_concat(nxt[:i], [j + 1], nxt[i + 2:]) FROM (
+    SELECT *, (off[i + 1] + j * skip[i + 1]) % {SLOTS} AS slot FROM (
+      SELECT k, owner, nxt, off, skip, k % {_N} AS i,
+        list_filter(range(nxt[k % {_N} + 1], {SLOTS}), lambda x: owner[(off[k % {_N} + 1] + x * skip[k % {_N} + 1]) % {SLOTS} + 1] < 0)[1] AS j
+      FROM f, c WHERE k < {SLOTS}))),
+t AS (SELECT owner FROM f WHERE k = {SLOTS})
+SELECT doc_id, source, n_chars, {_hash_sql("doc_id::VARCHAR", SLOTS)}::INT AS slot, names[owner[{_hash_sql("doc_id::VARCHAR", SLOTS)} + 1] + 1] AS shard FROM documents, t, s
+"""
