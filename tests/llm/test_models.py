@@ -245,3 +245,27 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_near_dedup_short_texts_are_exact(spark):
+    """8 words against 9 are 4 k-mers of 5: a similarity of 0.8."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(0, 600, 2):
+        w = words(rng, 9)
+        rows += [(i, " ".join(w[:8])), (i + 1, " ".join(w))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_near_dedup_one_shared_sketch(spark):
+    """Pairs of 16 and 20 k-mers, similarity 0.8, of whose sketches exactly one is the same."""
+    rng, known, rows = np.random.default_rng(7), near_dedup._Hashes(), []
+    for _ in range(20_000):
+        w = words(rng, 24)
+        a, b = (near_dedup.sketches(near_dedup.kmers(np.array([known[x] for x in v], np.uint64))) for v in (w[:20], w))
+        if (a == b).sum() == 1:
+            rows += [(len(rows), " ".join(w[:20])), (len(rows) + 1, " ".join(w))]
+    assert len(rows) >= 10
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
