@@ -2,18 +2,20 @@
 
 A text is cut where no piece of the vocabulary can reach across: before each run of spaces and around characters that no
 piece holds. In such a unit, merges wait on an agenda by their rank; each one taken from it is skipped with probability
-``dropout``, decided by a keyed hash of the seed, the unit, its variant and the merge. A unit's variant, one of VARIANTS,
-follows from a keyed hash of the document's id and the unit's place, so the same unit is cut differently here and there,
-a rerun gives the same pieces, and a worker can remember what it has cut. What no piece spells becomes byte pieces."""
+``dropout``, decided by a keyed hash of the seed, the document's id, the unit's place in it and the merge. So each
+occurrence of a unit is cut by draws of its own and a rerun gives the same pieces. A worker remembers of a unit only its cut
+without skips and the merges that lead there: where none of these is skipped, that cut holds; else the occurrence is cut anew.
+What no piece spells becomes byte pieces."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass, field
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEED, DROPOUT, VARIANTS = 5, 0.1, 4
+SEED, DROPOUT = 5, 0.1
 #: Different units that a worker remembers before it starts anew.
 CACHE = 150_000
 #: Characters and units worked on at once in a worker; longer units are cut one by one.
@@ -84,25 +86,18 @@ def mix64(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def seed_key(seed: int, variant: int) -> int:
-    return int.from_bytes(blake2b(variant.to_bytes(8, "little"), digest_size=8, key=seed.to_bytes(8, "little", signed=True)).digest(), "little")
+def seed_key(seed: int) -> int:
+    return int.from_bytes(blake2b(digest_size=8, key=seed.to_bytes(8, "little", signed=True)).digest(), "little")
 
 
-def unit_key(unit: str, variant: int, seed: int) -> int:
-    """The key from which a unit's skips follow."""
-    key = seed_key(seed, variant)
-    for c in unit:
-        key = mix64(key ^ ord(c))
-    return key
-
-
-def cut_unit(unit: str, variant: int, vocabulary: Vocabulary, seed: int, dropout: float) -> list[int]:
-    """Piece ids of one unit (spaces still as spaces), by a heap."""
+def cut_unit(unit: str, draw: int, vocabulary: Vocabulary, seed: int, dropout: float, steps: list[int] | None = None) -> list[int]:
+    """Piece ids of one unit (spaces still as spaces), by a heap. ``draw`` stands for the occurrence; the hashes of the
+    merges that are taken are added to ``steps``."""
     # a SPACE of the text itself has no piece of its own and is spelled in bytes
     parts: list[str | None] = [SPACE if c == " " else (c if c != SPACE else "\0" + c) for c in unit]
     n, ranks = len(parts), vocabulary.ranks
     if n > 1:
-        key = unit_key(unit, variant, seed)
+        key = mix64(seed_key(seed) ^ draw)
         bar = int(dropout * (1 << 64))
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
@@ -114,8 +109,11 @@ def cut_unit(unit: str, variant: int, vocabulary: Vocabulary, seed: int, dropout
             _, i, j, merged = heappop(agenda)
             if parts[i] is None or parts[j] is None or after[i] != j or parts[i] + parts[j] != merged:
                 continue
-            if bar and mix64(key ^ mix64(i * 0x9E3779B97F4A7C15 + vocabulary.ids[merged] & MASK)) < bar:
+            step = mix64(i * 0x9E3779B97F4A7C15 + vocabulary.ids[merged] & MASK)
+            if bar and mix64(key ^ step) < bar:
                 continue
+            if steps is not None:
+                steps.append(step)
             parts[i], parts[j] = merged, None
             after[i] = k = after[j]
             if k < n:
@@ -171,9 +169,11 @@ class Cutter:
             self.values[at[won]] = vocabulary.merged[left[won]]
             left, self.probes = left[~won], self.probes + 1
 
-    def keys_of(self, variants: np.ndarray) -> np.ndarray:
-        kinds, where = np.unique(variants, return_inverse=True)
-        return np.array([seed_key(self.seed, v) for v in kinds.tolist()], np.uint64)[where]
+    def keys_of(self, draws: np.ndarray) -> np.ndarray:
+        return mix64s(np.uint64(seed_key(self.seed)) ^ draws.astype(np.uint64))
+
+    def bar(self) -> np.uint64:
+        return np.uint64(int(self.dropout * (1 << 64))) if self.dropout < 1 else np.uint64(MASK)
 
     def _place(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -195,18 +195,32 @@ class Cutter:
                 break
         return out.reshape(a.shape)
 
-    def cut(self, units: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All units' piece ids in a row, and how many each has."""
+    def plain(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`cut` without skips, and the hashes of the merges that are taken in a row, and how many each unit has."""
+        whole, steps = copy(self), [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        whole.dropout = 0.0
+        flat, size = whole.cut(units, np.zeros(len(units), np.uint64), steps)
+        owner = np.concatenate([o for o, _ in steps])
+        return flat, size, np.concatenate([x for _, x in steps])[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units))
+
+    def cut(self, units: list[str], draws: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All units' piece ids in a row, and how many each has; a draw stands for a unit's occurrence."""
         count = np.fromiter(map(len, units), np.int64, len(units))
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in np.flatnonzero(count > LONG).tolist():
-            ids = cut_unit(units[i], int(variants[i]), self.vocabulary, self.seed, self.dropout)
+            taken: list[int] = []
+            ids = cut_unit(units[i], int(draws[i]), self.vocabulary, self.seed, self.dropout, taken)
+            if steps is not None:
+                steps.append((np.full(len(taken), i), np.array(taken, np.uint64)))
             parts.append((np.array([i]), np.array([len(ids)]), np.array(ids, np.int32)))
         order = np.argsort(count, kind="stable")
         order = order[count[order] <= LONG]
         for k in range(0, len(order), CHUNK):
             some = order[k : k + CHUNK]
-            parts.append((some, *self._together([units[i] for i in some.tolist()], count[some], variants[some])))
+            mine: list[tuple[np.ndarray, np.ndarray]] | None = None if steps is None else []
+            parts.append((some, *self._together([units[i] for i in some.tolist()], count[some], draws[some], mine)))
+            if steps is not None:
+                steps += [(some[o], x) for o, x in mine or []]
         size = np.zeros(len(units), np.int64)
         for some, n, _ in parts:
             size[some] = n
@@ -216,7 +230,7 @@ class Cutter:
             flat[np.repeat(ends[some] - n - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
         return flat, size
 
-    def _together(self, units: list[str], count: np.ndarray, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # sizes, ids
+    def _together(self, units: list[str], count: np.ndarray, draws: np.ndarray, steps: list | None = None) -> tuple[np.ndarray, np.ndarray]:  # sizes, ids
         n, width, size = len(units), int(count.max()), self.size
         inside = np.arange(width) < count[:, None]
         code = np.zeros((n, width), np.uint32)
@@ -224,10 +238,7 @@ class Cutter:
         # what no piece spells is size + 1 + code point; the place of nothing is size
         sym = np.where(inside, np.where(self.single[code] >= 0, self.single[code], code.astype(np.int32) + (size + 1)), size).astype(np.int32)
         pos = np.tile(np.arange(width, dtype=np.int16), (n, 1))
-        key = self.keys_of(variants)
-        for i in range(width):
-            key = np.where(inside[:, i], mix64s(key ^ code[:, i]), key)
-        bar = np.uint64(int(self.dropout * (1 << 64))) if self.dropout < 1 else np.uint64(MASK)
+        key, bar = self.keys_of(draws), self.bar()
         if width > 1:
             merged = self.merges(sym[:, :-1], sym[:, 1:])
             live = np.arange(n)
@@ -240,13 +251,15 @@ class Cutter:
                 if not len(live):
                     break
                 to = merged[live, best]
+                step = mix64s(pos[live, best].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + to.astype(np.uint64))
                 if bar:
-                    h = mix64s(key[live] ^ mix64s(pos[live, best].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + to.astype(np.uint64)))
-                    skip = h < bar
+                    skip = mix64s(key[live] ^ step) < bar
                     merged[live[skip], best[skip]] = size
                     rows, at, to = live[~skip], best[~skip], to[~skip]
                 else:
                     rows, at = live, best
+                    if steps is not None:
+                        steps.append((live, step))
                 if not len(rows):
                     continue
                 cols = np.arange(width)
@@ -286,28 +299,34 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """A worker's view: remembers the units it has cut."""
+    """A worker's view: remembers the units it has cut without skips."""
 
-    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT):
         self.vocabulary, self.seed = vocabulary, seed
-        self.variants = variants if dropout else 1
         self.cutter = Cutter(vocabulary, seed, dropout)
         self.units = re.compile(vocabulary.unit_pattern()).findall
         self._forget()
 
     def _forget(self) -> None:
         self.numbers = _Numbers()
-        self.begin, self.length = np.full(0, -1, np.int64), np.zeros(0, np.int64)
-        self.pool, self.filled = np.zeros(1 << 16, np.int32), 0
+        self.names: list[str] = []
+        self.pool, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.steps, self.merges = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def _variants(self, counts: list[int], keys: list[int]) -> np.ndarray:
-        if self.variants == 1:
-            return np.zeros(sum(counts), np.int64)
+    def _draws(self, counts: list[int], keys: list[int]) -> np.ndarray:
         seeds = np.array([mix64((k ^ self.seed * 0xD6E8FEB86659FD93) & MASK) for k in keys], np.uint64)
         ends = np.cumsum(counts)
         place = np.arange(int(ends[-1])) - np.repeat(ends - counts, counts)
-        x = mix64s(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(seeds, counts))
-        return (x % np.uint64(self.variants)).astype(np.int64)
+        return mix64s(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(seeds, counts))
+
+    def _skipped(self, code: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Places of the occurrences in which a merge of their plain cut is skipped."""
+        if not (bar := self.cutter.bar()):
+            return np.zeros(0, np.int64)
+        n, begin = self.merges[code], (np.cumsum(self.merges) - self.merges)[code]
+        owner = np.repeat(np.arange(len(code)), n)
+        step = self.steps[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(owner))]
+        return np.unique(owner[mix64s(self.cutter.keys_of(draws)[owner] ^ step) < bar])
 
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Piece ids of whole texts; a key stands for its document."""
@@ -320,21 +339,19 @@ class Encoder:
             return [np.zeros(0, np.int32) for _ in texts]
         number = self.numbers.__getitem__
         code = np.fromiter(map(number, chain.from_iterable(units)), np.int64, sum(counts))
-        pair = code * self.variants + self._variants(counts, keys)
-        grown = len(self.numbers) * self.variants - len(self.begin)
-        self.begin, self.length = np.concatenate([self.begin, np.full(grown, -1)]), np.concatenate([self.length, np.zeros(grown, np.int64)])
-        new = np.unique(pair[self.begin[pair] < 0])
-        if len(new):
-            names = list(self.numbers)
-            more, size = self.cutter.cut([names[i] for i in (new // self.variants).tolist()], new % self.variants)
-            self.length[new], self.begin[new] = size, self.filled + np.cumsum(size) - size
-            while self.filled + len(more) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.filled : self.filled + len(more)] = more
-            self.filled += len(more)
-        size = self.length[pair]
+        if len(self.numbers) > len(self.names):
+            new = list(islice(self.numbers, len(self.names), None))
+            flat, length, steps, merges = self.cutter.plain(new)
+            self.names += new
+            self.pool, self.length = np.concatenate([self.pool, flat]), np.concatenate([self.length, length])
+            self.steps, self.merges = np.concatenate([self.steps, steps]), np.concatenate([self.merges, merges])
+        draws = self._draws(counts, keys)
+        again = self._skipped(code, draws)
+        flat, length = self.cutter.cut([self.names[i] for i in code[again].tolist()], draws[again])
+        size, begin = self.length[code], (np.cumsum(self.length) - self.length)[code]
+        size[again], begin[again] = length, len(self.pool) + np.cumsum(length) - length
         ends = np.cumsum(size)
-        ids = self.pool[np.repeat(self.begin[pair] - (ends - size), size) + np.arange(int(ends[-1]))]
+        ids = np.concatenate([self.pool, flat])[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]))]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -369,7 +386,7 @@ def _lists(ids: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array([x is None for x in ids]))
 
 
-def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, model: str = MODEL, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = SEED, dropout: float = DROPOUT, model: str = MODEL, check: bool = False) -> DataFrame:
     """``docs`` with ``piece_ids`` (array of int), replacing a column of that name; with ``check`` also ``lossless``:
     whether decoding them gives the text again.
 
@@ -382,7 +399,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed
     kept = base.columns
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, seed, dropout, variants)
+        encoder = Encoder(shared.value, seed, dropout)
         for batch in batches:
             texts, keys = batch.column("_text"), batch.column("_key").to_numpy()
             batch = batch.select(kept)

@@ -124,6 +124,24 @@ def test_pieces(spark):
     assert len(cuts) == 6 and not cuts & other and len({tuple(r.piece_ids) for r in pieces.encode(one, dropout=0.0).collect()}) == 1
 
 
+def test_pieces_vary_by_occurrence():
+    """Each occurrence has draws of its own: the encoder gives what the heap gives for it, more than four cuts of a word come
+    out, and one merge is skipped as often as dropout says."""
+    v = pieces.load_vocabulary()
+    encoder = pieces.Encoder(v, dropout=0.3)
+    for word in (" the", " a", " international", "x" * 40, " y▁é😀"):
+        text = word * 300
+        units, draws = encoder.units(" " + text), encoder._draws([len(encoder.units(" " + text))], [3])
+        cuts = [pieces.cut_unit(u, d, v, 5, 0.3) for u, d in zip(units, draws.tolist())]
+        want = [i for c in cuts for i in c]
+        assert encoder.encode([text, "a the", text], [3, 4, 3])[2].tolist() == pieces.Encoder(v, dropout=0.3).encode([text], [3])[0].tolist() == want
+        if word == " international":
+            assert len({tuple(c) for u, c in zip(units, cuts) if u == word}) > 4
+    docs = encoder.encode([" a" * 200] * 40, list(range(40)))
+    one = v.ids["▁a"]
+    assert abs(np.mean([(d == one).sum() / 200 for d in docs]) - 0.7) < 0.02 and len({d.tobytes() for d in docs}) == 40
+
+
 def brute(vectors, k):
     ids = np.array([i for i, _ in vectors])
     x = np.array([v for _, v in vectors], float)
