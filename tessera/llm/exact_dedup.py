@@ -81,11 +81,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (index or DigestIndex(docs.sparkSession)).add(docs, id_col, text_col)
 
 
-def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`exact_dedup` marks kept. Rows with a null id go, as nothing
-    names them; of rows that repeat an id and a text one stays."""
-    kept = exact_dedup(docs, id_col, text_col, index).filter("kept").select(id_col, F.unhex("text_sha256").alias("_digest"))
-    same = docs.withColumn("_digest", F.unhex(text_digest(F.col(text_col)))).join(kept.hint("shuffle_hash"), [id_col, "_digest"], "left_semi")
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, null_ids: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`exact_dedup` marks kept. Rows with a null id go unless ``null_ids``
+    is set; of rows that repeat an id (or have none) and a text one stays."""
+    kept = exact_dedup(docs, id_col, text_col, index).filter("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    marked = docs.withColumn("_digest", F.unhex(text_digest(F.col(text_col))))
+    named = F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) if null_ids else F.col(f"d.{id_col}") == F.col("k._id")
+    same = marked.alias("d").join(kept.hint("shuffle_hash").alias("k"), named & (F.col("d._digest") == F.col("k._digest")), "left_semi")
     again = docs.groupBy(id_col).count().filter("count > 1").take(1)
     return (same.dropDuplicates([id_col, "_digest"]) if again else same).drop("_digest")
 

@@ -316,10 +316,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps. Rows with a null id go, as nothing names
-    them; of rows that repeat an id and a text one stays."""
-    kept = near_duplicates(docs, id_col, text_col, threshold).filter("kept").select(F.col(id_col), F.col("text_hash").alias("_text_hash"))
-    same = docs.withColumn("_text_hash", F.xxhash64(text_col)).join(kept.hint("shuffle_hash"), [id_col, "_text_hash"], "left_semi")
+    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps; of rows that repeat an id, or have none, and
+    a text one stays."""
+    kept = near_duplicates(docs, id_col, text_col, threshold).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text_hash"))
+    marked = docs.withColumn("_text_hash", F.xxhash64(text_col)).alias("d")
+    named = F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) & (F.col("d._text_hash") == F.col("k._text_hash"))
+    same = marked.join(kept.hint("shuffle_hash").alias("k"), named, "left_semi")
     again = docs.groupBy(id_col).count().filter("count > 1").take(1)
     return (same.dropDuplicates([id_col, "_text_hash"]) if again else same).drop("_text_hash")
 

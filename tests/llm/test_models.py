@@ -287,3 +287,11 @@ def test_near_dedup_one_shared_sketch(spark):
     assert len(rows) >= 10
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_pipeline_keeps_documents_without_ids(spark):
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (1, "a b c d e f g"), (None, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([rows[0], rows[2], rows[3]], key=repr)
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        assert sorted(map(tuple, stage(spark, docs, SMALL).collect()), key=repr) == want
