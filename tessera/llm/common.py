@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,49 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stash(df: DataFrame, name: str = "part") -> DataFrame:
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _folder(spark, path)
+    return files.exists(at)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, at = _folder(spark, path)
+    files.delete(at, True)
+
+
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stashed inside goes when the block ends: write results first."""
+    _scratch.append(f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove_folder(spark, _scratch.pop())
+
+
+def stash(df: DataFrame, name: str = "part", keep: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: cuts the lineage, survives lost
-    executors, and later readers get column pruning."""
+    executors, and later readers get column pruning. ``keep`` names another folder, out of reach of :func:`scratch`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{keep or (_scratch[-1] if _scratch else shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._stashed = path
+    return read
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Removes what :func:`stash` wrote, once all that was read from it is written itself."""
+    for df in stashed:
+        remove_folder(df.sparkSession, df._stashed)
 
 
 def partitions(spark: SparkSession) -> int:

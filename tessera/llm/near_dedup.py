@@ -19,21 +19,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import discard, stash, table
 
 WORDS, BANDS, KEPT, SIMILARITY, SEED = 5, 20, 4, 0.8, 29
-#: Sketches that a row and a pivot share if they are compared in a pivot round; all other pairs wait for the last join.
-FIRST = 2
 #: Pairs in which a text has so few k-mers are found by their k-mers, without sketches.
 FEW = 14
 #: Bits of a k-mer signature, in longs.
-SIGNED = 16
+SIGNED = 8
 #: Words whose hashes a worker remembers.
 CACHE = 200_000
 #: A digest with more than this share of the rows is joined by broadcast; at most 1/HOT_SHARE such digests exist.
 HOT_SHARE = 0.001
-#: Pivots of a bucket in each of the first rounds; rounds with central pivots, and their number.
-PIVOTS, CENTRAL_ROUNDS, CENTRAL = (1,), 1, 4
+#: Pivot rounds go on while a round links at least this share of the rows that were apart.
+WORTH = 0.1
+
+
+BUCKET = ["band", "key"]
 
 
 class _Hashes(dict):
@@ -90,6 +91,13 @@ def sketches(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def signature(seq: np.ndarray) -> np.ndarray:
+    """For each of SIGNED * 64 cells, whether an odd number of k-mers falls into it. Signatures of two texts differ in no
+    more cells than k-mers are left over when the texts are aligned."""
+    cells = (seq * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64) % (SIGNED * 64)
+    return np.packbits((np.bincount(cells, minlength=SIGNED * 64) & 1).astype(np.uint8)).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
     """Similarity of two k-mer sequences by an alignment within the band that a similarity of ``threshold`` allows;
     0 if it is certainly below. As labelled k-mers occur once, the alignment is a longest increasing run of matches."""
@@ -121,26 +129,28 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> floa
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, text_hash, digest, n, bands, seq): digest is of the lower-cased words, n counts k-mers, seq holds them
-    in four bytes each."""
+    """(row, id, text_hash, digest, n, bands, sig, seq): digest is of the lower-cased words, n counts k-mers, seq holds
+    them in four bytes each."""
 
     def prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for pdf in (frame.iloc[i : i + 1000] for frame in frames for i in range(0, len(frame), 1000)):
-            digest, size, bands, seq = [], [], [], []
+            digest, size, bands, sig, seq = [], [], [], [], []
             for text in pdf["text"]:
                 words = text.lower().split() if isinstance(text, str) else []
                 if len(known) > CACHE:
                     known.clear()
                 s = kmers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+                short = (s >> np.uint64(32)).astype(np.uint32)
                 digest.append(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 size.append(len(s))
                 bands.append(sketches(s))
-                seq.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"], "text_hash": pdf["text_hash"], "digest": digest, "n": np.array(size, np.int32), "bands": bands, "seq": seq})
+                sig.append(signature(short))
+                seq.append(short.tobytes())
+            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"], "text_hash": pdf["text_hash"], "digest": digest, "n": np.array(size, np.int32), "bands": bands, "sig": sig, "seq": seq})
 
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(prints, "row long, id long, text_hash long, digest binary, n int, bands array<long>, seq binary")
+    return slim.mapInPandas(prints, "row long, id long, text_hash long, digest binary, n int, bands array<long>, sig array<long>, seq binary")
 
 
 def linked(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -155,17 +165,19 @@ def linked(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(row, comp) for all rows with a link: comp is the least row that is reached. Labels spread along links and jump
+    """(row, comp, ..) for all rows with a link: comp is the least row that is reached. Labels spread along links and jump
     to their label's label until nothing changes."""
     both = stash(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("row"), F.least("a", "m").alias("comp")), "labels")
+    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("row"), F.least("a", "m").alias("comp"), F.lit(True).alias("moved")), "labels")
     while True:
         near = both.join(labels.select(F.col("row").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near.select(F.col("a").alias("row"), "m"), "row", "left").select("row", F.least("comp", F.coalesce("m", "comp")).alias("next"), "comp")
+        step = labels.drop("moved").join(near.select(F.col("a").alias("row"), "m"), "row", "left").select("row", F.least("comp", F.coalesce("m", "comp")).alias("next"), "comp")
         jump = step.join(labels.select(F.col("row").alias("next"), F.col("comp").alias("far")), "next", "left")
         grown = stash(jump.select("row", F.least("next", F.coalesce("far", "next")).alias("comp"), (F.least("next", F.coalesce("far", "next")) != F.col("comp")).alias("moved")), "labels")
-        labels = grown.select("row", "comp")
+        discard(labels)
+        labels = grown
         if not grown.filter("moved").take(1):
+            discard(both)
             return labels
 
 
@@ -183,30 +195,37 @@ def merge_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
     joined = components(named.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a != b"))
     known = labels.join(joined.select(F.col("row").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("row", F.coalesce("now", "comp").alias("comp"))
-    new = joined.join(labels.select("row"), "row", "left_anti")
-    return stash(known.unionByName(new), "labels")
+    new = joined.select("row", "comp").join(labels.select("row"), "row", "left_anti")
+    merged = stash(known.unionByName(new), "labels")
+    discard(labels, joined)
+    return merged
 
 
-def _open_buckets(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows, with comp, of buckets that hold more than one component."""
-    if labels is None:
-        return shared.withColumn("comp", F.col("row"))
-    named = shared.join(labels, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
-    several = named.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band", "key")
-    return named.join(several, ["band", "key"])
+def may_be_similar(n: Column, m: Column, a: Column, b: Column, threshold: float) -> Column:
+    """False only for texts of n and m k-mers and signatures a and b that cannot be similar."""
+    left_over = reduce(add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SIGNED)])
+    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (left_over <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+
+
+def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with comp, of buckets that hold more than one component. What is aggregated by bucket is written before it is
+    joined, here and below, so that Spark sees the shuffles of both sides and can split a hot bucket."""
+    named = stash(shared.join(labels.select("row", "comp"), "row", "left").withColumn("comp", F.coalesce("comp", "row")), "named")
+    several = stash(named.groupBy(*BUCKET).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select(*BUCKET), "several")
+    rows = stash(named.join(several, BUCKET), "open")
+    discard(named, several)
+    return rows
 
 
-def _pivot_round(open_rows: DataFrame, labels: DataFrame | None, seqs: DataFrame, threshold: float, order: list[Column]) -> DataFrame:
-    """Compares the rows of each bucket with its pivots, the first row by each of ``order``, and merges components."""
-    bucket = ["band", "key"]
-    draw = lambda o: F.struct(o.alias("o"), "row", "n", "comp", "brief")
-    pivots = open_rows.groupBy(*bucket).agg(F.array(*[F.min(draw(o)) for o in order]).alias("pivots"))
-    pivots = pivots.select(*bucket, F.array_distinct(F.transform("pivots", lambda p: F.struct(p["row"].alias("row"), p["n"].alias("n"), p["comp"].alias("comp"), p["brief"].alias("brief")))).alias("pivots"))
-    meets = open_rows.join(pivots, bucket).select("row", "n", "comp", "brief", "band", F.explode("pivots").alias("p"))
-    near = F.least(F.col("n"), F.col("p.n")) >= threshold * F.greatest(F.col("n"), F.col("p.n")) - 1e-9
-    same = F.aggregate(F.zip_with("brief", "p.brief", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = _ordered(F.col("row"), F.col("p.row"), meets.filter((F.col("comp") != F.col("p.comp")) & near).filter((F.col("band") == BANDS) | (same >= FIRST)))
-    return merge_labels(labels, stash(linked(pairs, seqs, threshold), "links"))
+def _pivot_round(open_rows: DataFrame, labels: DataFrame | None, seqs: DataFrame, threshold: float, order: Column) -> DataFrame:
+    """Compares the rows of each bucket with its pivot, the first row by ``order``, and merges components."""
+    pivots = stash(open_rows.groupBy(*BUCKET).agg(F.min(F.struct(order.alias("o"), "row", "n", "comp", "sig")).alias("p")), "pivots")
+    near = may_be_similar(F.col("n"), F.col("p.n"), F.col("sig"), F.col("p.sig"), threshold)
+    pairs = _ordered(F.col("row"), F.col("p.row"), open_rows.join(pivots, BUCKET).filter((F.col("comp") != F.col("p.comp")) & near))
+    links = stash(linked(pairs, seqs, threshold), "links")
+    merged = merge_labels(labels, links)
+    discard(pivots, links)
+    return merged
 
 
 def spread_kmers(seqs: DataFrame) -> DataFrame:
@@ -224,25 +243,13 @@ def short_buckets(short: DataFrame, threshold: float) -> DataFrame:
     """(row, band, key) of short texts: those of n k-mers stand in the buckets of their n - ceil(threshold * n) + 1 rarest.
     Two of similarity ``threshold`` or more have at least one of these in common, as all rank k-mers alike."""
     each = stash(spread_kmers(short), "short")
-    ranked = each.join(each.groupBy("kmer").agg(F.count(F.lit(1)).alias("f")), "kmer")
+    ranked = each.join(stash(each.groupBy("kmer").agg(F.count(F.lit(1)).alias("f")), "counts"), "kmer")
     lists = ranked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("f", "kmer"))).alias("k"))  # few of each row
     n = F.size("k")
     rarest = lists.select("row", F.explode(F.slice("k", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))).alias("k"))
     return rarest.filter("k.f > 1").select("row", F.lit(BANDS).alias("band"), F.col("k.kmer").cast("long").alias("key")).distinct()
 
 
-def signatures(seqs: DataFrame) -> DataFrame:
-    """(row, sig): for each of SIGNED * 64 cells, whether an odd number of k-mers falls into it. Signatures of two texts
-    differ in no more cells than k-mers are left over when the texts are aligned."""
-
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            cells = [(np.frombuffer(x, np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64) % (SIGNED * 64) for x in pdf["seq"]]
-            yield pd.DataFrame({"row": pdf["row"], "sig": [np.packbits((np.bincount(c, minlength=SIGNED * 64) & 1).astype(np.uint8)).view(np.int64) for c in cells]})
-
-    return seqs.select("row", "seq").mapInPandas(sign, "row long, sig array<long>")
-
-
 def own_kmers(rows: DataFrame, seqs: DataFrame) -> DataFrame:
     """(row, own): how many k-mers of each row no other of the rows has. Hashes of four bytes can only make it smaller."""
     kmers_of = spread_kmers(seqs.join(rows, "row", "left_semi"))
@@ -251,6 +258,23 @@ def own_kmers(rows: DataFrame, seqs: DataFrame) -> DataFrame:
     return rows.join(own, "row", "left").select("row", F.coalesce("own", F.lit(0)).alias("own"))
 
 
+def _last_pairs(open_rows: DataFrame, labels: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """Merges the components of all similar pairs in a bucket. A pair within the bucket's largest component needs no look, so
+    rows outside of it meet all others."""
+    sizes = open_rows.groupBy(*BUCKET, "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = stash(sizes.groupBy(*BUCKET).agg(F.max_by("comp", F.struct("m", "comp")).alias("main")), "main")
+    every = stash(open_rows.join(main, BUCKET).withColumn("in_main", F.col("comp") == F.col("main")).drop("main"), "sides")
+    rest = every.filter("NOT in_main").select(*BUCKET, *[F.col(c).alias(f"{c}_") for c in ("row", "n", "own", "comp", "sig")])
+    common = F.least(F.col("n") - F.col("own"), F.col("n_") - F.col("own_"))  # k-mers that the two can have in common
+    fits = (common >= threshold * (F.col("n") + F.col("n_") - common) - 1e-9) & may_be_similar(F.col("n"), F.col("n_"), F.col("sig"), F.col("sig_"), threshold)
+    apart = (F.col("comp") != F.col("comp_")) & (F.col("in_main") | (F.col("row") < F.col("row_")))
+    pairs = _ordered(F.col("row"), F.col("row_"), rest.alias("r").join(every.alias("e"), [F.col(f"r.{c}") == F.col(f"e.{c}") for c in BUCKET] + [apart, fits]))
+    links = stash(linked(pairs, seqs, threshold), "links")
+    merged = merge_labels(labels, links)
+    discard(main, every, links)
+    return merged
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``id_col`` (long), class_id (least id of its class), class_size, kept, text_hash.
 
@@ -259,12 +283,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat it, one. A null id stays only if its class has no other. Other columns are ignored; an empty table gives an
     empty result.
 
-    Candidates are decided in rounds. In each bucket of rows with the same sketch, all that share FIRST sketches with a few
-    pivots (PIVOTS, a round each) are compared with them, which gathers a large group of copies by comparisons that grow with
-    its size only. Of what is still apart, a text that has over 1 - ``threshold`` of its k-mers to itself can have no partner
-    and is settled; the rest meet pivots with few k-mers of their own, which stand in a group's middle. Last, all pairs that
-    still are in different classes and share one sketch are compared, but for those that cannot be similar by their sizes,
-    their k-mers of their own, or their signatures; the rounds and these bounds save work and lose no pair.
+    Candidates are decided in rounds. In each bucket of rows with the same sketch every row is compared with a pivot, which
+    gathers a large group of copies by comparisons that grow with its size only. Of what is still apart, a text that has over
+    1 - ``threshold`` of its k-mers to itself can have no partner and is settled; the rest meet a pivot with few k-mers of its
+    own, which stands in a group's middle, as long as that pays (WORTH). Last, all pairs that still are in different
+    components and share one sketch are compared. Pairs that cannot be similar by their sizes, their k-mers of their own, or
+    their signatures are not aligned; the rounds and these bounds save work and lose no pair.
 
     Pairs in which a text has at most FEW k-mers are all found (:func:`short_buckets`). Of longer ones of similarity 0.8, a
     sketch is shared with probability 0.9999 or more (0.99992 at 16 of 20 k-mers, 0.99996 at 40 of 50)."""
@@ -272,42 +296,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.struct(F.col("id").isNull().alias("blank"), "id", "row")
     groups = stash(marks.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "groups")
     reps = groups.select(F.col("first.row").alias("row"))
-    brief = F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("brief")
-    picked = marks.filter("n > 0").select("row", "n", "bands", brief).join(reps, "row", "left_semi")
+    picked = marks.filter("n > 0").select("row", "bands").join(reps, "row", "left_semi")
     short = marks.filter(F.col("n").between(1, int(FEW / threshold + 1e-9))).join(reps, "row", "left_semi")
-    by_kmer = picked.select("row", "n", "brief").join(short_buckets(short, threshold), "row")
-    bands = stash(picked.select("row", "n", "brief", F.posexplode("bands").alias("band", "key")).unionByName(by_kmer), "bands")
-    bucket = ["band", "key"]
-    full = bands.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(*bucket)
-    shared = stash(bands.join(full, bucket), "shared")
-    seqs = stash(marks.select("row", "seq").join(shared.select("row").distinct(), "row", "left_semi"), "seqs")
-    labels = None
-    for turn, k in enumerate(PIVOTS):
-        labels = _pivot_round(_open_buckets(shared, labels), labels, seqs, threshold, [F.xxhash64(F.lit(turn * 100 + i), "row") for i in range(k)])
+    bands = stash(picked.select("row", F.posexplode("bands").alias("band", "key")).unionByName(short_buckets(short, threshold)), "bands")
+    full = stash(bands.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(*BUCKET), "full")
+    meeting = stash(bands.join(full, BUCKET), "meeting")
+    discard(bands, full)
+    seqs = stash(marks.select("row", "n", "sig", "seq").join(meeting.select("row").distinct(), "row", "left_semi"), "seqs")
+    shared = stash(meeting.join(seqs.select("row", "n", "sig"), "row"), "shared")
+    labels = _pivot_round(shared.withColumn("comp", F.col("row")), None, seqs, threshold, F.xxhash64(F.lit(0), "row"))
+    open_rows = _open_rows(shared, labels)
+    discard(meeting, shared)
     # of what is still apart, texts whose own k-mers are too many for any partner are settled
-    open_rows = stash(_open_buckets(shared, labels), "open")
-    shared = stash(shared.join(own_kmers(open_rows.select("row").distinct(), seqs), "row").filter(F.col("n") - F.col("own") >= threshold * F.col("n") - 1e-9), "shared")
-    for turn in range(CENTRAL_ROUNDS):
-        central = [F.struct(F.floor(F.col("own") * 50 / F.col("n")).alias("t"), F.xxhash64(F.lit(1000 + turn * 100 + i), "row").alias("x")) for i in range(CENTRAL)]
-        labels = _pivot_round(_open_buckets(shared, labels), labels, seqs, threshold, central)
-    open_rows = stash(_open_buckets(shared, labels), "open")
-    main = open_rows.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("m")).groupBy(*bucket).agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    signed = stash(signatures(seqs.join(open_rows.select("row").distinct(), "row", "left_semi")), "signatures")
-    main = open_rows.join(main, bucket).join(signed, "row")
-    named = lambda x, *more: main.select(*bucket, F.col("row").alias(x), F.col("n").alias(f"{x}n"), (F.col("n") - F.col("own")).alias(f"{x}s"), F.col("comp").alias(f"{x}c"), F.col("brief").alias(f"{x}b"), F.col("sig").alias(f"{x}g"), *more)
-    rest, every = named("u", F.col("main").alias("um")).filter("uc != um").drop("um"), named("v", (F.col("comp") == F.col("main")).alias("in_main"))
-    most = F.least("us", "vs")  # k-mers that the two can have in common
-    differ = reduce(add, [F.bit_count(F.get("ug", F.lit(i)).bitwiseXOR(F.get("vg", F.lit(i)))) for i in range(SIGNED)])
-    # a pair comes once: by the first sketch that it shares, or else by k-mers
-    first_shared = F.array_position(F.zip_with("ub", "vb", lambda x, y: x == y), True)
-    once = first_shared == F.when(F.col("r.band") == BANDS, 0).otherwise(F.col("r.band") + 1)
-    apart = [F.col(f"r.{c}") == F.col(f"e.{c}") for c in bucket] + [F.col("uc") != F.col("vc"), F.col("in_main") | (F.col("u") < F.col("v")), most >= threshold * (F.col("un") + F.col("vn") - most) - 1e-9, differ <= (F.col("un") + F.col("vn")) * ((1 - threshold) / (1 + threshold)) + 1e-6, once]
-    left = rest.alias("r").join(every.alias("e"), apart)
-    labels = merge_labels(labels, stash(linked(_ordered(F.col("u"), F.col("v"), left), seqs, threshold), "links"))
+    own = own_kmers(open_rows.select("row").distinct(), seqs)
+    shared = stash(open_rows.drop("comp").join(own, "row").filter(F.col("n") - F.col("own") >= threshold * F.col("n") - 1e-9), "shared")
+    discard(open_rows)
+    turn, before = 0, None
+    while True:
+        open_rows = _open_rows(shared.select(*BUCKET, "row", "n", "sig", "own"), labels)
+        discard(shared)
+        apart = open_rows.agg(F.approx_count_distinct("comp")).first()[0]  # steers the work only
+        if not apart or before and apart > (1 - WORTH) * before:
+            break
+        turn, before, shared = turn + 1, apart, open_rows
+        labels = _pivot_round(open_rows, labels, seqs, threshold, F.struct(F.floor(F.col("own") * 50 / F.col("n")).alias("t"), F.xxhash64(F.lit(turn), "row").alias("x")))
+    labels = _last_pairs(open_rows, labels, seqs, threshold) if apart else labels
+    discard(open_rows, seqs)
     named_groups = groups.join(labels.select("row", "comp"), groups["first.row"] == labels["row"], "left").select("digest", "first", "copies", F.coalesce("comp", "first.row").alias("comp"))
     named_groups = stash(named_groups, "classes")
-    classes = named_groups.groupBy("comp").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
+    discard(groups)
+    classes = stash(named_groups.groupBy("comp").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size")), "heads")
     verdicts = stash(named_groups.join(classes, "comp").select("digest", "copies", "head", "class_size"), "verdicts")
+    discard(named_groups, classes)
     bar = max(1, int(marks.count() * HOT_SHARE))
     hot = F.broadcast(verdicts.filter(F.col("copies") > bar))  # at most 1/HOT_SHARE rows
     slim = marks.select("row", "id", "text_hash", "digest")
@@ -327,4 +347,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`near_duplicates` of ``documents``: doc_id, class_id, class_size, kept."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
