@@ -93,12 +93,14 @@ def clear_graph(triples: DataFrame, graph: str) -> DataFrame:
 
 
 def schema_triples(df: DataFrame, name: str) -> DataFrame:
-    """Dataset, column and type facts of a table's schema."""
-    rows = [F.struct(F.lit(name).alias("s"), F.lit("type").alias("p"), F.lit("Dataset").alias("o"))]
+    """Dataset, column and type facts of a table, and how many rows, nulls and (about) distinct values its columns have."""
+    fact = lambda s, p, o: F.struct(F.lit(s).alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    rows = [fact(name, "type", F.lit("Dataset")), fact(name, "rowCount", F.count(F.lit(1)).cast("string"))]
     for f in df.schema:
-        at = f"{name}.{f.name}"
-        rows += [F.struct(F.lit(a).alias("s"), F.lit(b).alias("p"), F.lit(c).alias("o")) for a, b, c in ((name, "hasColumn", at), (at, "dataType", f.dataType.simpleString()), (at, "nullable", str(f.nullable).lower()))]
-    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+        at, c = f"{name}.{f.name}", F.col(f"`{f.name}`")
+        rows += [fact(name, "hasColumn", F.lit(at)), fact(at, "dataType", F.lit(f.dataType.simpleString())), fact(at, "nullable", F.lit(str(f.nullable).lower()))]
+        rows += [fact(at, "nullCount", F.count_if(c.isNull()).cast("string")), fact(at, "distinctCount", F.approx_count_distinct(c, 0.01).cast("string"))]
+    return df.agg(F.array(*rows).alias("a")).select(F.inline("a"))
 
 
 def refresh(triples: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ BY = ["entity", "field"]
 def _vote(df: DataFrame, strategy: str, weight: Column) -> DataFrame:
     """(entity, field, value, votes, total, confidence, candidates, severity): the heaviest value, ties by value."""
     sums = df.filter(F.col("value").isNotNull()).groupBy(*BY, "value").agg(F.sum(weight).alias("votes"))
-    best = sums.groupBy(*BY).agg(F.max_by("value", F.struct("votes", _reversed(F.col("value")))).alias("value"), F.max("votes").alias("votes"), F.sum("votes").alias("total"), F.count(F.lit(1)).alias("candidates"))
+    best = sums.groupBy(*BY).agg(_surest("votes").alias("value"), F.max("votes").alias("votes"), F.sum("votes").alias("total"), F.count(F.lit(1)).alias("candidates"))
     high, medium = SEVERITY[strategy]
     c = F.coalesce(F.try_divide(F.col("votes"), F.col("total")), F.lit(0.0))
     low = (c <= high) if strategy == "frequency" else (c < high)
@@ -24,9 +24,9 @@ def _vote(df: DataFrame, strategy: str, weight: Column) -> DataFrame:
     return best.withColumns({"confidence": c, "severity": severity})
 
 
-def _reversed(value: Column) -> Column:
-    """Orders texts the other way round, so that the largest is the least text."""
-    return F.transform(F.split(value, ""), lambda ch: -F.ascii(ch))
+def _surest(by: str) -> Column:
+    """The value that is largest by a column, of equal ones the least; null is the smallest."""
+    return F.min_by("value", F.struct(F.col(by).isNull().alias("none"), (-F.col(by)).alias("by"), "value"))
 
 
 def frequency_vote(df: DataFrame) -> DataFrame:
@@ -79,11 +79,11 @@ def resolve_conflicts(df: DataFrame, strategy: str, primary: str | None = None,
     some = F.col("value").isNotNull()
     distinct = F.array_sort(F.collect_set("value"))
     if strategy == "use_primary":
-        value = F.coalesce(F.max(F.when(F.col("source") == primary, F.col("value"))), F.max_by("value", F.struct("confidence", _reversed(F.col("value")))))
+        value = F.coalesce(F.max(F.when(F.col("source") == primary, F.col("value"))), _surest("confidence"))
     elif strategy == "merge":
         value = F.array_join(distinct, separator)
     elif strategy == "coalesce":
-        value = F.max_by("value", F.struct("confidence", _reversed(F.col("value"))))
+        value = _surest("confidence")
     else:
         raise ValueError(f"unknown strategy {strategy}")
     return df.filter(some).groupBy(*BY).agg(value.alias("value"), F.when(F.size(distinct) == 1, "no_conflict").otherwise(strategy).alias("how"))
@@ -91,7 +91,7 @@ def resolve_conflicts(df: DataFrame, strategy: str, primary: str | None = None,
 
 def suggest_strategy(df: DataFrame) -> DataFrame:
     """One source is surest: primary; all equally sure: coalesce; else first."""
-    top = F.max("confidence")
-    g = df.filter(F.col("value").isNotNull()).groupBy(*BY).agg(top.alias("hi"), F.min("confidence").alias("lo"), F.collect_list("confidence").alias("all"))
-    single = F.size(F.filter("all", lambda c: c == F.col("hi"))) == 1
+    levels = df.filter(F.col("value").isNotNull()).groupBy(*BY, "confidence").agg(F.count(F.lit(1)).alias("n"))
+    g = levels.groupBy(*BY).agg(F.max("confidence").alias("hi"), F.min("confidence").alias("lo"), F.max_by("n", "confidence").alias("n"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
     return g.select(*BY, F.when(F.col("hi") == F.col("lo"), "coalesce").when(single, "primary").otherwise("first").alias("strategy"))

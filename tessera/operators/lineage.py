@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hops after which a traversal stops.
-MAX_HOPS = 10
-
 # Changes that break readers.
 BREAKING = ("drop_table", "drop_column", "change_type", "set_not_null", "drop_primary_key", "drop_foreign_key")
 CRITICAL = r"(?i)prod|fact_|dim_|public"
@@ -61,39 +58,57 @@ def column_edges(job: str, mapping: Sequence[tuple[Sequence[str], str, str]], sp
     return spark.createDataFrame(rows, "src string, dst string, kind string, reversible boolean, job string")
 
 
-def trace(edges: DataFrame, starts: DataFrame, direction: str = "downstream", max_hops: int = MAX_HOPS) -> DataFrame:
-    """(start, node, hops): all that is reached, with the fewest hops. Breadth first: each hop is one join of the frontier;
-    nodes that were reached before are left out, so a cycle ends. ``starts`` has a column ``start``."""
+def trace(edges: DataFrame, starts: DataFrame, direction: str = "downstream", max_hops: int | None = None) -> DataFrame:
+    """(start, node, hops): all that is reached, with the fewest hops, at most ``max_hops`` away if that is given. Breadth
+    first: each hop is one join of the frontier; nodes that were reached before are left out, so a cycle ends. What a hop
+    finds is written once. ``starts`` has a column ``start``."""
     e = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")) if direction == "downstream" else edges.select(F.col("dst").alias("x"), F.col("src").alias("y"))
     e = e.distinct().checkpoint()
     frontier = starts.select("start", F.col("start").alias("node")).distinct().checkpoint()
-    seen, out = frontier, None
-    for hop in range(1, max_hops + 1):
+    seen, out, hop = frontier, None, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = frontier.join(e, frontier["node"] == e["x"]).select("start", F.col("y").alias("node")).distinct().join(seen, ["start", "node"], "left_anti").checkpoint()
         if not step.take(1):
             break
         found = step.withColumn("hops", F.lit(hop))
         out = found if out is None else out.unionByName(found)
-        seen, frontier = seen.unionByName(step).checkpoint(), step
+        seen, frontier = seen.unionByName(step), step
     return out if out is not None else frontier.filter("false").withColumn("hops", F.lit(0))
 
 
-def cycles(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(node, length) of nodes that reach themselves, by the shortest way."""
+def _without_ends(edges: DataFrame) -> DataFrame:
+    """The edges that can be part of a cycle: those whose source has no edge to it, or whose target none from it, go until
+    none is left."""
     e = edges.select("src", "dst").distinct().checkpoint()
-    walks, out = e.select(F.col("src").alias("node"), F.col("dst").alias("at")).checkpoint(), None
+    n = e.count()
+    while n:
+        kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
+        before, n = n, kept.count()
+        e = kept
+        if n == before:
+            break
+    return e
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, length) of nodes that reach themselves, by the shortest way, however long. Walks start only from what is left
+    when all that leads nowhere is gone."""
+    e = _without_ends(edges)
+    walks, out, n = e.select(F.col("src").alias("node"), F.col("dst").alias("at")), None, 0
     seen = walks
-    for n in range(1, max_hops + 1):
+    while True:
+        n += 1
         back = walks.filter("node = at").select("node", F.lit(n).alias("length"))
         out = back if out is None else out.unionByName(back)
         walks = walks.join(e, walks["at"] == e["src"]).select("node", F.col("dst").alias("at")).distinct().join(seen, ["node", "at"], "left_anti").checkpoint()
         if not walks.take(1):
             break
-        seen = seen.unionByName(walks).checkpoint()
+        seen = seen.unionByName(walks)
     return out.groupBy("node").agg(F.min("length").alias("length"))
 
 
-def impact(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def impact(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(start, affected, jobs, depth): how many nodes and jobs a change reaches, and how far."""
     reached = trace(edges, starts, "downstream", max_hops)
     jobs = edges.select(F.col("dst").alias("node"), "job").distinct()
@@ -104,10 +119,18 @@ def critical_dependencies(reached: DataFrame) -> DataFrame:
     return reached.filter(F.col("node").rlike(CRITICAL))
 
 
-def depth(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """The longest of the shortest ways from nodes without a source."""
-    roots = edges.select(F.col("src").alias("start")).distinct().join(edges.select(F.col("dst").alias("start")), "start", "left_anti")
-    return trace(edges, roots, "downstream", max_hops).agg(F.coalesce(F.max("hops"), F.lit(0)).alias("depth"))
+def depth(edges: DataFrame) -> DataFrame:
+    """(depth, cyclic), one row: the longest chain of edges, and whether some are in a cycle or behind one, which count for
+    nothing. Sources go a layer at a time, so there are as many rounds as the chain is long."""
+    e, layers = edges.select("src", "dst").distinct().checkpoint(), 0
+    n = e.count()
+    while n:
+        kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").checkpoint()
+        before, n = n, kept.count()
+        if n == before:
+            break
+        e, layers = kept, layers + 1
+    return edges.sparkSession.range(1).select(F.lit(layers).alias("depth"), F.lit(n > 0).alias("cyclic"))
 
 
 def record_edges(events: DataFrame) -> DataFrame:
@@ -128,7 +151,7 @@ def source_impact(events: DataFrame, source: str) -> DataFrame:
     return out.withColumn("risk", F.when(F.col("models") > 5, "critical").when(F.col("models") > 1, "high").when(F.col("records") > 100, "medium").otherwise("low"))
 
 
-def root_causes(edges: DataFrame, records: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def root_causes(edges: DataFrame, records: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(start, node, hops) of the upstream nodes that have no source themselves."""
     up = trace(edges, records, "upstream", max_hops)
     return up.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,10 +106,24 @@ def tf_vectors(df: DataFrame, key: str, column: str) -> DataFrame:
     return words.join(norm, key).select(key, "term", (F.col("n") / F.col("norm")).alias("weight"))
 
 
-def tf_cosine(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """(left_key, right_key, cosine) of term vectors that share a term: a join by term and a sum."""
-    r = right.select(right_key, "term", F.col("weight").alias("w2"))
-    return left.join(r, "term").groupBy(left_key, right_key).agg(F.sum(F.col("weight") * F.col("w2")).alias("cosine"))
+def _prefixes(vectors: DataFrame, key: str, frequency: DataFrame, least: float) -> DataFrame:
+    """(key, term): each vector's rarest terms, as many as leave a rest that is shorter than ``least``."""
+    w = Window.partitionBy(key).orderBy("f", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w))  # of this term and all that are more frequent
+    return vectors.join(frequency, "term").withColumn("rest", rest).filter(F.col("rest") >= least - 1e-9).select(key, "term")
+
+
+def tf_cosine(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.3) -> DataFrame:
+    """(left_key, right_key, cosine) of term vectors of length one whose cosine is ``least`` (over 0) or more.
+
+    Vectors meet by their rare terms only: of two such vectors each holds, among its rarest terms, one that the other holds
+    among its own, as the rest of a vector is shorter than ``least``. So a word that all texts have joins nothing."""
+    if least <= 0:
+        raise ValueError("least must be over 0")
+    frequency = left.select("term").unionByName(right.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("f"))
+    pairs = _prefixes(left, left_key, frequency, least).join(_prefixes(right, right_key, frequency, least), "term").select(left_key, right_key).distinct()
+    both = pairs.join(left.select(left_key, "term", F.col("weight").alias("w1")), left_key).join(right.select(right_key, "term", F.col("weight").alias("w2")), [right_key, "term"])
+    return both.groupBy(left_key, right_key).agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine")).filter(F.col("cosine") >= least - 1e-12)
 
 
 def statistical_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -128,7 +142,7 @@ def map_fields(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
     names, of which there are few."""
     pairs = left.select(F.col("field").alias("source")).join(F.broadcast(right.select(F.col("field").alias("target"))))
     scored = pairs.withColumn("confidence", lexical_similarity(F.col("source"), F.col("target")))
-    best = top_k_per_group(scored, ["source"], [F.desc("confidence"), F.col("target")], k)
+    best = top_k_per_group(scored, ["source"], [F.desc(F.round("confidence", 9)), F.col("target")], k)
     return best.withColumn("category", F.when(F.col("confidence") >= 0.9, "auto").when(F.col("confidence") >= 0.7, "recommended").otherwise("possible"))
 
 
@@ -227,10 +241,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, least: float = -1.0) -> DataFrame:
-    """(query, key, similarity, rank): a stated set of queries against all vectors; the queries are few and broadcast."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    pairs = vectors.join(F.broadcast(q), F.col(key) != F.col("query"))
+def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, least: float = -1.0, block: int = 1000) -> DataFrame:
+    """(query, key, similarity, rank): a stated set of queries against all vectors. Both are dealt into blocks, and each
+    block of at most some ``block`` queries meets each block of vectors in one task, so neither side is broadcast."""
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = -(-queries.count() // block) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q")).withColumn("_i", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("_j", every(parts))
+    v = vectors.select(key, vector).withColumn("_j", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("_i", every(blocks))
+    pairs = v.join(q, ["_i", "_j"]).filter(F.col(key) != F.col("query"))
     scored = pairs.select("query", key, cosine(F.col("_q"), F.col(vector)).alias("similarity")).filter(F.col("similarity") >= least)
     return top_k_per_group(scored, ["query"], [F.desc("similarity"), F.col(key)], k)
 

@@ -12,13 +12,13 @@ from .rows import number
 
 # What a value of each kind looks like.
 PATTERNS = {
-    "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
+    "email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
+    "phone": r"^(\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}$",
     "ssn": r"^\d{3}-\d{2}-\d{4}$",
-    "phone": r"^\+?1?[-. ]?\(?\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}$",
-    "credit_card": r"^\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}$",
-    "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    "credit_card": r"^\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}$",
+    "uuid": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     "ip": r"^(\d{1,3}\.){3}\d{1,3}$",
-    "url": r"^https?://\S+$",
+    "url": r"^https?://[^\s/$.?#].[^\s]*$",
     "postal_code": r"^\d{5}(-\d{4})?$",
 }
 IN_TEXT = {
@@ -111,7 +111,7 @@ def match_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for kind, pattern in PATTERNS.items():
             fits = v.rlike(pattern)
             if kind == "credit_card":
-                digits = F.regexp_replace(v, "[- ]", "")
+                digits = F.regexp_replace(v, r"[-\s]", "")
                 fits = fits & F.coalesce(F.call_function("luhn_check", F.when(fits, digits)), F.lit(False))
             parts.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.coalesce(F.try_divide(F.count_if(fits), F.count_if(present(F.col(c)))), F.lit(0.0)).alias("share")))
     return _long(df, parts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,21 @@ PENALTY = {"info": 0.01, "warning": 0.05, "error": 0.15, "critical": 0.30}
 DATE = "yyyy-MM-dd"
 
 
+def _repeated(field: str) -> str:
+    return f"_repeated_{field}"
+
+
+def mark_repeats(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
+    """``df`` with a mark for each UNIQUE rule at rows whose value others have too: repeated values are found by an
+    aggregation that combines before the shuffle, then joined, so a hot value can be split and nulls stay where they are."""
+    for f in dict.fromkeys(r["field"] for r in rules if r["rule"].upper() == "UNIQUE"):
+        often = df.filter(F.col(f).isNotNull()).groupBy(f).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(f, F.lit(True).alias(_repeated(f)))
+        df = df.join(often, f, "left").select(*df.columns, _repeated(f))
+    return df
+
+
 def rule_holds(rule: Mapping) -> Column:
-    """Whether a row meets a rule; never null."""
+    """Whether a row meets a rule; never null. For UNIQUE the rows come from :func:`mark_repeats`."""
     kind, c = rule["rule"].upper(), F.col(rule["field"])
     if kind == "NOT_NULL":
         return c.isNotNull()
@@ -30,8 +43,8 @@ def rule_holds(rule: Mapping) -> Column:
     elif kind == "LENGTH":
         n = F.octet_length(c)
         out = (n >= rule.get("min", 0)) & (n <= rule.get("max", 1 << 30))
-    elif kind == "UNIQUE":  # a shuffle by the field
-        out = c.isNull() | (F.count(F.lit(1)).over(Window.partitionBy(c)) == 1)
+    elif kind == "UNIQUE":
+        out = c.isNull() | F.col(_repeated(rule["field"])).isNull()
     elif kind == "DATE_RANGE":
         d = F.coalesce(F.try_to_date(c.cast("string"), rule.get("format", DATE)), F.try_to_date(F.left(c.cast("string"), F.lit(10)), DATE))
         out = (d >= F.lit(rule.get("min", "0001-01-01")).cast("date")) & (d <= F.lit(rule.get("max", "9999-12-31")).cast("date"))
@@ -44,12 +57,13 @@ def rule_holds(rule: Mapping) -> Column:
 
 
 def with_violations(df: DataFrame, rules: Sequence[Mapping], to: str = "_violations") -> DataFrame:
-    """Rows with an array of the (field, rule, value, severity) they break; all rules in one pass."""
+    """Rows with an array of the (field, rule, value, severity) they break; all rules in one pass, but that UNIQUE needs a
+    join."""
     found = [
         F.when(~rule_holds(r), F.struct(F.lit(r["field"]).alias("field"), F.lit(r["rule"].upper()).alias("rule"), F.col(r["field"]).cast("string").alias("value"), F.lit(r.get("severity", "error")).alias("severity")))
         for r in rules
     ]
-    return df.withColumn(to, F.array_compact(F.array(*found)))
+    return mark_repeats(df, rules).select(*[c for c in df.columns if c != to], F.array_compact(F.array(*found)).alias(to))
 
 
 def validate(df: DataFrame, rules: Sequence[Mapping], keys: Sequence[str]) -> DataFrame:

@@ -54,11 +54,10 @@ def exclude_held(candidates: DataFrame, holds: DataFrame, key: str) -> DataFrame
 
 
 def enrich_by_ids(df: DataFrame, ids: str, artifacts: DataFrame, key: str, to: str) -> DataFrame:
-    """Collects the artifacts that an array of ids names, sorted by id."""
-    cols = [c for c in artifacts.columns]
-    wide = df.withColumn("_at", F.xxhash64(*df.columns))
-    got = wide.select("_at", F.explode(F.array_distinct(ids)).alias(key)).distinct().join(artifacts, key).groupBy("_at").agg(F.array_sort(F.collect_list(F.struct(key, *[c for c in cols if c != key]))).alias(to))
-    return wide.join(got, "_at", "left").drop("_at")
+    """Collects the artifacts that an array of ids names, sorted by id. Each distinct array is looked up once."""
+    got = df.select(ids).distinct().select(ids, F.explode(F.array_distinct(ids)).alias(key)).join(artifacts, key)
+    got = got.groupBy(ids).agg(F.array_sort(F.collect_list(F.struct(key, *[c for c in artifacts.columns if c != key]))).alias(to))
+    return df.join(got, ids, "left").select(*df.columns, to)
 
 
 # -- aggregation

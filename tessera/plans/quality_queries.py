@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import golden, match, profile, quality
-from .registry import query, table
+from ..operators import golden, match, profile, quality, vectors
+from .registry import checkpoint_folder, query, table
 
 # -- K: validation
 
@@ -14,7 +14,7 @@ from .registry import query, table
 def _rule(name: str, rule: dict, source: str, key: str, sql: str) -> None:
     @query(name, f"SELECT {key}, ({sql}) AS ok FROM {source}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, source).select(*[k.strip() for k in key.split(",")], quality.rule_holds(rule).alias("ok"))
+        return quality.mark_repeats(table(spark, sf_dir, source), [rule]).select(*[k.strip() for k in key.split(",")], quality.rule_holds(rule).alias("ok"))
 
 
 _rule("k01_not_null", {"rule": "NOT_NULL", "field": "c_name"}, "customer", "c_custkey", "c_name IS NOT NULL")
@@ -125,9 +125,10 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.top_values(table(spark, sf_dir, "part"), ["p_brand", "p_size"], 3)
 
 
-@query("l03_candidate_keys", "SELECT 'c_custkey' AS \"column\", 1.0::DOUBLE AS cardinality UNION ALL SELECT 'c_name', 1.0")
+@query("l03_candidate_keys", """SELECT * FROM (SELECT 'c_custkey' AS "column", count(DISTINCT c_custkey) / count(c_custkey) AS cardinality FROM customer UNION ALL SELECT 'c_name', count(DISTINCT c_name) / count(c_name) FROM customer
+    UNION ALL SELECT 'c_acctbal', round(count(DISTINCT c_acctbal) / count(c_acctbal), 6) FROM customer UNION ALL SELECT 'c_nationkey', round(count(DISTINCT c_nationkey) / count(c_nationkey), 6) FROM customer) WHERE cardinality >= 0.95""")
 def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.candidate_keys(profile.profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]))
+    return profile.candidate_keys(profile.profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_acctbal", "c_nationkey"])).withColumn("cardinality", F.round("cardinality", 6))
 
 
 @query("l04_quartiles", "SELECT 'l_quantity' AS \"column\", quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.75) AS p75 FROM lineitem UNION ALL SELECT 'l_extendedprice', round(quantile_cont(l_extendedprice, 0.25), 6), round(quantile_cont(l_extendedprice, 0.5), 6), round(quantile_cont(l_extendedprice, 0.75), 6) FROM lineitem")
@@ -145,14 +146,19 @@ def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.depth_histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 4).select("bin", "low")
 
 
-@query("l06_cardinality_class", "SELECT unnest(['c_custkey', 'c_mktsegment']) AS \"column\", unnest(['unique', 'very_low']) AS class")
+@query("l06_cardinality_class", """SELECT "column", round(c, 6) AS cardinality, CASE WHEN c >= 0.99 THEN 'unique' WHEN c >= 0.8 THEN 'high' WHEN c >= 0.3 THEN 'medium' WHEN c >= 0.05 THEN 'low' ELSE 'very_low' END AS class FROM
+    (SELECT 'o_orderkey' AS "column", count(DISTINCT o_orderkey) / count(*) AS c FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) / count(*) FROM orders UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice) / count(*) FROM orders UNION ALL SELECT 'o_orderdate', count(DISTINCT o_orderdate) / count(*) FROM orders)""")
 def cardinality_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile.profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_mktsegment"])
-    return p.select("column", profile.cardinality_class(F.col("cardinality")).alias("class"))
+    p = profile.profile(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
+    return p.select("column", F.round("cardinality", 6).alias("cardinality"), profile.cardinality_class(F.col("cardinality")).alias("class"))
 
 
 def _types(name: str, threshold: float) -> None:
-    @query(name, "SELECT unnest(['p_size', 'p_retailprice', 'p_name', 'mostly']) AS \"column\", unnest(['integer', 'float', 'string', '" + ("integer" if threshold < 0.85 else "string") + "']) AS inferred")
+    numeric = "(SELECT count(*) FILTER (p_partkey % 7 <> 0)::DOUBLE / count(*) FROM part)"
+
+    @query(name, f"""SELECT unnest(['p_size', 'p_retailprice', 'p_name', 'mostly']) AS "column", unnest([
+        CASE WHEN (SELECT count(*) FILTER (regexp_full_match(p_size::VARCHAR, '[+-]?[0-9]+')) / count(*) FROM part) > {threshold} THEN 'integer' ELSE 'string' END, CASE WHEN (SELECT count(*) FILTER (p_retailprice % 1 <> 0 OR true) / count(*) FROM part) > {threshold} THEN 'float' END,
+        CASE WHEN (SELECT count(*) FILTER (regexp_full_match(p_name, '[+-]?[0-9.]+')) / count(*) FROM part) > {threshold} THEN 'float' ELSE 'string' END, CASE WHEN {numeric} > {threshold} THEN 'integer' ELSE 'string' END]) AS inferred""")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from ..sources.readers import infer_types
 
@@ -178,7 +184,8 @@ def semantic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.semantic_types(_contacts(spark, sf_dir), ["email", "host", "full_name", "phone"]).withColumn("share", F.round("share", 6))
 
 
-@query("l11_pii_by_value", "SELECT unnest(['email', 'host', 'phone']) AS \"column\", unnest(['email', 'ip', 'phone']) AS by_value")
+@query("l11_pii_by_value", """SELECT "column", by_value FROM (SELECT count(*) AS n, count(*) FILTER (regexp_full_match('c' || c_custkey || '@example.org', '[a-z0-9]+@[a-z]+\\.[a-z]+')) AS e, count(*) FILTER (c_custkey % 256 <= 999) AS h, count(*) FILTER (c_custkey % 10 < 8) AS p FROM customer),
+    (VALUES ('email', 'email'), ('host', 'ip'), ('phone', 'phone')) k("column", by_value) WHERE CASE by_value WHEN 'email' THEN e WHEN 'ip' THEN h ELSE p END > 0.7 * n""")
 def pii_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.detect_pii(_contacts(spark, sf_dir), ["email", "host", "full_name", "phone"]).filter("by_value IS NOT NULL").select("column", "by_value")
 
@@ -188,7 +195,7 @@ def pii_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.detect_pii(_contacts(spark, sf_dir), ["email", "host", "full_name", "phone"]).select("column", "kind", F.round("confidence", 6).alias("confidence"))
 
 
-@query("l13_classification", "SELECT 3 AS rank, 'restricted' AS class")
+@query("l13_classification", "SELECT CASE WHEN count(*) > 0 THEN 3 ELSE 0 END AS rank, CASE WHEN count(*) > 0 THEN 'restricted' ELSE 'public' END AS class FROM customer WHERE regexp_full_match('c' || c_custkey || '@example.org', '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')")
 def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.classify(profile.detect_pii(_contacts(spark, sf_dir), ["email", "host", "full_name", "phone"]))
 
@@ -212,19 +219,33 @@ def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.quality_issues(table(spark, sf_dir, "customer").select(F.when(s == "BUILDING", "").when(s == "MACHINERY", F.concat(s, F.lit(" "))).otherwise(s).alias("seg")), ["seg"])
 
 
-@query("l17_scan_text", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n_email, len(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS n_ip FROM documents""")
+@query("l17_scan_text", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n_email, len(regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b')) AS n_ssn, len(regexp_extract_all(text, '\(?\b\d{3}\)?[-. ]\d{3}[-. ]\d{4}\b')) AS n_phone,
+    len(regexp_extract_all(text, '\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b')) AS n_credit_card, len(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS n_ip FROM documents""")
 def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.scan_text(table(spark, sf_dir, "documents"), "text").select("doc_id", "n_email", "n_ip")
+    return profile.scan_text(table(spark, sf_dir, "documents"), "text").select("doc_id", "n_email", "n_ssn", "n_phone", "n_credit_card", "n_ip")
+
+
+def _column_sql(table_name: str, column: str, number: bool) -> str:
+    mean, sd, longest = (f"round(avg({column}), 4)", f"round(stddev_pop({column}), 4)", "NULL::INT") if number else ("NULL", "NULL", f"max(length({column}))")
+    return f"SELECT '{table_name}' AS \"table\", '{column}' AS \"column\", count(*) AS rows, count(*) FILTER ({column} IS NULL) AS nulls, count(DISTINCT {column}) AS distinct_values, {mean} AS mean, {sd} AS stddev, {longest} AS max_length FROM {table_name}"
+
 
+PROFILED = {"customer": {"c_custkey": True, "c_name": False, "c_nationkey": True, "c_acctbal": True, "c_mktsegment": False}, "orders": {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True, "o_orderpriority": False}}
 
-@query("l18_profile_tables", "SELECT 'region' AS \"table\", unnest(['r_regionkey', 'r_name']) AS \"column\", 5 AS rows UNION ALL SELECT 'nation', unnest(['n_nationkey', 'n_name', 'n_regionkey']), 25")
+
+@query("l18_profile_tables", " UNION ALL ".join(_column_sql(t, c, n) for t, columns in PROFILED.items() for c, n in columns.items()))
 def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_tables({n: table(spark, sf_dir, n) for n in ("region", "nation")}).select("table", "column", "rows")
+    p = profile.profile_tables({n: table(spark, sf_dir, n).select(*columns) for n, columns in PROFILED.items()}, exact=True)
+    return p.select("table", "column", "rows", "nulls", "distinct_values", *[F.round(c, 4).alias(c) for c in ("mean", "stddev")], "max_length")
 
 
-@query("f11_merge_sketches", "SELECT count(*) AS rows, 0 AS nulls FROM orders")
+@query("f11_merge_sketches", "SELECT count(*) AS rows, count(*) FILTER (o_totalprice < 50000) AS nulls, true AS near FROM orders")
 def merge_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.merge_sketches(profile.sketch(table(spark, sf_dir, "orders"), "o_custkey", F.year("o_orderdate"))).select("rows", "nulls")
+    """Yearly sketches of the customers of large orders, merged; the estimate is held against the exact number (a tenth)."""
+    o = table(spark, sf_dir, "orders").withColumn("who", F.when(F.col("o_totalprice") >= 50000, F.col("o_custkey")))
+    merged = profile.merge_sketches(profile.sketch(o, "who", F.year("o_orderdate")))
+    exact = o.agg(F.count_distinct("who").alias("exact"))
+    return merged.join(F.broadcast(exact)).select("rows", "nulls", (F.abs(F.col("distinct_values") - F.col("exact")) <= F.col("exact") * 0.1).alias("near"))  # one row each
 
 
 # -- M: matching
@@ -248,7 +269,7 @@ def jaro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("p_partkey", F.round(match.jaro(F.col("a"), F.col("b")), 6).alias("j"))
 
 
-@query("m02_jaro_winkler")
+@query("m02_jaro_winkler", f"SELECT p_partkey, round(j + p * 0.1 * (1 - j), 6) AS jw FROM (SELECT p_partkey, jaro_similarity(a, b) AS j, CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END AS p FROM {PAIRS})")
 def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("p_partkey", F.round(match.jaro_winkler(F.col("a"), F.col("b")), 6).alias("jw"))
 
@@ -259,36 +280,58 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("p_partkey", F.round(match.jaccard(match.tokens(F.col("a")), match.tokens(F.col("b"))), 6).alias("s"))
 
 
-@query("m04_substring_ratio")
+COMMON = "coalesce((SELECT max(n) FROM (SELECT unnest(range(1, length(a) + 1)) AS i), (SELECT unnest(range(1, length(a) + 1)) AS n) WHERE i + n - 1 <= length(a) AND contains(b, substring(a, i, n))), 0)"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''))"
+_SAME = "CASE WHEN a[1] <> b[1] THEN 0 WHEN a[2] <> b[2] THEN 1 WHEN a[3] <> b[3] THEN 2 WHEN a[4] <> b[4] THEN 3 ELSE 4 END"
+
+
+def _lexical_sql(columns: str, source: str) -> str:
+    """``columns`` and the lexical similarity ``s`` of a and b of ``source``."""
+    x, y = _WORDS.format("a"), _WORDS.format("b")
+    return f"""SELECT {columns}, 0.25 * (1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) + 0.35 * (jaro_similarity(a, b) + {_SAME} * 0.1 * (1 - jaro_similarity(a, b)))
+        + 0.25 * len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))) + 0.15 * {COMMON}::DOUBLE / greatest(length(a), length(b)) AS s FROM {source}"""
+
+
+@query("m04_substring_ratio", f"SELECT p_partkey, round({COMMON}::DOUBLE / greatest(length(a), length(b)), 6) AS s FROM {PAIRS}")
 def substring_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("p_partkey", match.substring_ratio(F.col("a"), F.col("b")).alias("s"))
+    return _pairs(spark, sf_dir).select("p_partkey", F.round(match.substring_ratio(F.col("a"), F.col("b")), 6).alias("s"))
 
 
-@query("m05_lexical")
+@query("m05_lexical", f"SELECT p_partkey, round(s, 6) AS s FROM ({_lexical_sql('p_partkey', PAIRS)})")
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("p_partkey", match.lexical_similarity(F.col("a"), F.col("b")).alias("s"))
+    return _pairs(spark, sf_dir).select("p_partkey", F.round(match.lexical_similarity(F.col("a"), F.col("b")), 6).alias("s"))
 
 
 @query("m06_tf_cosine", """WITH w AS (SELECT item_id, t, count(*)::DOUBLE AS n FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS t FROM benchmark) GROUP BY 1, 2),
     v AS (SELECT item_id, t, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS w FROM w),
     p AS (SELECT p_partkey, t, n / sqrt(sum(n * n) OVER (PARTITION BY p_partkey)) AS w FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS t, 1.0::DOUBLE AS n FROM part))
-    SELECT a.item_id AS a, b.item_id AS b, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b USING (t) WHERE a.item_id < b.item_id GROUP BY 1, 2""")
+    SELECT a.item_id AS a, b.item_id AS b, round(sum(a.w * b.w), 6) AS cosine FROM v a JOIN v b USING (t) WHERE a.item_id < b.item_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.3""")
 def tf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = match.tf_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    pairs = match.tf_cosine(v.withColumnRenamed("item_id", "a"), v.withColumnRenamed("item_id", "b"), "a", "b")
+    pairs = match.tf_cosine(v.withColumnRenamed("item_id", "a"), v.withColumnRenamed("item_id", "b"), "a", "b", 0.3)
     return pairs.filter("a < b").withColumn("cosine", F.round("cosine", 6))
 
 
-@query("m07_statistical")
+STATS = lambda t, c: f"SELECT '{c}' AS c, count(DISTINCT {c}) / count({c}) AS k, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM {t}"
+
+
+@query("m07_statistical", f"""SELECT a.c AS a_column, b.c AS b_column, round((1 - abs(a.k - b.k)) * 0.4 + 0.2 + CASE WHEN greatest(a.hi, b.hi) = least(a.lo, b.lo) THEN 1 ELSE greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) / (greatest(a.hi, b.hi) - least(a.lo, b.lo)) END * 0.4, 6) AS similarity
+    FROM ({STATS('customer', 'c_custkey')} UNION ALL {STATS('customer', 'c_acctbal')}) a, ({STATS('supplier', 's_suppkey')} UNION ALL {STATS('supplier', 's_acctbal')}) b""")
 def statistical(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = profile.profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_acctbal"])
-    return match.statistical_similarity(a, profile.profile(table(spark, sf_dir, "supplier"), ["s_suppkey", "s_acctbal"]))
+    s = match.statistical_similarity(a, profile.profile(table(spark, sf_dir, "supplier"), ["s_suppkey", "s_acctbal"]))
+    return s.withColumn("similarity", F.round("similarity", 6))
+
 
+NAMED = "(SELECT a, b FROM (SELECT DISTINCT lower(c_mktsegment) AS a FROM customer), (SELECT DISTINCT lower(p_type) AS b FROM part))"
 
-@query("m08_map_fields")
+
+@query("m08_map_fields", f"""SELECT source, target, round(s, 6) AS confidence, CASE WHEN s >= 0.9 THEN 'auto' WHEN s >= 0.7 THEN 'recommended' ELSE 'possible' END AS category FROM
+    (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(s, 9) DESC, target) AS rn FROM ({_lexical_sql('a AS source, b AS target', NAMED)})) WHERE rn <= 3""")
 def map_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda n, cut: table(spark, sf_dir, n).select(F.explode(F.array(*[F.lit(c[cut:]) for c in table(spark, sf_dir, n).columns])).alias("field")).distinct()
-    return match.map_fields(of("customer", 2), of("supplier", 2))
+    """Segments and part types as two vocabularies of names."""
+    of = lambda n, c: table(spark, sf_dir, n).select(F.lower(c).alias("field")).distinct()
+    return match.map_fields(of("customer", "c_mktsegment"), of("part", "p_type")).select("source", "target", F.round("confidence", 6).alias("confidence"), "category")
 
 
 OVERLAP = """WITH v AS (SELECT DISTINCT 'orders' AS t, 'orders.o_custkey' AS c, o_custkey::VARCHAR AS v FROM orders UNION ALL SELECT DISTINCT 'customer', 'customer.c_custkey', c_custkey::VARCHAR FROM customer UNION ALL SELECT DISTINCT 'customer', 'customer.c_nationkey', c_nationkey::VARCHAR FROM customer),
@@ -305,14 +348,26 @@ def value_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(spark, sf_dir)
 
 
-@query("m09_relationships", f"SELECT left_column, right_column, CASE WHEN common = left_distinct AND common = right_distinct THEN '1:1' WHEN common = left_distinct THEN 'left references right' WHEN common = right_distinct THEN 'right references left' ELSE 'N:M' END AS kind FROM ({OVERLAP}) WHERE (common / least(left_distinct, right_distinct) * 1.5 + 1 - levenshtein(string_split(left_column, '_')[-1], string_split(right_column, '_')[-1])::DOUBLE / greatest(length(string_split(left_column, '_')[-1]), length(string_split(right_column, '_')[-1]))) / 2.5 >= 0.6")
+NAME_SCORE = "(1 - levenshtein(string_split(left_column, '_')[-1], string_split(right_column, '_')[-1])::DOUBLE / greatest(length(string_split(left_column, '_')[-1]), length(string_split(right_column, '_')[-1])))"
+
+
+@query("m09_relationships", f"""SELECT left_column, right_column, CASE WHEN common = left_distinct AND common = right_distinct THEN '1:1' WHEN common = left_distinct THEN 'left references right' WHEN common = right_distinct THEN 'right references left' ELSE 'N:M' END AS kind, round(score, 6) AS confidence
+    FROM (SELECT *, (common / least(left_distinct, right_distinct) * 1.5 + {NAME_SCORE}) / 2.5 AS score FROM ({OVERLAP})) WHERE score >= 0.6""")
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.discover_relationships(_overlap(spark, sf_dir)).select("left_column", "right_column", "kind")
+    return match.discover_relationships(_overlap(spark, sf_dir)).select("left_column", "right_column", "kind", F.round("confidence", 6).alias("confidence"))
 
 
-@query("m10_cardinality", "SELECT '1:M' AS kind WHERE false UNION ALL SELECT '1:N'")
+def _kind_sql(t: str, a: str, b: str) -> str:
+    return f"SELECT '{a}' AS a, '{b}' AS b, round(ua, 6) AS ua, round(ub, 6) AS ub, CASE WHEN ua > 0.95 THEN '1' ELSE 'N' END || ':' || CASE WHEN ub > 0.95 THEN '1' WHEN ua > 0.95 THEN 'N' ELSE 'M' END AS kind FROM (SELECT count(DISTINCT {a}) / count({a}) AS ua, count(DISTINCT {b}) / count({b}) AS ub FROM {t})"
+
+
+@query("m10_cardinality", " UNION ALL ".join(_kind_sql(*x) for x in (("orders", "o_orderkey", "o_custkey"), ("lineitem", "l_orderkey", "l_partkey"), ("customer", "c_custkey", "c_name"))))
 def column_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.column_cardinality(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey").select("kind")
+    out = None
+    for t, a, b in (("orders", "o_orderkey", "o_custkey"), ("lineitem", "l_orderkey", "l_partkey"), ("customer", "c_custkey", "c_name")):
+        part = match.column_cardinality(table(spark, sf_dir, t), a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round("ua", 6).alias("ua"), F.round("ub", 6).alias("ub"), "kind")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 STARS = "SELECT min(c_custkey) OVER w AS a, c_custkey AS b FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment, c_custkey % 40)"
@@ -330,18 +385,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m12_fuse", f"SELECT a AS entity, string_agg(b, ',' ORDER BY b) AS sources FROM ({STARS}) GROUP BY a")
 def fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_local_checkpoints())
+    checkpoint_folder(spark)
     f = match.fuse(table(spark, sf_dir, "customer"), "c_custkey", _stars(spark, sf_dir))
     return f.select("entity", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
 
 
-def _local_checkpoints() -> str:
-    """Only where no checkpoint folder is configured: tests on one machine."""
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="tessera-checkpoints-")
-
-
 @query("m13_review", f"SELECT a, b, CASE WHEN b % 3 = 0 THEN 'approved' ELSE 'pending' END AS status FROM ({STARS}) WHERE a <> b")
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _stars(spark, sf_dir)
@@ -357,7 +405,7 @@ def unreviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m14_reverse_fusion", f"SELECT b AS node, CASE WHEN b % 2 = 0 THEN b ELSE a END AS component FROM (SELECT CASE WHEN s.a = s.b THEN s.b ELSE s.a END AS a, s.b FROM ({STARS}) s)")
 def reverse_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusions of even ids are taken back: their edges go and components are built anew."""
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_local_checkpoints())
+    checkpoint_folder(spark)
     return match.connected_components(_stars(spark, sf_dir).filter("b % 2 != 0"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")))
 
 
@@ -367,11 +415,30 @@ def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.fuzzy_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", F.concat_ws("|", "p_brand", "p_size"), 0.6).select("a", "b")
 
 
-@query("g07_semantic_dedup", """SELECT q.vec_id AS query, v.vec_id FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) > 0.35""")
+def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings, and of each a copy of twice its length whose first component has the other sign."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    turned = F.transform("embedding", lambda x, i: F.when(i == 0, -2 * x).otherwise(2 * x))
+    return v.unionByName(v.select((F.col("vec_id") + 1000000000).alias("vec_id"), turned.alias("embedding")))
+
+
+COPIED = "(SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_concat([-2 * embedding[1]::DOUBLE], list_transform(embedding[2:]::DOUBLE[], lambda x: 2 * x)) FROM embeddings)"
+
+
+def _links_sql(least: float) -> str:
+    return f"WITH v AS {COPIED}, p AS (SELECT a.vec_id, count(*) AS links, min(b.vec_id) AS least_link FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {least} GROUP BY 1)"
+
+
+@query("m16_similarity_join", f"{_links_sql(0.9)} SELECT v.vec_id, coalesce(links, 0) AS links FROM v LEFT JOIN p USING (vec_id)")
+def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoint_folder(spark)
+    return vectors.similarity_classes(_copied(spark, sf_dir), "vec_id", "embedding", 0.9).select("vec_id", "links")
+
+
+@query("g07_semantic_dedup", f"{_links_sql(0.95)} SELECT v.vec_id, least(v.vec_id, coalesce(least_link, v.vec_id)) AS class, coalesce(links, 0) AS links, v.vec_id <= coalesce(least_link, v.vec_id) AS kept FROM v LEFT JOIN p USING (vec_id)")
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"))
-    return v.join(q, F.col("vec_id") != F.col("query")).filter(match.cosine(F.col("_q"), F.col("embedding")) > 0.35).select("query", "vec_id")
+    checkpoint_folder(spark)
+    return vectors.semantic_dedup(_copied(spark, sf_dir), "vec_id", "embedding", 0.95)
 
 
 @query("m15_vector_top_k", """SELECT q.vec_id AS query, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank
@@ -385,12 +452,12 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as sources that disagree on their customer's status."""
+    """Orders as sources that disagree on their customer's status; some values start with others."""
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_custkey").alias("entity"), F.lit("status").alias("field"), F.col("o_orderstatus").alias("value"), F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("ts"), (F.col("o_orderkey") % 4 + 1).cast("double").alias("authority"), (F.col("o_totalprice") / 600000).alias("confidence"), F.col("o_orderkey"))
+    return o.select(F.col("o_custkey").alias("entity"), F.lit("status").alias("field"), F.concat("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "K").otherwise("")).alias("value"), F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("ts"), (F.col("o_orderkey") % 4 + 1).cast("double").alias("authority"), (F.col("o_totalprice") / 600000).alias("confidence"), F.col("o_orderkey"))
 
 
-VALUES = "(SELECT o_custkey AS entity, o_orderstatus AS value, o_orderdate AS ts, (o_orderkey % 4 + 1)::DOUBLE AS authority, o_totalprice / 600000 AS confidence, o_orderkey, o_orderpriority AS source FROM orders)"
+VALUES = "(SELECT o_custkey AS entity, o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN 'K' ELSE '' END AS value, o_orderdate AS ts, (o_orderkey % 4 + 1)::DOUBLE AS authority, o_totalprice / 600000 AS confidence, o_orderkey, o_orderpriority AS source FROM orders)"
 NOW = "2000-01-01"
 
 
@@ -469,15 +536,15 @@ def type_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.type_by_name(names).select("c_custkey", "kind")
 
 
-def _fields(spark: SparkSession, sf_dir: str, name: str, cut: int) -> DataFrame:
-    schema = table(spark, sf_dir, name)
-    return schema.limit(1).select(F.explode(F.array(*[F.struct(F.lit(f.name[cut:]).alias("field"), F.lit(f.dataType.simpleString()).alias("type")) for f in schema.schema])).alias("f")).select("f.*")
-
-
-@query("m17_match_schemas", "SELECT unnest(['name', 'acctbal', 'nationkey']) AS source, unnest(['name', 'acctbal', 'nationkey']) AS target, 'safe' AS conversion")
+@query("m17_match_schemas", f"""WITH t AS (SELECT DISTINCT lower(p_type) AS a, lower(p_type) || 's' AS b, length(p_type) % 3 AS k FROM part)
+    SELECT a AS source, b AS target, round(s, 6) AS confidence, CASE k WHEN 0 THEN 'safe' WHEN 1 THEN 'lossy' ELSE 'invalid' END AS conversion FROM ({_lexical_sql('a, b, k', 't')}) WHERE s >= 0.8""")
 def match_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = match.match_schemas(_fields(spark, sf_dir, "customer", 2), _fields(spark, sf_dir, "supplier", 2), 0.9)
-    return found.select("source", "target", "conversion")
+    """Part types as fields of one source, and with another ending as those of another."""
+    p = table(spark, sf_dir, "part").select(F.lower("p_type").alias("field")).distinct()
+    kind = lambda *names: F.element_at(F.array(*map(F.lit, names)), F.length("field") % 3 + 1)
+    left = p.withColumn("type", kind("int", "double", "date"))
+    right = p.select(F.concat("field", F.lit("s")).alias("field"), kind("bigint", "int", "boolean").alias("type"))
+    return match.match_schemas(left, right, 0.8).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("m18_term_candidates", "SELECT DISTINCT p_brand AS field, 'T' || p_brand AS term FROM part")

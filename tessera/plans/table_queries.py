@@ -71,10 +71,10 @@ def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.add_row_ids(table(spark, sf_dir, "lineitem"), "lineitem", ["l_orderkey", "l_linenumber"]).select("_row_id", "l_quantity")
 
 
-@query("a14_infer_schema", "SELECT unnest(['c_custkey', 'c_name', 'c_acctbal', 'flag', 'day']) AS \"column\", unnest(['integer', 'string', 'float', 'boolean', 'date']) AS inferred")
+@query("a14_infer_schema", """SELECT unnest(['c_custkey', 'c_name', 'c_acctbal', 'flag', 'day', 'mixed']) AS "column", unnest(['integer', 'string', 'float', 'boolean', 'date', CASE WHEN (SELECT count(*) FILTER (c_acctbal > 0) FROM customer) > 0.8 * (SELECT count(*) FROM customer) THEN 'float' ELSE 'string' END]) AS inferred""")
 def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    texts = c.select(*[F.col(x).cast("string").alias(x) for x in ("c_custkey", "c_name", "c_acctbal")], (F.col("c_custkey") % 2 == 0).cast("string").alias("flag"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")).cast("string").alias("day"))
+    texts = c.select(*[F.col(x).cast("string").alias(x) for x in ("c_custkey", "c_name", "c_acctbal")], (F.col("c_custkey") % 2 == 0).cast("string").alias("flag"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")).cast("string").alias("day"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("string")).otherwise("none").alias("mixed"))
     return readers.infer_types(texts)
 
 
@@ -95,17 +95,18 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     k = F.col("o_orderkey") % 6
-    words = F.element_at(F.array(*map(F.lit, ["Connection refused", "unique constraint", "cannot parse date", "timed out", "disk full"])), k.cast("int"))
+    words = F.element_at(F.array(*map(F.lit, ["Connection refused", "unique constraint", "cannot parse date", "timeout of a task", "io error"])), k.cast("int"))
     return writers.classify_errors(writers.dead_letter(o, F.when(k > 0, words), F.col("o_orderkey")))
 
 
 LETTERS_SQL = """SELECT o_orderkey AS row_number, CASE o_orderkey % 6 WHEN 1 THEN 'connection' WHEN 2 THEN 'constraint' WHEN 3 THEN 'format' WHEN 4 THEN 'timeout' ELSE 'io' END AS category,
-    o_orderkey % 6 IN (1, 4, 5) AS transient FROM orders WHERE o_orderkey % 6 > 0"""
+    o_orderkey % 6 IN (1, 4) AS transient FROM orders WHERE o_orderkey % 6 > 0"""
 
 
-@query("b10_dead_letter", "SELECT o_orderkey AS row_number, 0 AS retry_count FROM orders WHERE o_orderkey % 6 > 0")
+@query("b10_dead_letter", """SELECT o_orderkey AS row_number, 0 AS retry_count, ['Connection refused', 'unique constraint', 'cannot parse date', 'timeout of a task', 'io error'][(o_orderkey % 6)::INT] AS message,
+    '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS payload FROM orders WHERE o_orderkey % 6 > 0""")
 def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _letters(spark, sf_dir).select("row_number", "retry_count")
+    return _letters(spark, sf_dir).select("row_number", "retry_count", "message", "payload")
 
 
 @query("b11_dlq_stats", f"SELECT category, count(*) AS rows, min(row_number) AS first_row, max(row_number) AS last_row FROM ({LETTERS_SQL}) GROUP BY category")
@@ -325,9 +326,12 @@ def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _join(name: str, kind: str) -> None:
-    @query(name, f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) {kind} JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) ON c_custkey = o_custkey")
+    """Half of the customers, and of the orders those of a third, have keys that the other side lacks."""
+    c, o = "CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey END", "CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END"
+
+    @query(name, f"SELECT c, k AS o_orderkey FROM (SELECT {c} AS c FROM customer) {kind} JOIN (SELECT {o} AS o, o_orderkey AS k FROM orders) ON c = o")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return relational.join(table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0"), table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"), ["c_custkey"], ["o_custkey"], kind.lower(), ["c_custkey", "o_orderkey"])
+        return relational.join(table(spark, sf_dir, "customer").select(F.expr(c).alias("c")), table(spark, sf_dir, "orders").select(F.expr(o).alias("o"), "o_orderkey"), ["c"], ["o"], kind.lower(), ["c", "o_orderkey"])
 
 
 for _name, _kind in (("e01_join_inner", "INNER"), ("e02_join_left", "LEFT"), ("e03_join_right", "RIGHT"), ("e04_join_full", "FULL")):
@@ -336,9 +340,9 @@ for _name, _kind in (("e01_join_inner", "INNER"), ("e02_join_left", "LEFT"), ("e
 
 @query("e05_feature_join", """
     SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(spent, 0) AS spent, n IS NOT NULL AS has_orders, CASE WHEN coalesce(spent, 0) > 500000 THEN 'high' ELSE 'low' END AS label
-    FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1) ON c_custkey = o_custkey""")
+    FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1) ON c_custkey = o_custkey""")
 def feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority != '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
     df = relational.feature_join(table(spark, sf_dir, "customer").select("c_custkey"), {"orders": (orders, {"n_orders": 0, "spent": 0.0})}, "c_custkey")
     return df.withColumn("label", F.when(F.col("spent") > 500000, "high").otherwise("low"))
 

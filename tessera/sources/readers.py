@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Lines that are looked at to detect a CSV file's dialect.
-SNIFF_LINES = 200
+#: Lines, and bytes, that are looked at to detect a CSV file's dialect.
+SNIFF_LINES, SNIFF_BYTES = 200, 65_536
 DELIMITERS = (",", ";", "\t", "|")
 
 
@@ -36,10 +36,44 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", has_header: b
     return df if max_rows is None else df.limit(max_rows)
 
 
+# The marks that files begin with, and their encodings.
+MARKS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\x00\x00\xfe\xff", "UTF-32BE"), (b"\xff\xfe\x00\x00", "UTF-32LE"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE"))
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first SNIFF_BYTES of a file; of a folder, those of its first file that has any."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    inside = [s.getPath() for s in files.listStatus(at) if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", "."))]
+    if not inside:
+        return b""
+    stream = files.open(min(inside, key=lambda p: p.toString()))
+    try:
+        return bytes(stream.readNBytes(SNIFF_BYTES))
+    finally:
+        stream.close()
+
+
+def detect_encoding(head: bytes) -> str:
+    """By the mark that the bytes begin with; else UTF-8 if they are, else windows-1252."""
+    for mark, name in MARKS:
+        if head.startswith(mark):
+            return name
+    try:
+        head.decode("utf-8")
+    except UnicodeDecodeError as e:
+        if e.end < len(head) or len(head) < SNIFF_BYTES:  # and not a character that the cut has split
+            return "windows-1252"
+    return "UTF-8"
+
+
 def sniff_csv(spark: SparkSession, path: str) -> dict:
-    """Delimiter and header of a CSV file, from its first lines: the delimiter that cuts most lines into the same number
+    """Encoding, delimiter and header of a CSV file, from its first lines: the delimiter that cuts most lines into the same number
     (over one) of fields; a header if the first line has no number where the others do."""
-    lines = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
+    head = _head(spark, path)
+    encoding = detect_encoding(head)
+    lines = head.decode(encoding, "replace").lstrip("\ufeff").splitlines()
+    lines = (lines[:-1] if len(head) == SNIFF_BYTES and len(lines) > 1 else lines)[:SNIFF_LINES]
     best, fields = ",", 1
     for d in DELIMITERS:
         counts = [line.count(d) for line in lines if line]
@@ -50,7 +84,7 @@ def sniff_csv(spark: SparkSession, path: str) -> dict:
     number = lambda x: x.strip().replace(".", "", 1).lstrip("+-").isdigit()
     rows = [line.split(best) for line in lines if line]
     header = len(rows) > 1 and not any(map(number, rows[0])) and (any(any(map(number, r)) for r in rows[1:]) or len(set(rows[0])) == len(rows[0]))
-    return {"delimiter": best, "has_header": header, "fields": fields}
+    return {"delimiter": best, "has_header": header, "fields": fields, "encoding": encoding}
 
 
 def read_json(spark: SparkSession, path: str, array: bool = False, schema: StructType | str | None = None) -> DataFrame:
@@ -66,7 +100,7 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 def read_jdbc(spark: SparkSession, url: str, table: str | None = None, sql: str | None = None, partition_column: str | None = None, bounds: tuple | None = None, partitions: int = 8, properties: Mapping[str, str] | None = None) -> DataFrame:
     """A database table or query, read in ranges of ``partition_column`` when it is given."""
     reader = spark.read.format("jdbc").option("url", url).options(**(properties or {}))
-    reader = reader.option("query", sql) if sql else reader.option("dbtable", table)
+    reader = reader.option("dbtable", f"({sql}) q" if sql else table)
     if partition_column and bounds:
         reader = reader.option("partitionColumn", partition_column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
     return reader.load()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,15 @@ def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "errori
     df.write.mode(mode).option("header", header).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by_date: str | None = None, mode: str = "errorifexists") -> None:
-    """Parquet; with a date column, in folders of year, month and day that later reads can prune."""
+def write_parquet(df: DataFrame, path: str, partition_by_date: str | None = None, mode: str = "errorifexists", files: int = 16) -> None:
+    """Parquet; with a date column, in folders of year, month and day that later reads can prune. A day's rows are dealt over
+    at most ``files`` tasks."""
     if partition_by_date:
         d = F.col(partition_by_date)
         df = df.withColumns({"year": F.year(d), "month": F.month(d), "day": F.dayofmonth(d)})
-        df.repartition("year", "month", "day").write.mode(mode).partitionBy("year", "month", "day").parquet(path)
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(files))
+        salted = df.withColumn("_salt", salt).repartition("year", "month", "day", "_salt").drop("_salt")
+        salted.write.mode(mode).partitionBy("year", "month", "day").parquet(path)
     else:
         df.write.mode(mode).parquet(path)
 
@@ -31,6 +34,17 @@ def load_table(df: DataFrame, name: str, mode: str = "insert") -> None:
     df.write.mode({"insert": "append", "replace": "overwrite"}[mode]).saveAsTable(name)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", partitions: int = 8, batch: int = 10_000, properties: Mapping[str, str] | None = None) -> None:
+    """Loads a database table in batches over at most ``partitions`` connections; ``overwrite`` empties the table and keeps
+    its definition."""
+    df.write.format("jdbc").option("url", url).option("dbtable", name).option("numPartitions", partitions).option("batchsize", batch).option("truncate", True).options(**(properties or {})).mode(mode).save()
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
     """The target after a merge: rows of ``source`` replace those of equal key. With ``order``, the last of the source's
     rows of a key wins; else its keys must be unique. Null keys equal each other."""
@@ -61,14 +75,14 @@ def write_kafka(df: DataFrame, servers: str, topic: str, key: str) -> None:
     df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
-# What a message must hold for its category, in the order in which they are tried.
+# What a message must hold for its category, in the order in which they are tried, and whether a retry may help.
 ERROR_WORDS: tuple[tuple[str, str, bool], ...] = (
-    ("connection", "connection|network|socket", True),
-    ("constraint", "constraint|unique|foreign key|duplicate", False),
-    ("format", "format|parse|invalid", False),
-    ("timeout", "timeout|timed out", True),
-    ("transformation", "transform|convert|cast", False),
-    ("io", "io error|file|disk", True),
+    ("connection", "connection|connect", True),
+    ("constraint", "constraint|duplicate|foreign key", False),
+    ("format", "parse|format", False),
+    ("timeout", "timeout", True),
+    ("transformation", "transform", False),
+    ("io", "io|file", False),
 )
 
 

@@ -176,14 +176,18 @@ def route_stream(stream: DataFrame, routes: Sequence[Mapping], sinks: Mapping[st
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
+def new_events(batch: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """One event of each key that ``known`` lacks."""
+    return batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
+
+
 def idempotent_append(events: DataFrame, key: str, path: str, checkpoint: str):  # noqa: ANN201
-    """Appends events whose key the table at ``path`` lacks, so that a retry adds nothing."""
+    """Appends events whose key the table at ``path`` lacks, so that a retry adds nothing, that of the first batch included."""
 
     def append(batch: DataFrame, epoch: int) -> None:
-        spark, new = batch.sparkSession, batch.dropDuplicates([key])
-        if epoch:
-            new = new.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti")
-        new.write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        known = spark.read.schema(batch.schema).parquet(path) if writers.path_exists(spark, path) else batch.filter("false")
+        new_events(batch, key, known).select(*batch.columns).write.mode("append").parquet(path)
 
     return events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 

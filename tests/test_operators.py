@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import functions
 from tessera.functions import models
-from tessera.operators import bitemporal, golden, lineage, match, privacy, profile, quality, reconcile, relational, rows
+from tessera.operators import bitemporal, golden, lineage, match, privacy, profile, quality, reconcile, relational, rows, vectors
 from tessera.sources import readers, writers
 from tessera.streaming import cdc
 
@@ -54,7 +54,7 @@ def test_csv_round_trip(spark, tmp_path):
     got = readers.read_csv(spark, str(tmp_path / "x.csv"), ";", True, skip_rows=2)
     assert [tuple(r) for r in got.orderBy("id").collect()] == [("1", "a"), ("2", "b")] and got.columns == ["id", "name"]
     (tmp_path / "y.csv").write_text("id|n\n1|2\n3|4\n")
-    assert readers.sniff_csv(spark, str(tmp_path / "y.csv")) == {"delimiter": "|", "has_header": True, "fields": 2}
+    assert readers.sniff_csv(spark, str(tmp_path / "y.csv")) == {"delimiter": "|", "has_header": True, "fields": 2, "encoding": "UTF-8"}
     assert readers.read_csv(spark, str(tmp_path / "y.csv"), "|", False).columns == ["column_1", "column_2"]
 
 
@@ -139,6 +139,143 @@ def test_votes_tie(spark):
     assert (r["value"], r["confidence"], r["severity"]) == ("a", 0.5, "High")
 
 
+def test_votes_tie_with_prefixes(spark):
+    """Batch and stream take the least of equal values."""
+    df = spark.createDataFrame([("e", "f", "ab", "s1", 0.5), ("e", "f", "a", "s2", 0.5), ("e", "g", "", "s1", None), ("e", "g", "b", "s2", None)], "entity string, field string, value string, source string, confidence double")
+    assert {r.field: r.value for r in golden.frequency_vote(df).collect()} == {"f": "a", "g": ""}
+    assert {r.field: r.value for r in golden.resolve_conflicts(df, "coalesce").collect()} == {"f": "a", "g": ""}
+    assert {r.field: r.strategy for r in golden.suggest_strategy(df).collect()}["f"] == "coalesce"
+    more = df.unionByName(df.limit(1).withColumn("confidence", F.lit(0.9)))
+    assert {r.field: r.strategy for r in golden.suggest_strategy(more).collect()}["f"] == "primary"
+
+
+def test_unique_rule(spark):
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "b")], "id int, v string")
+    marked = quality.with_violations(df, [{"field": "v", "rule": "UNIQUE"}])
+    assert marked.columns == ["id", "v", "_violations"] and {r.id for r in marked.filter(F.size("_violations") > 0).collect()} == {3, 4}
+
+
+def test_checksum_sees_pairs(spark):
+    df = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    a, b = reconcile.integrity(df(1, 1, 2)).first(), reconcile.integrity(df(3, 3, 2)).first()
+    assert a["checksum"] != b["checksum"] and reconcile.check_manifest(df(2, 1, 1), 3, a["checksum"]).first()["intact"]
+    assert reconcile.integrity(df(1).limit(0)).first()["checksum"] == 0
+
+
+def test_enrich_repeats(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b", "x"]), (1, ["b", "a", "b", "x"]), (2, []), (3, None)], "k int, ids array<string>")
+    art = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    got = relational.enrich_by_ids(df, "ids", art, "id", "found").orderBy("k").collect()
+    assert [[tuple(x) for x in r.found] if r.found else None for r in got] == [[("a", 1), ("b", 2)]] * 2 + [None, None]
+
+
+def test_cosine_of_texts_by_brute_force(spark):
+    """A word that all texts have joins nothing that is not similar."""
+    import itertools
+    import math
+    import random
+
+    rnd = random.Random(3)
+    texts = {i: "the " + " ".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for i in range(60)}
+    v = match.tf_vectors(spark.createDataFrame(list(texts.items()), "k long, t string"), "k", "t")
+    got = {(r.a, r.b): r.cosine for r in match.tf_cosine(v.withColumnRenamed("k", "a"), v.withColumnRenamed("k", "b"), "a", "b", 0.7).filter("a < b").collect()}
+    want = {}
+    for x, y in itertools.combinations(texts, 2):
+        p, q = texts[x].split(), texts[y].split()
+        dot = sum(p.count(w) * q.count(w) for w in set(p))
+        c = dot / math.sqrt(sum(p.count(w) ** 2 for w in set(p)) * sum(q.count(w) ** 2 for w in set(q)))
+        if c >= 0.7:
+            want[x, y] = c
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want
+
+
+def test_similarity_classes_by_brute_force(spark):
+    import numpy as np
+
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(25, 12))
+    x = np.concatenate([middle[rng.integers(25, size=500)] + 0.25 * rng.normal(size=(500, 12)), np.repeat(middle[:1], 120, axis=0), rng.normal(size=(100, 12))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        grown = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+        if (grown == label).all():
+            break
+        label = grown
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 12), (9003, [1.0]), (None, [1.0] * 12)], "k long, v array<double>").withColumn("home", F.lit(1))
+    got = {r.k: (r["class"], r.links) for r in vectors.similarity_classes(df, "k", "v", 0.9).collect()}
+    assert got == {i: (int(label[i]), int(near[i].sum())) for i in range(len(x))}
+    assert vectors.semantic_dedup(df, "k", "v", 0.9).filter("kept").count() == len(set(label.tolist()))
+    assert vectors.similarity_classes(df.limit(0), "k", "v").count() == 0
+    few = match.vector_top_k(df.filter("k < 5"), df.filter("k < 600"), "k", "v", 3, block=2)
+    assert {(r.query, r.rank): r.k for r in few.collect()} == {(q, n + 1): int(i) for q in range(5) for n, i in enumerate([j for j in np.lexsort((np.arange(600), -np.round(unit[q] @ unit[:600].T, 12))) if j != q][:3])}
+
+
+def test_view_in_any_cut(spark):
+    e = spark.createDataFrame([(i % 3, i * 7 % 10, i) for i in range(20)], "k int, t int, v int")
+    whole = sorted(map(tuple, reconcile.latest_artifacts(e, ["k"], ["t", "v"]).collect()))
+    view = reconcile.latest_artifacts(e.limit(0), ["k"], ["t", "v"])
+    for part in (e.filter("v >= 12"), e.filter("v < 5"), e.filter("v BETWEEN 5 AND 11"), e.filter("v < 5")):
+        view = reconcile.advance_view(view, part, ["k"], ["t", "v"])
+    assert sorted(map(tuple, view.collect())) == whole
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    """Against an embedded database: load, extract by ranges, by query and from the last value."""
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.range(100).selectExpr("id", "CAST(id * 1.5 AS DOUBLE) AS v")
+    writers.write_jdbc(df, url, "t", properties=options)
+    writers.write_jdbc(df.filter("id < 5").withColumn("id", F.col("id") + 100), url, "t", properties=options)
+    ranged = readers.read_jdbc(spark, url, "t", partition_column="id", bounds=(0, 100), partitions=4, properties=options)
+    assert ranged.count() == 105 and ranged.rdd.getNumPartitions() == 4
+    late = readers.extract_incremental(ranged, "id", 99)
+    assert late.count() == 5 and "PushedFilters: [*IsNotNull(id), *GreaterThan(id,99)]" in late._jdf.queryExecution().executedPlan().toString()
+    assert readers.read_jdbc(spark, url, sql='SELECT COUNT(*) AS n FROM t WHERE "id" < 10', properties=options).first()[0] == 10
+    writers.write_jdbc(df.limit(3), url, "t", mode="overwrite", properties=options)
+    assert readers.read_jdbc(spark, url, "t", properties=options).count() == 3
+
+
+@pytest.mark.parametrize("encoding", ["UTF-8", "UTF-16LE", "windows-1252"])
+def test_sniff_encoding(spark, tmp_path, encoding):
+    mark = {"UTF-16LE": b"\xff\xfe"}.get(encoding, b"")
+    (tmp_path / "x.csv").write_bytes(mark + "name;n\ncafé;1\nñandú;2\n".encode(encoding))
+    assert readers.sniff_csv(spark, str(tmp_path / "x.csv")) == {"delimiter": ";", "has_header": True, "fields": 2, "encoding": encoding}
+    assert readers.detect_encoding(b"\xef\xbb\xbfa") == "UTF-8" and readers.detect_encoding(b"") == "UTF-8"
+
+
+def test_late_rows(spark, tmp_path):
+    """Rows behind the watermark are dropped, by event time; by processing time none is late."""
+    rows_of = lambda *times: spark.createDataFrame([(t,) for t in times], "t string").select(F.to_timestamp("t").alias("ts"))
+    for i, part in enumerate((rows_of("2024-01-01 10:00:00", "2024-01-01 12:00:00"), rows_of("2024-01-01 12:01:00"), rows_of("2024-01-01 10:30:00", "2024-01-01 11:55:00", "2024-01-01 14:00:00"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    (tmp_path / "all").mkdir()
+    for i in range(3):
+        next((tmp_path / f"in{i}").glob("*.parquet")).rename(tmp_path / "all" / f"{i}.parquet")
+    stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
+    hours = lambda s: s.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.hour("w.start").alias("h"), "n")
+    run_stream(hours(cdc.with_watermark(stream, "ts", "10 minutes")), "hours")
+    assert sorted(map(tuple, spark.table("hours").collect())) == [(10, 1), (11, 1), (12, 2)]
+
+
+def test_append_retried(spark, tmp_path):
+    """The first batch, run again as after a failure, appends nothing."""
+    df = spark.createDataFrame([(1,), (2,), (2,)], "id int")
+    df.write.parquet(str(tmp_path / "in"))
+    for check in ("c1", "c2"):
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        cdc.idempotent_append(stream, "id", str(tmp_path / "log"), str(tmp_path / check)).trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_error_words(spark):
+    said = ["Connection refused", "could not connect", "unique constraint", "duplicate key", "cannot parse", "timeout", "timed out", "transform failed", "no such file", "odd", None]
+    got = writers.classify_errors(spark.createDataFrame([(m,) for m in said], "message string")).collect()
+    assert [(r.category, r.transient) for r in got] == [("connection", True)] * 2 + [("constraint", False)] * 2 + [("format", False), ("timeout", True), ("unknown", False), ("transformation", False), ("io", False), ("unknown", False), ("unknown", False)]
+
+
 def test_lineage_cycle_and_depth(spark):
     e = spark.createDataFrame([("a", "b", "j"), ("b", "c", "j"), ("c", "a", "j")], "src string, dst string, job string")
     got = {(r.node, r.hops) for r in lineage.trace(e, spark.createDataFrame([("a",)], "start string")).collect()}
@@ -149,6 +286,19 @@ def test_lineage_cycle_and_depth(spark):
     assert lineage.column_edges("j", [(["a", "b"], "c", "concat")], spark).count() == 2
 
 
+def test_long_lineage(spark):
+    """Longer than ten hops; a shortcut doesn't make a chain shorter; a cycle of twelve; what leads into a cycle."""
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(14)] + [("n0", "n13")], "src string, dst string")
+    starts = spark.createDataFrame([("n0",)], "start string")
+    assert lineage.trace(chain, starts).agg(F.max("hops"), F.count("node")).first() == (12, 14)
+    assert lineage.trace(chain.filter("dst != 'n13' OR src = 'n12'"), starts).agg(F.max("hops")).first()[0] == 14
+    assert lineage.trace(chain, starts, max_hops=1).count() == 2
+    assert tuple(lineage.depth(chain).first()) == (14, False)
+    ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 12}") for i in range(12)] + [("r3", "r3"), ("a", "r0"), ("r0", "b"), ("b", "c")], "src string, dst string")
+    assert {(r.node, r.length) for r in lineage.cycles(ring).collect()} == {(f"r{i}", 1 if i == 3 else 12) for i in range(12)}
+    assert lineage.cycles(chain).count() == 0 and tuple(lineage.depth(ring).first()) == (1, True)
+
+
 def test_half_open(spark):
     f = spark.sql("SELECT 's' subject, 'p' predicate, 1 object, TIMESTAMP '2024-01-01' tx_from, TIMESTAMP '2024-01-02' tx_to UNION ALL SELECT 's', 'p', 2, TIMESTAMP '2024-01-02', NULL")
     at = lambda t: bitemporal.as_of(f, F.lit(t).cast("timestamp")).first()["object"]
