@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpoint_folder
+
 from .relational import close_versions
 
 KEY = ["subject", "predicate"]
@@ -85,6 +87,7 @@ def verify_chain(entries: DataFrame, by: Sequence[str], seq: str, time: str, pay
 def merkle_roots(entries: DataFrame, batch: str, seq: str, leaf: Column) -> DataFrame:
     """(batch, root, leaves): pairs of hashes are hashed level by level; an odd last one is paired with itself. Each level is
     one grouping of neighbours."""
+    checkpoint_folder(entries.sparkSession)
     level = entries.select(F.col(batch).alias("batch"), (F.row_number().over(Window.partitionBy(batch).orderBy(seq)) - 1).alias("i"), leaf.alias("h")).checkpoint()
     sizes = level.groupBy("batch").agg(F.count(F.lit(1)).alias("leaves"))
     while level.filter("i > 0").take(1):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpoint_folder
+
 # Changes that break readers.
 BREAKING = ("drop_table", "drop_column", "change_type", "set_not_null", "drop_primary_key", "drop_foreign_key")
 CRITICAL = r"(?i)prod|fact_|dim_|public"
@@ -63,6 +65,7 @@ def trace(edges: DataFrame, starts: DataFrame, direction: str = "downstream", ma
     first: each hop is one join of the frontier; nodes that were reached before are left out, so a cycle ends. What a hop
     finds is written once. ``starts`` has a column ``start``."""
     e = edges.select(F.col("src").alias("x"), F.col("dst").alias("y")) if direction == "downstream" else edges.select(F.col("dst").alias("x"), F.col("src").alias("y"))
+    checkpoint_folder(edges.sparkSession)
     e = e.distinct().checkpoint()
     frontier = starts.select("start", F.col("start").alias("node")).distinct().checkpoint()
     seen, out, hop = frontier, None, 0
@@ -80,6 +83,7 @@ def trace(edges: DataFrame, starts: DataFrame, direction: str = "downstream", ma
 def _without_ends(edges: DataFrame) -> DataFrame:
     """The edges that can be part of a cycle: those whose source has no edge to it, or whose target none from it, go until
     none is left."""
+    checkpoint_folder(edges.sparkSession)
     e = edges.select("src", "dst").distinct().checkpoint()
     n = e.count()
     while n:
@@ -122,6 +126,7 @@ def critical_dependencies(reached: DataFrame) -> DataFrame:
 def depth(edges: DataFrame) -> DataFrame:
     """(depth, cyclic), one row: the longest chain of edges, and whether some are in a cycle or behind one, which count for
     nothing. Sources go a layer at a time, so there are as many rounds as the chain is long."""
+    checkpoint_folder(edges.sparkSession)
     e, layers = edges.select("src", "dst").distinct().checkpoint(), 0
     n = e.count()
     while n:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .relational import top_k_per_group
+from .shared import checkpoint_folder
 
 LEXICAL = {"levenshtein": 0.25, "jaro_winkler": 0.35, "tokens": 0.25, "substring": 0.15}
 # How sure a match by each rule is.
@@ -203,6 +204,7 @@ def fuzzy_pairs(df: DataFrame, key: str, column: str, block: Column, threshold:
 def connected_components(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the least node that a, b links reach. Labels spread and jump until nothing changes; each round is
     checkpointed, so a lost executor costs a round and the plan stays short."""
+    checkpoint_folder(pairs.sparkSession)
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
     while True:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .percentiles import percentiles
 from .rows import number
 
 # -- joins
@@ -70,7 +71,7 @@ FUNCTIONS = {
     "MAX": F.max,
     "STDDEV": F.stddev_pop,
     "VARIANCE": F.var_pop,
-    "MEDIAN": F.median,
+    "MEDIAN": None,  # by :func:`percentiles`
 }
 
 
@@ -78,8 +79,16 @@ def aggregate(df: DataFrame, group_by: Sequence[str], aggregations: Sequence[tup
     """(field, function[, alias]) over groups; texts that are numbers count, others don't. A null group is empty text.
 
     The alias is ``field_function`` in small letters by default; without ``group_by`` all rows are one group."""
-    made = [FUNCTIONS[a[1].upper()](number(F.col(a[0]))).alias(a[2] if len(a) > 2 else f"{a[0]}_{a[1]}".lower()) for a in aggregations]
-    return df.groupBy(*[F.coalesce(F.col(g).cast("string"), F.lit("")).alias(g) for g in group_by]).agg(*made) if group_by else df.agg(*made)
+    alias = lambda a: a[2] if len(a) > 2 else f"{a[0]}_{a[1]}".lower()
+    made = [FUNCTIONS[a[1].upper()](number(F.col(a[0]))).alias(alias(a)) for a in aggregations if a[1].upper() != "MEDIAN"]
+    keyed = df.withColumns({g: F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group_by}) if group_by else df
+    out = keyed.groupBy(*group_by).agg(*(made or [F.count(F.lit(1)).alias("_rows")]))
+    for a in aggregations:
+        if a[1].upper() == "MEDIAN":  # ranked, so that no group's values stand in one place
+            x = number(F.col(a[0]))
+            median = percentiles(keyed, group_by, x, {alias(a): 0.5})
+            out = out.join(median, list(group_by), "left") if group_by else out.join(F.broadcast(median), how="left")  # one row each
+    return out.select(*group_by, *map(alias, aggregations))
 
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .match import connected_components
+from .shared import checkpoint_folder
 
 #: Pivots, and the vectors of a block.
 PIVOTS, BLOCK, ROWS_AT_ONCE = 64, 4096, 256
@@ -82,6 +83,7 @@ def similarity_classes(vectors: DataFrame, key: str, vector: str, least: float =
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
     spark = vectors.sparkSession
+    checkpoint_folder(spark)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     out = "id long, class long, links long"

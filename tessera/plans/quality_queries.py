@@ -115,7 +115,7 @@ PROFILE = """SELECT 'c_acctbal' AS "column", count(*) AS rows, count(DISTINCT c_
 
 @query("l01_profile", PROFILE)
 def profile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile.profile(table(spark, sf_dir, "customer"), ["c_acctbal", "c_mktsegment"])
+    p = profile.profile(table(spark, sf_dir, "customer"), ["c_acctbal", "c_mktsegment"], exact=True)
     return p.select("column", "rows", "distinct_values", *[F.round(c, 4).alias(c) for c in ("mean", "median", "stddev")], "max_length")
 
 
@@ -128,7 +128,7 @@ def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("l03_candidate_keys", """SELECT * FROM (SELECT 'c_custkey' AS "column", count(DISTINCT c_custkey) / count(c_custkey) AS cardinality FROM customer UNION ALL SELECT 'c_name', count(DISTINCT c_name) / count(c_name) FROM customer
     UNION ALL SELECT 'c_acctbal', round(count(DISTINCT c_acctbal) / count(c_acctbal), 6) FROM customer UNION ALL SELECT 'c_nationkey', round(count(DISTINCT c_nationkey) / count(c_nationkey), 6) FROM customer) WHERE cardinality >= 0.95""")
 def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.candidate_keys(profile.profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_acctbal", "c_nationkey"])).withColumn("cardinality", F.round("cardinality", 6))
+    return profile.candidate_keys(profile.profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_acctbal", "c_nationkey"], exact=True)).withColumn("cardinality", F.round("cardinality", 6))
 
 
 @query("l04_quartiles", "SELECT 'l_quantity' AS \"column\", quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.75) AS p75 FROM lineitem UNION ALL SELECT 'l_extendedprice', round(quantile_cont(l_extendedprice, 0.25), 6), round(quantile_cont(l_extendedprice, 0.5), 6), round(quantile_cont(l_extendedprice, 0.75), 6) FROM lineitem")
@@ -149,7 +149,7 @@ def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("l06_cardinality_class", """SELECT "column", round(c, 6) AS cardinality, CASE WHEN c >= 0.99 THEN 'unique' WHEN c >= 0.8 THEN 'high' WHEN c >= 0.3 THEN 'medium' WHEN c >= 0.05 THEN 'low' ELSE 'very_low' END AS class FROM
     (SELECT 'o_orderkey' AS "column", count(DISTINCT o_orderkey) / count(*) AS c FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) / count(*) FROM orders UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice) / count(*) FROM orders UNION ALL SELECT 'o_orderdate', count(DISTINCT o_orderdate) / count(*) FROM orders)""")
 def cardinality_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile.profile(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
+    p = profile.profile(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"], exact=True)
     return p.select("column", F.round("cardinality", 6).alias("cardinality"), profile.cardinality_class(F.col("cardinality")).alias("class"))
 
 
@@ -209,7 +209,7 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'c_mktsegment' AS "column", round(abs(a.c - b.c), 6) AS cardinality_diff, round(1 - abs(a.c - b.c) / 2, 6) AS similarity FROM a, b""")
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    d = profile.compare_profiles(profile.profile(c, ["c_mktsegment"]), profile.profile(c.filter("c_custkey % 10 = 0"), ["c_mktsegment"]))
+    d = profile.compare_profiles(profile.profile(c, ["c_mktsegment"], exact=True), profile.profile(c.filter("c_custkey % 10 = 0"), ["c_mktsegment"], exact=True))
     return d.select("column", F.round("cardinality_diff", 6).alias("cardinality_diff"), F.round("similarity", 6).alias("similarity"))
 
 
@@ -318,8 +318,8 @@ STATS = lambda t, c: f"SELECT '{c}' AS c, count(DISTINCT {c}) / count({c}) AS k,
 @query("m07_statistical", f"""SELECT a.c AS a_column, b.c AS b_column, round((1 - abs(a.k - b.k)) * 0.4 + 0.2 + CASE WHEN greatest(a.hi, b.hi) = least(a.lo, b.lo) THEN 1 ELSE greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) / (greatest(a.hi, b.hi) - least(a.lo, b.lo)) END * 0.4, 6) AS similarity
     FROM ({STATS('customer', 'c_custkey')} UNION ALL {STATS('customer', 'c_acctbal')}) a, ({STATS('supplier', 's_suppkey')} UNION ALL {STATS('supplier', 's_acctbal')}) b""")
 def statistical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = profile.profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_acctbal"])
-    s = match.statistical_similarity(a, profile.profile(table(spark, sf_dir, "supplier"), ["s_suppkey", "s_acctbal"]))
+    a = profile.profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_acctbal"], exact=True)
+    s = match.statistical_similarity(a, profile.profile(table(spark, sf_dir, "supplier"), ["s_suppkey", "s_acctbal"], exact=True))
     return s.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -149,6 +149,26 @@ def test_votes_tie_with_prefixes(spark):
     assert {r.field: r.strategy for r in golden.suggest_strategy(more).collect()}["f"] == "primary"
 
 
+def test_percentiles_by_brute_force(spark):
+    import numpy as np
+
+    from tessera.operators.percentiles import percentiles
+
+    rng = np.random.default_rng(6)
+    rows = [("a", float(x)) for x in rng.integers(50, size=501)] + [(None, float(x)) for x in rng.normal(size=40)] + [("b", 7.0)] * 300 + [("c", None), ("d", -1.5)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.lo, r.mid, r.hi) for r in percentiles(df, ["g"], F.col("x"), {"lo": 0.1, "mid": 0.5, "hi": 1.0}).collect()}
+    want = {}
+    for g in ("a", None, "b", "d"):
+        want[g] = tuple(np.quantile([x for k, x in rows if k == g], q) for q in (0.1, 0.5, 1.0))
+    assert set(got) == set(want) and all(np.allclose(got[g], want[g]) for g in want)
+    assert percentiles(df, [], F.col("x"), {"mid": 0.5}).first()["mid"] == pytest.approx(np.median([x for _, x in rows if x is not None]))
+    assert percentiles(df.limit(0), ["g"], F.col("x"), {"mid": 0.5}).count() == 0
+    medians = relational.aggregate(df, ["g"], [("x", "MEDIAN"), ("x", "MAX", "top")])
+    assert medians.columns == ["g", "x_median", "top"] and {r.g: r.x_median for r in medians.collect()}["c"] is None
+    assert relational.aggregate(df, [], [("x", "MEDIAN", "m")]).count() == 1
+
+
 def test_unique_rule(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "b")], "id int, v string")
     marked = quality.with_violations(df, [{"field": "v", "rule": "UNIQUE"}])
