@@ -17,6 +17,8 @@ PREFIX = "fx_"
 # The accented letters that are replaced, and what by.
 ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+#: Texts without a character beyond ASCII are left as they are.
+UNACCENTED = rf"CASE WHEN s RLIKE '[^\\x00-\\x7F]' THEN translate(s, '{ACCENTED}', '{PLAIN}') ELSE s END"
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$"
 URL = r"^https?://[^\\s/$.?#].[^\\s]*$"
 # Strftime directives and the Java patterns that print the same.
@@ -44,8 +46,8 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "CAPITALIZE": ("s STRING", "STRING", "concat(upper(left(s, 1)), substring(s, 2))"),
     "TITLE_CASE": ("s STRING", "STRING", r"initcap(trim(regexp_replace(s, '(?U)\\s+', ' ')))"),
     "SLUG": ("s STRING", "STRING", r"trim('-' FROM regexp_replace(lower(s), '[^\\p{L}\\p{N}]+', '-'))"),
-    "REMOVE_ACCENTS": ("s STRING", "STRING", f"translate(s, '{ACCENTED}', '{PLAIN}')"),
-    "TRANSLITERATE": ("s STRING", "STRING", f"translate(s, '{ACCENTED}', '{PLAIN}')"),
+    "REMOVE_ACCENTS": ("s STRING", "STRING", UNACCENTED),
+    "TRANSLITERATE": ("s STRING", "STRING", UNACCENTED),
     "MASK": ("s STRING, ch STRING, a INT, b INT", "STRING", "CASE WHEN a + b >= char_length(s) THEN s ELSE concat(left(s, a), repeat(ch, char_length(s) - a - b), right(s, b)) END"),
     "TRUNCATE": ("s STRING, n INT, suffix STRING", "STRING", "CASE WHEN char_length(s) > n THEN concat(left(s, n), coalesce(suffix, '...')) ELSE s END"),
     # numbers

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,63 @@ def column_edges(job: str, mapping: Sequence[tuple[Sequence[str], str, str]], sp
     return spark.createDataFrame(rows, "src string, dst string, kind string, reversible boolean, job string")
 
 
+def _items(seq) -> list:  # noqa: ANN001
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _how(expression) -> str:  # noqa: ANN001
+    """What a named expression does to the columns it refers to."""
+    name, child = expression.nodeName(), expression
+    if name == "Alias":
+        child = expression.child()
+        name = child.nodeName()
+    if name == "Cast" and child.child().nodeName() == "AttributeReference":
+        return "cast"
+    if name == "AttributeReference":
+        return "rename"
+    return "aggregate" if "AggregateExpression" in name or any(x.nodeName() == "AggregateExpression" for x in _items(child.children())) else "derive"
+
+
+def frame_edges(df: DataFrame, job: str) -> DataFrame:
+    """(src, dst, kind, reversible, job): from which columns of which tables each column of ``df`` comes, read from its
+    analysed plan. Kinds are copy, rename, cast, aggregate and derive; of several steps the one that changes most. A table
+    that is read from files has the name of its folder or file. Filters, join conditions and groupings leave no edge."""
+    order = ("copy", "rename", "cast", "derive", "aggregate")
+    worst = lambda a, b: max(a, b, key=order.index)
+
+    def walk(node) -> dict[int, dict[str, str]]:  # noqa: ANN001
+        children = _items(node.children())
+        known: dict[int, dict[str, str]] = {}
+        for c in children:
+            known |= walk(c)
+        if not children:
+            table = node.nodeName()
+            try:
+                table = node.relation().location().rootPaths().apply(0).getName().removesuffix(".parquet")
+            except Py4JError:  # a source without files
+                pass
+            return {a.exprId().id(): {f"{table}.{a.name()}": "copy"} for a in _items(node.output())}
+        made = {x.exprId().id(): x for x in _items(node.expressions()) if x.nodeName() == "Alias"}
+        for i, o in enumerate(_items(node.output())):
+            at = o.exprId().id()
+            if node.nodeName() == "Union":
+                known[at] = {s: k for c in children for s, k in known[c.output().apply(i).exprId().id()].items()}
+            elif at not in known:
+                e = made.get(at)
+                refs, how = (_items((e if e is not None else node).references().toSeq()), "derive" if e is None else _how(e))
+                sources: dict[str, str] = {}
+                for ref in refs:
+                    for s, k in known.get(ref.exprId().id(), {}).items():
+                        sources[s] = worst(sources.get(s, "copy"), worst(k, how))
+                known[at] = sources
+        return known
+
+    plan = df._jdf.queryExecution().analyzed()
+    known = walk(plan)
+    rows = [(s, o.name(), k, k in ("copy", "rename", "cast"), job) for o in _items(plan.output()) for s, k in known[o.exprId().id()].items()]
+    return df.sparkSession.createDataFrame(rows, "src string, dst string, kind string, reversible boolean, job string")
+
+
 def trace(edges: DataFrame, starts: DataFrame, direction: str = "downstream", max_hops: int | None = None) -> DataFrame:
     """(start, node, hops): all that is reached, with the fewest hops, at most ``max_hops`` away if that is given. Breadth
     first: each hop is one join of the frontier; nodes that were reached before are left out, so a cycle ends. What a hop

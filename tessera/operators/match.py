@@ -135,13 +135,13 @@ def statistical_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     overlap = F.greatest(F.lit(0.0), F.least("hi1", "hi2") - F.greatest("lo1", "lo2"))
     span = F.greatest("hi1", "hi2") - F.least("lo1", "lo2")
     ranges = F.coalesce(F.when(span == 0, 1.0).otherwise(overlap / span), F.lit(0.0))
-    return x.join(F.broadcast(y)).select("a_column", "b_column", ((1 - F.abs(F.col("c1") - F.col("c2"))) * 0.4 + (1 - F.abs(F.col("n1") - F.col("n2"))) * 0.2 + ranges * 0.4).alias("similarity"))
+    return x.join(y).select("a_column", "b_column", ((1 - F.abs(F.col("c1") - F.col("c2"))) * 0.4 + (1 - F.abs(F.col("n1") - F.col("n2"))) * 0.2 + ranges * 0.4).alias("similarity"))
 
 
 def map_fields(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
     """The k best target fields of each source field by name, with confidence and category. Both have a ``field`` column of
-    names, of which there are few."""
-    pairs = left.select(F.col("field").alias("source")).join(F.broadcast(right.select(F.col("field").alias("target"))))
+    names; all of one meet all of the other, which is meant for schemas. Spark broadcasts a side only if it is small."""
+    pairs = left.select(F.col("field").alias("source")).join(right.select(F.col("field").alias("target")))
     scored = pairs.withColumn("confidence", lexical_similarity(F.col("source"), F.col("target")))
     best = top_k_per_group(scored, ["source"], [F.desc(F.round("confidence", 9)), F.col("target")], k)
     return best.withColumn("category", F.when(F.col("confidence") >= 0.9, "auto").when(F.col("confidence") >= 0.7, "recommended").otherwise("possible"))
@@ -273,7 +273,7 @@ def term_candidates(fields: DataFrame, terms: DataFrame, manual: DataFrame | Non
     """(field, term, confidence, origin): the k best ontology terms (term, label, synonyms) of each field: the mean of name,
     token and n-gram similarity to the label or a synonym; a manual mapping (field, term) goes before all."""
     names = terms.select("term", F.explode(F.array_union(F.array("label"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("name"))
-    pairs = fields.select("field").distinct().join(F.broadcast(names))
+    pairs = fields.select("field").distinct().join(names)
     a, b = F.lower("field"), F.lower("name")
     score = (levenshtein_similarity(a, b) + jaccard(tokens(a), tokens(b)) + jaccard(ngrams(a), ngrams(b))) / 3
     best = pairs.groupBy("field", "term").agg(F.max(score).alias("confidence")).withColumn("origin", F.lit("similarity"))

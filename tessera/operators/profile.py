@@ -22,8 +22,9 @@ PATTERNS = {
     "url": r"^https?://[^\s/$.?#].[^\s]*$",
     "postal_code": r"^\d{5}(-\d{4})?$",
 }
+#: The same in free text. An email is looked for only where a run of its characters begins, or the last one ended.
 IN_TEXT = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "phone": r"\(?\b\d{3}\)?[-. ]\d{3}[-. ]\d{4}\b",
     "credit_card": r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b",
@@ -191,8 +192,9 @@ def quality_issues(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def scan_text(df: DataFrame, column: str) -> DataFrame:
-    """``n_<kind>``: occurrences in free text."""
-    return df.withColumns({f"n_{k}": F.coalesce(F.regexp_count(column, F.lit(p)), F.lit(0)) for k, p in IN_TEXT.items()})
+    """``n_<kind>``: occurrences in free text, 0 for null. Patterns run only over texts with an at sign or a digit."""
+    digit, at = F.col(column).rlike("[0-9]"), F.contains(F.col(column), F.lit("@"))
+    return df.withColumns({f"n_{k}": F.when(at if k == "email" else digit, F.regexp_count(column, F.lit(p))).otherwise(0) for k, p in IN_TEXT.items()})
 
 
 def profile_tables(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:

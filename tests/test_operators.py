@@ -319,6 +319,19 @@ def test_long_lineage(spark):
     assert lineage.cycles(chain).count() == 0 and tuple(lineage.depth(ring).first()) == (1, True)
 
 
+def test_edges_of_a_frame(spark, tmp_path):
+    """Column lineage from the plan of joins, casts, expressions, aggregates, unions and generators."""
+    spark.createDataFrame([(1, "a", 2.0)], "k int, name string, x double").write.parquet(str(tmp_path / "left.parquet"))
+    spark.createDataFrame([(1, "p,q")], "id int, tags string").write.parquet(str(tmp_path / "right"))
+    a, b = spark.read.parquet(str(tmp_path / "left.parquet")), spark.read.parquet(str(tmp_path / "right"))
+    j = a.join(b, a.k == b.id).filter("x > 0").select("k", F.col("name").alias("n"), F.col("x").cast("int").alias("i"), (F.col("x") * F.col("id")).alias("y"), F.explode(F.split("tags", ",")).alias("tag"))
+    got = {(r.src, r.dst, r.kind) for r in lineage.frame_edges(j, "j").collect()}
+    assert got == {("left.k", "k", "copy"), ("left.name", "n", "rename"), ("left.x", "i", "cast"), ("left.x", "y", "derive"), ("right.id", "y", "derive"), ("right.tags", "tag", "derive")}
+    g = j.groupBy("n").agg(F.sum("y").alias("s"))
+    got = {(r.src, r.dst, r.kind, r.reversible) for r in lineage.frame_edges(g.unionByName(g), "j").collect()}
+    assert got == {("left.name", "n", "rename", True), ("left.x", "s", "aggregate", False), ("right.id", "s", "aggregate", False)}
+
+
 def test_half_open(spark):
     f = spark.sql("SELECT 's' subject, 'p' predicate, 1 object, TIMESTAMP '2024-01-01' tx_from, TIMESTAMP '2024-01-02' tx_to UNION ALL SELECT 's', 'p', 2, TIMESTAMP '2024-01-02', NULL")
     at = lambda t: bitemporal.as_of(f, F.lit(t).cast("timestamp")).first()["object"]
