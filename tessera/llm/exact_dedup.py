@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, stash, table
+from .common import discard, folder_exists, partitions, remove_folder, shared_dir, stash, table
 
 #: ``[\x20\x09-\x0D]+``: what counts as one space when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,28 +21,41 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table ``(digest, keep_id, group_size)``, bucketed and sorted by digest, that outlives its session.
+    """A table ``(digest, keep_id, group_size, batch)``, bucketed and sorted by digest, that outlives its session.
 
-    ``path`` names its folder (default: a new one in the shared folder). ``group_size`` is the number of rows
-    that the batch which brought the digest held of it."""
+    ``path`` names its folder (default: a new one in the shared folder); an index that is opened again keeps the number of
+    ``buckets`` it was made with. ``group_size`` is the number of rows that the batch which brought the digest held of it."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
         self.name = f"digest_index_{uuid.uuid4().hex}"
+        if folder_exists(spark, f"{self.path}.buckets"):
+            self.buckets = spark.read.parquet(f"{self.path}.buckets").first()["buckets"]
+        else:
+            self.buckets = buckets or partitions(spark)
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(f"{self.path}.buckets")
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets or partitions(spark)} BUCKETS LOCATION '{self.path}'"
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def frame(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def close(self) -> None:
-        """Forgets the table's name; its files stay."""
+    def close(self, remove: bool = False) -> None:
+        """Forgets the table's name; its files stay, but for ``remove``."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if remove:
+            remove_folder(self.spark, self.path)
+            remove_folder(self.spark, f"{self.path}.buckets")
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def unseen(self, found: DataFrame) -> DataFrame:
+        """The rows of ``found`` whose digest the index does not hold, by a sort-merge anti-join: the index's buckets are
+        read as they lie, without a shuffle, and ``found`` is dealt to them."""
+        return found.join(self.frame().select("digest").hint("merge"), "digest", "left_anti")
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Deduplicates a batch against the index and itself, appends the new digests, and returns one row per
         row of ``docs``: ``id_col``, keep_id, group_size, kept, text_sha256.
 
@@ -50,22 +63,26 @@ class DigestIndex:
         this batch does, keep_id names the earlier row and group_size counts both batches. Null and empty texts are
         equal to each other. Of rows that repeat an id and a text one is marked kept. Rows with a null id stay only
         if no other row of their text has an id. Other columns of ``docs`` are ignored; an empty table gives an empty
-        result."""
+        result. A job that may be run again names its ``batch``: what a batch of that name has appended does not count
+        against it, so that the same rows get the same verdicts and nothing is appended twice."""
+        batch = batch or uuid.uuid4().hex
         slim = stash(docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.unhex(text_digest(F.col(text_col))).alias("digest")), "digest")
         first = F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "row"))
         found = stash(slim.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "batch")
-        old = self.frame().select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_n"))
-        fresh = found.join(old, "digest", "left_anti").select("digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"))
-        seen = bool(old.take(1))
+        earlier = self.frame().filter(F.col("batch") != batch).groupBy("digest").agg(F.min("keep_id").alias("old_id"), F.sum("group_size").alias("old_n"))
+        fresh = stash(self.unseen(found).select("digest", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(batch).alias("batch")), "fresh")
+        seen = bool(self.frame().filter(F.col("batch") != batch).take(1))
         if seen:
-            found = stash(found.join(old, "digest", "left"), "batch")
-            fresh = stash(fresh, "fresh")  # else the append would read the table it writes
-        fresh.write.insertInto(self.name)
-        mine = F.lit(True) if not seen else F.col("old_n").isNull()
+            found = stash(found.join(earlier.hint("merge"), "digest", "left"), "batch")
+        else:
+            found = found.withColumns({"old_id": F.lit(None).cast("bigint"), "old_n": F.lit(None).cast("bigint")})
+        fresh.repartition(self.buckets, "digest").write.insertInto(self.name)
+        discard(fresh)
+        mine = F.col("old_n").isNull()
         verdicts = found.select(
             "digest",
-            (F.col("first.id") if not seen else F.when(mine, F.col("first.id")).otherwise(F.col("old_id"))).alias("keep_id"),
-            (F.col("n") if not seen else F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"),
+            F.when(mine, F.col("first.id")).otherwise(F.col("old_id")).alias("keep_id"),
+            (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"),
             F.when(mine, F.col("first.row")).alias("keep_row"),
         )
         hot = F.col("n") > max(1, int(slim.count() * HOT_SHARE))
@@ -77,13 +94,19 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """:meth:`DigestIndex.add` with a new index when none is given."""
-    return (index or DigestIndex(docs.sparkSession)).add(docs, id_col, text_col)
+    """:meth:`DigestIndex.add`, with an index for this call only when none is given."""
+    if index is not None:
+        return index.add(docs, id_col, text_col)
+    index = DigestIndex(docs.sparkSession)
+    out = index.add(docs, id_col, text_col)  # reads what add has written, no longer the index
+    index.close(remove=True)
+    return out
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, null_ids: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`exact_dedup` marks kept. Rows with a null id go unless ``null_ids``
-    is set; of rows that repeat an id (or have none) and a text one stays."""
+    is set, as in the pipeline; of rows that repeat an id (or have none) and a text one stays. What is kept is a few bytes a row beside the texts it is joined with, so it
+    is the hashed side of that join."""
     kept = exact_dedup(docs, id_col, text_col, index).filter("kept").select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
     marked = docs.withColumn("_digest", F.unhex(text_digest(F.col(text_col))))
     named = F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) if null_ids else F.col(f"d.{id_col}") == F.col("k._id")
@@ -93,6 +116,8 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`exact_dedup` of ``documents``: doc_id, keep_id, group_size, kept, text_sha256. Null texts count as empty, ties go to
+    the smallest id, every row has its verdict."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
