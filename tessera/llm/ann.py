@@ -2,7 +2,8 @@
 
 Vectors are scaled to length one and cut into halves; each half has a codebook, and a vector's cell is its pair of nearest
 centroids. A query walks the cells by summed distance with a heap until they hold a given share of all entries, and the
-entries there are reranked by exact cosine. Cells are grouped by the first centroid; a group's entries and the queries
+entries there are reranked by exact cosine. The share is learned with the codebooks: as much as a wanted recall needs on a
+bounded sample, little where vectors have clusters and a lot where they have none. Cells are grouped by the first centroid; a group's entries and the queries
 that visit it meet in blocks of bounded size, whatever the size of a cell."""
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from .common import stash, table
 
 #: Centroids of a half (a query's cells in a group are a 64-bit mask), vectors that the codebooks are learned from, rounds.
 CENTROIDS, SAMPLE, ROUNDS, SEED = 64, 8_192, 10, 3
-#: A query walks cells until they hold this share of the entries. Vectors without clusters need about half for a recall
-#: of 0.95; README has the recall measured against brute force.
-SHARE = 0.6
-#: And this many entries at least, so that small tables are searched whole.
-LEAST = 1_000
+#: Share of the true neighbours in the sample that a walk must reach, and how many of its vectors are asked for that.
+#: README has the recall measured against brute force.
+RECALL, PROBES = 0.96, 512
 NEIGHBOURS = 5
 #: Entries and queries that meet in one block.
 ENTRY_BLOCK, QUERY_BLOCK, ROWS_AT_ONCE = 8_192, 2_048, 128
+#: Queries that walk the cells in one task.
+WALKS = 256
 
 
 @dataclass
@@ -35,6 +36,7 @@ class Codebooks:
     dim: int
     first: np.ndarray
     second: np.ndarray
+    share: float = 1.0  # of all entries, which a query visits
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -65,8 +67,27 @@ def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x, norm
 
 
-def learn(vectors: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Codebooks | None:
-    """Codebooks from at most about ``sample`` of the (id, vector) rows; None if there are none."""
+def needed_share(x: np.ndarray, books: Codebooks, k: int, recall: float) -> float:
+    """Share of the unit vectors ``x`` that walks must visit to reach ``recall`` of the ``k`` nearest of PROBES of them."""
+    if len(x) < 2:
+        return 1.0
+    asked = np.arange(len(x))[:: -(-len(x) // PROBES)]
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(x) - 1)
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    half = (books.dim + 1) // 2
+    d1, d2 = nearest(x[:, :half], books.first), nearest(x[:, half:], books.second)
+    i, j = d1.argmin(axis=1), d2.argmin(axis=1)
+    before = []
+    for q, own in zip(asked, top):
+        cell = d1[q, i] + d2[q, j]
+        before.append(np.searchsorted(np.sort(cell), cell[own], side="left"))  # entries in cells that come earlier
+    return min(1.0, (float(np.quantile(np.concatenate(before), recall, method="higher")) + 1) / len(x))
+
+
+def learn(vectors: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, k: int = NEIGHBOURS, recall: float = RECALL) -> Codebooks | None:
+    """Codebooks and share from at most about ``sample`` of the (id, vector) rows; None if there are none."""
     n = vectors.count()
     if not n:
         return None
@@ -75,7 +96,9 @@ def learn(vectors: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     x = np.array([r.vector for r in rows], np.float64)
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     half, rng = (x.shape[1] + 1) // 2, np.random.default_rng(SEED)
-    return Codebooks(x.shape[1], kmeans(x[:, :half], centroids, rng), kmeans(x[:, half:], centroids, rng))
+    books = Codebooks(x.shape[1], kmeans(x[:, :half], centroids, rng), kmeans(x[:, half:], centroids, rng))
+    books.share = needed_share(x, books, k, recall)
+    return books
 
 
 def visit(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, wanted: float) -> np.ndarray:
@@ -136,9 +159,10 @@ def _block(key: tuple, entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataF
     return pd.concat(out) if out else none
 
 
-def search(base: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding", share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """For each query its ``k`` nearest found by cosine, in double precision: query_id, rank (from 1), vec_id, score;
-    nearest first, ties to the smaller id. All candidates if there are fewer.
+    nearest first, ties to the smaller id. All candidates if there are fewer. A walk ends when its cells hold the share of the
+    entries that :func:`learn` found for ``recall``, and ``k`` + 1 entries at least.
 
     Both tables have ``id_col`` and ``vector_col``; a candidate with the query's id is its own and left out. Vectors that
     are null, empty, zero, or hold a null or non-finite component, take no part, nor do rows without an id or with
@@ -155,7 +179,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str
     if sizes is None:
         return spark.createDataFrame([], empty)
     every = every.filter(F.size("vector") == sizes["n"])
-    books = learn(every, sample)
+    books = learn(every, sample, k=k, recall=recall)
     index = stash(build_index(every, books), "index")
     counts = np.zeros((len(books.first), len(books.second)), np.int64)
     for r in index.groupBy("i", "j").count().collect():  # at most CENTROIDS squared
@@ -163,6 +187,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str
     total = int(counts.sum())
     asked = plain(queries).filter(F.size("vector") == sizes["n"]).groupBy("id").agg(F.min("vector").alias("vector"))
     n_queries = asked.count()
+    asked = asked.repartition(max(1, -(-n_queries // WALKS)), "id")
     q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     e_blocks = np.maximum(1, -(-counts.sum(axis=1) // ENTRY_BLOCK)).tolist()
 
@@ -174,7 +199,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str
             x, norm = _unit(pdf["vector"])
             x /= norm[:, None]
             d1, d2 = nearest(x[:, :half], books.first), nearest(x[:, half:], books.second)
-            masks = np.stack([visit(a, b, counts, max(share * total, LEAST)) for a, b in zip(d1, d2)])
+            masks = np.stack([visit(a, b, counts, max(books.share * total, k + 1)) for a, b in zip(d1, d2)])
             q, i = np.nonzero(masks)
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[q], "vector": [pdf["vector"].iloc[r] for r in q], "i": i.astype(np.int32), "mask": masks[q, i]})
 
@@ -189,5 +214,6 @@ def search(base: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, id_col: str
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`search` of ``embeddings`` for the rows whose vec_id 50 divides: query_id, rank, vec_id, score."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(vectors, vectors.filter("vec_id % 50 = 0"))
