@@ -1,9 +1,9 @@
 """Operator 6: personal data by patterns and by bootstrapped contexts (native DataFrame operations only).
 
-Base spans come from one pattern a kind. They seed a bootstrap: the words around a seed are lexical patterns; a pattern
-that mostly meets known identifiers is trusted, and unknown tokens of a fitting shape that trusted patterns meet become
-identifiers too, which in turn vouch for further patterns. The pattern-instance graph is a table of edges, scored by
-joins and aggregations, a few rounds long."""
+Base spans come from one pattern a kind. They seed a bootstrap, as do access keys and what is assigned to a credential's
+name: the words around a seed are lexical patterns; a pattern that mostly meets known identifiers is trusted, and unknown
+digit groups and tokens of a fitting shape that trusted patterns meet become identifiers too, which in turn vouch for further
+patterns. The pattern-instance graph is a table of edges, scored by joins and aggregations, a few rounds long."""
 
 from __future__ import annotations
 
@@ -24,10 +24,22 @@ PATTERNS = {
 #: What a text must hold for its kind's pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 SPACE = r"\x20\x09-\x0D"
-#: A token with a digit or an at sign, with what is glued to it.
-TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
-#: A token may become an identifier of a kind only if it has this shape.
-SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9]+([.:][0-9a-fA-F]+){3,}$", "card": r"^([0-9][ -]?){12,19}$", "phone": r"^[+(]?[0-9]([().-]?[0-9]){6,14}$"}
+#: Seeds beyond the base kinds: an access key, or a value with a digit that a credential's name is given.
+SECRET = "secret"
+KEY = r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
+NAMED = rf"(?i:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[\"']?"
+#: What may turn out to be an identifier: digit groups with one or two separators between them, as long as no letter or at
+#: sign is glued to them; or a token with a digit or an at sign, with what is glued to it.
+CANDIDATE = rf"(?<![0-9A-Za-z@])[+(]?[0-9]++(?:[\x20().-]{{1,2}}[0-9]++){{1,20}}+(?![0-9A-Za-z@])|(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+#: It may become an identifier of a kind only if it has this shape.
+SHAPES = {
+    "email": r"^[^@]+@[^@]+$",
+    "ip": r"^[0-9]+([.:][0-9a-fA-F]+){3,}$",
+    "card": r"^[0-9]([ .-]{0,2}[0-9]){11,18}$",
+    "phone": r"^[+(]?[0-9]([ ().-]{0,2}[0-9]){6,14}$",
+    SECRET: r"^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z+/_=-]{12,128}$",
+}
+ALL_KINDS = (*KINDS, SECRET)
 CONTEXT, ROUNDS, MIN_SEEDS, MIN_SCORE = 64, 3, 3, 0.8
 
 
@@ -81,8 +93,25 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[_of_kind(text, k) for k in range(len(KINDS))]))
 
 
+def secret_spans(text: Column, base: Column) -> Column:
+    """The seeds beyond the base kinds that no base span meets, in the form of :func:`base_spans`."""
+    whole = located(text, rf"{KEY}|{NAMED}[^{SPACE}\"']{{7,127}}[^{SPACE}\"'.,;:!?)]")
+
+    def value(s: Column) -> Column:
+        head = F.length(F.regexp_extract(s["value"], rf"^({NAMED})", 1))
+        return F.struct((s["start"] + head).alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"), F.substring(s["value"], head + 1, F.length(s["value"])).alias("value"))
+
+    may = F.contains(text, F.lit("AKIA")) | text.rlike("[=:]")
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
+    return F.when(may, F.filter(_clear_of(F.transform(whole, value), base), lambda s: s["value"].rlike("[0-9]"))).otherwise(none)
+
+
+def _clear_of(spans: Column, others: Column) -> Column:
+    return F.filter(spans, lambda s: ~F.exists(others, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
 def span_string(spans: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL_KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
@@ -102,8 +131,8 @@ def contexts(text: Column, start: Column, end: Column, value: Column) -> Column:
     return F.array_compact(found)
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    """Tokens with a digit or at sign outside all base spans, without the punctuation around them."""
+def _candidates(text: Column, known: Column) -> Column:
+    """What may be an identifier outside all known spans, without the punctuation around it."""
     def trim(s: Column) -> Column:
         head = F.length(F.regexp_extract(s["value"], r"^([^0-9A-Za-z+(]*+)", 1))
         body = F.regexp_replace(F.substring(s["value"], head + 1, F.length(s["value"])), r"[^0-9A-Za-z]++$", "")
@@ -112,14 +141,15 @@ def _candidates(text: Column, base: Column) -> Column:
         begin = s["start"] + head + glue
         return F.struct(begin.alias("start"), (begin + F.length(body)).alias("end"), body.alias("value"))
 
-    alone = F.filter(located(text, TOKEN), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    alone = _clear_of(located(text, CANDIDATE), known)
     any_shape = "|".join(f"(?:{p})" for p in SHAPES.values())
     return F.filter(F.transform(alone, trim), lambda s: s["value"].rlike(any_shape))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, base (array of start, kind, end, value), added (the same, found by the
-    bootstrap). Starts and ends count code points, ends are exclusive; kind is a place in KINDS.
+    bootstrap: its seeds beyond the base kinds, and what it discovers). Starts and ends count code points, ends are
+    exclusive; kind is a place in ALL_KINDS.
 
     A pattern is trusted for a kind if at least ``min_seeds`` different known values of that kind stand in it and they
     are, weighted by confidence, ``min_score`` of all values there; a value is added if the patterns around it give it
@@ -129,13 +159,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     first = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     first = first.withColumn("base", base_spans(text))
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    first = first.withColumn("others", F.when(text.rlike("[0-9@]"), _candidates(text, F.col("base"))).otherwise(none))
+    first = first.withColumn("keys", secret_spans(text, F.col("base")))
+    first = first.withColumn("others", F.when(text.rlike("[0-9@]"), _candidates(text, F.concat("base", "keys"))).otherwise(none))
     around = lambda s: contexts(text, s["start"], s["end"], s["value"])
     spans = F.concat(
-        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), s["kind"].alias("kind"), around(s).alias("patterns"))),
+        F.transform(F.concat("base", "keys"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), s["kind"].alias("kind"), around(s).alias("patterns"))),
         F.transform("others", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), F.lit(None).cast("int").alias("kind"), around(s).alias("patterns"))),
     )
-    seen = stash(first.select("row", "id", "base", spans.alias("spans")), "spans")
+    seen = stash(first.select("row", "id", "base", "keys", spans.alias("spans")), "spans")
     one = seen.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     edges = stash(one.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "edges")
     unknown = edges.filter("kind IS NULL").select("pattern", "value").join(edges.filter("kind IS NOT NULL").select("value"), "value", "left_anti")
@@ -147,7 +178,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
         scored = support.groupBy("pattern", "kind").agg(F.sum("conf").alias("mass"), F.count(F.lit(1)).alias("values")).filter(F.col("values") >= min_seeds)
         trusted = scored.join(sizes, "pattern").withColumn("score", F.col("mass") / F.col("n")).filter(F.col("score") >= min_score)
         fits = F.lit(False)
-        for k, kind in enumerate(KINDS):
+        for k, kind in enumerate(ALL_KINDS):
             fits = fits | ((F.col("kind") == k) & F.col("value").rlike(SHAPES[kind]))
         doubt = F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999))))
         conf = unknown.join(trusted.select("pattern", "kind", "score"), "pattern").filter(fits).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("conf"))
@@ -155,15 +186,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
         added = stash(best.select("value", (-F.col("b.rank")).alias("kind"), F.col("b.conf").alias("conf")), "added")
     more = one.filter("kind IS NULL").drop("kind").join(added.select("value", "kind"), "value")
     more = more.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("added"))
-    out = seen.select("row", "id", "base").join(more, "row", "left")
-    return out.select(F.col("id").alias(id_col), "base", F.coalesce("added", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")).alias("added"))
+    out = seen.select("row", "id", "base", "keys").join(more, "row", "left")
+    return out.select(F.col("id").alias(id_col), "base", F.when(F.col("added").isNull(), F.col("keys")).otherwise(F.array_sort(F.concat("keys", "added"))).alias("added"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`find_pii` of ``documents``: doc_id, the contract's counts, digest and span string, and n_added and n_spans, the
+    numbers of spans that the bootstrap added and of all. Null texts count as empty; rows that repeat have a row each."""
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == k), False)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     every = F.array_sort(F.concat("base", "added"))
-    return found.select("doc_id", *counts, F.sha2(span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_string(every).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_string(every).alias("spans"), F.size("added").cast("bigint").alias("n_added"), F.size(every).cast("bigint").alias("n_spans"))
 
 
 ORACLE_SQL = None
