@@ -7,12 +7,13 @@ urls keeps the stack of open rules: a start pushes its host's rules, an end rest
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, stash, table
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
@@ -24,8 +25,6 @@ RULES: list[Rule] = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Rules are replicated to every salt of their top-level label, so their number is checked.
-MAX_RULES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,15 +42,21 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def rule_events(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """(host, path, verdict), hosts lower-cased. A list becomes one literal, a long one should be a table."""
+    if isinstance(rules, DataFrame):
+        found = rules.select("host", "path", "verdict")
+    else:
+        shape = "array<struct<host:string,path:string,verdict:string>>"
+        text = json.dumps([dict(zip(("host", "path", "verdict"), r)) for r in rules])
+        found = spark.range(1).select(F.inline(F.from_json(F.lit(text), shape)))
+    return found.withColumn("host", F.translate("host", UPPER, LOWER))
+
+
+def rule_events(rules: DataFrame) -> DataFrame:
     """Two events per rule host, (zone, key, kind, stack): kind 0 ends, 1 starts; stack is what is open from there
-    on, an array of (host, path, verdict). A zone is a top-level label."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are replicated")
-    if any(not host for host, _, _ in rules):
-        raise ValueError("a rule needs a host")
-    literal = F.array(*[F.struct(F.lit(h.translate(str.maketrans(UPPER, LOWER))).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
-    own = spark.range(1).select(F.inline(literal)).withColumn("key", host_key(F.col("host")))
+    on, an array of (host, path, verdict). A zone is a top-level label. Rules without a host or a path fit nothing."""
+    own = rules.filter((F.col("host") != "") & F.col("path").isNotNull()).withColumn("key", host_key(F.col("host")))
     own = own.groupBy("key").agg(F.collect_set(F.struct("host", "path", "verdict")).alias("own"))
     labels = F.split("key", r"\.")  # the last is empty
     above = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")))
@@ -62,22 +67,25 @@ def rule_events(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     return full.select(F.split("key", r"\.")[0].alias("zone"), F.explode(both).alias("e")).select("zone", "e.*")
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: ``id_col``, host, path, rule, verdict.
 
     A rule fits its host and all subdomains if the path starts with the rule's; of several the longest (host and
     path together, then host, then rule text) wins; without one the verdict is ``default`` and rule is null. A null
     url, or one without ``://``, has empty host and path and gets ``default``. Rows that repeat are judged each; ids
-    may be null; other columns are ignored; an empty table gives an empty result. Hot zones are dealt over as many
-    salts as there are shuffle partitions."""
+    may be null; other columns are ignored; an empty table gives an empty result. ``rules`` are a list or a table of (host, path, verdict).
+
+    Zones are dealt by hash; one that holds more than a partition's share of the urls is dealt over as many salts as it
+    holds shares, and its rules go to each of them."""
     spark = pages.sparkSession
-    salts = partitions(spark)
     urls = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    urls = urls.withColumn("key", host_key(F.col("host"))).select(
-        F.substring_index("key", ".", 1).alias("zone"), F.pmod(F.xxhash64("id", "key", "path"), F.lit(salts)).alias("salt"), "key", F.lit(2).alias("kind"), "id", "host", "path"
-    )
-    rule = F.struct("host", "path", "verdict")
-    events = rule_events(spark, rules).select("zone", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), "key", "kind", "stack")
+    urls = urls.withColumn("key", host_key(F.col("host"))).select(F.substring_index("key", ".", 1).alias("zone"), "key", F.lit(2).alias("kind"), "id", "host", "path")
+    sizes = stash(urls.groupBy("zone").agg(F.count(F.lit(1)).alias("n")), "zones")
+    share = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / partitions(spark)
+    hot = F.broadcast(sizes.filter(F.col("n") > share).select("zone", F.ceil(F.col("n") / F.lit(max(share, 1.0))).alias("salts")))  # fewer than there are partitions
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    urls = urls.join(hot, "zone", "left").withColumn("salt", F.pmod(F.xxhash64("id", "key", "path"), salts)).drop("salts")
+    events = rule_events(rule_table(spark, rules)).join(hot, "zone", "left").select("zone", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), "key", "kind", "stack")
     swept = urls.unionByName(events, allowMissingColumns=True).withColumn(
         "open", F.last("stack", ignorenulls=True).over(Window.partitionBy("zone", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
     )
@@ -90,6 +98,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str =
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`filter_urls` of ``pages`` by the contract's rules: page_id, host, path, rule, verdict."""
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
