@@ -6,15 +6,16 @@ slots, and when a shard leaves, most other slots keep their owner. A key's slot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
-#: A prime, some 250 slots for each of 16 shards. The table has that many rows; MAX_SLOTS bounds what is broadcast.
-SLOTS, MAX_SLOTS = 4099, 20_011
+#: A prime, some 250 slots for each of 16 shards. The table has a row a slot; beyond BROADCAST_SLOTS it is joined by shuffle.
+SLOTS, BROADCAST_SLOTS = 4099, 1_000_003
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
@@ -25,36 +26,43 @@ def hash_mod(key: Column, mod: Column | int) -> Column:
 
 
 def lookup_table(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``slots`` rows (slot, shard). The turns are one fold over the claims, in one row of bounded size."""
-    if slots > MAX_SLOTS or slots < len(shards) or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
-        raise ValueError(f"slots must be a prime from the number of shards up to {MAX_SLOTS}")
-    if not shards or len(set(shards)) != len(shards):
-        raise ValueError("shards need distinct names")
+    """``slots`` rows (slot, shard). The turns are one fold in one row: a step tries one slot of the shard whose turn it is.
+    Owners are two bytes a slot, 0 where it is free, so a claim copies a few kilobytes."""
+    if slots < max(2, len(shards)) or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
+        raise ValueError("slots must be a prime that is no less than the number of shards")
+    if not shards or len(set(shards)) != len(shards) or len(shards) > 65_535:
+        raise ValueError("shards need distinct names, 65,535 at most")
     names = F.array(*map(F.lit, sorted(shards)))
     one = spark.range(1).select(
         names.alias("names"),
         F.transform(names, lambda s: hash_mod(F.concat(F.lit("offset:"), s), slots).cast("int")).alias("offset"),
         F.transform(names, lambda s: (hash_mod(F.concat(F.lit("skip:"), s), slots - 1) + 1).cast("int")).alias("skip"),
+        F.expr(f"named_struct('owner', unhex(repeat('0000', {slots})), 'next', array_repeat(0, {len(shards)}), 'claims', 0)").alias("s"),
     )
-    # owner: slot -> shard, -1 where free; next: the first place in each shard's order that it has not tried.
-    fold = f"""
-      aggregate(sequence(0, {slots - 1}),
-        named_struct('owner', array_repeat(-1, {slots}), 'next', array_repeat(0, size(names))),
-        (s, k) -> transform(array(k % size(names)), i ->
-          transform(array(aggregate(sequence(0, {slots - 1}), s.next[i],
-              (j, t) -> if(j < t or s.owner[(offset[i] + cast(j as bigint) * skip[i]) % {slots}] < 0, j, j + 1))), j ->
-            named_struct(
-              'owner', transform(s.owner, (o, p) -> if(p = (offset[i] + cast(j as bigint) * skip[i]) % {slots}, i, o)),
-              'next', transform(s.next, (n, p) -> if(p = i, j + 1, n))))[0])[0]).owner"""
-    return one.select("names", F.posexplode(F.expr(fold)).alias("slot", "i")).select("slot", F.expr("names[i]").alias("shard"))
+    # next: the first place in each shard's order that it has not tried
+    step = f"""
+      transform(array(named_struct('i', s.claims % {len(shards)}, 'p', (offset[s.claims % {len(shards)}] + cast(s.next[s.claims % {len(shards)}] as bigint) * skip[s.claims % {len(shards)}]) % {slots})), at ->
+        named_struct(
+          'owner', if(substring(s.owner, cast(2 * at.p + 1 as int), 2) = X'0000', overlay(s.owner PLACING unhex(lpad(hex(at.i + 1), 4, '0')) FROM cast(2 * at.p + 1 as int)), s.owner),
+          'next', transform(s.next, (n, j) -> if(j = at.i, n + 1, n)),
+          'claims', if(substring(s.owner, cast(2 * at.p + 1 as int), 2) = X'0000', s.claims + 1, s.claims)))[0]"""
+    tries = int(slots * (math.log(slots) + 2)) + 1  # about slots * ln(slots) are needed
+    while True:
+        one = stash(one.withColumn("s", F.expr(f"aggregate(sequence(1, {tries}), s, (s, t) -> if(s.claims >= {slots}, s, {step}))")), "turns")
+        if one.filter(F.col("s.claims") >= slots).count():
+            break
+    places = one.select("names", F.col("s.owner").alias("owner"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    owner = F.conv(F.hex(F.expr("substring(owner, 2 * slot + 1, 2)")), 16, 10).cast("int")
+    return places.select("slot", F.get("names", owner - 1).alias("shard"))
 
 
 def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """``df`` with columns slot and shard (replacing any of these names), placed by ``key``: one broadcast lookup, no
-    shuffle. Equal keys share a shard; a null key counts as empty text. Rows are kept as they are, repeats too; an
+    shuffle (but for tables over BROADCAST_SLOTS). Equal keys share a shard; a null key counts as empty text. Rows are kept as they are, repeats too; an
     empty table gives an empty result."""
     placed = df.drop("slot", "shard").withColumn("slot", hash_mod(F.coalesce(F.col(key).cast("string"), F.lit("")), slots).cast("int"))
-    return placed.join(F.broadcast(lookup_table(df.sparkSession, shards, slots)), "slot").select(*df.drop("slot", "shard").columns, "slot", "shard")
+    lookup = lookup_table(df.sparkSession, shards, slots)
+    return placed.join(F.broadcast(lookup) if slots <= BROADCAST_SLOTS else lookup, "slot").select(*df.drop("slot", "shard").columns, "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, files: int = 8) -> None:
@@ -65,6 +73,7 @@ def write_shards(df: DataFrame, path: str, key: str, shards: Sequence[str] = SHA
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`assign_shards` of ``documents`` by doc_id: doc_id, source, n_chars, slot, shard."""
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
 
 
