@@ -149,6 +149,8 @@ def score_quality(docs: DataFrame, trees: Trees | None, text_col: str = "text")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`score_quality` of ``documents``: doc_id, held_out, score, predicted. Null texts count as empty; every row has a
+    score."""
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs.select("doc_id", "text"), learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
