@@ -139,6 +139,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`mixed_copies` of ``documents``: doc_id, the three levels, leaf_target, copies."""
     docs = table(spark, sf_dir, "documents")
     return mixed_copies(docs.withColumn("domain", source_family(F.col("source")))).select("doc_id", *LEVELS, "leaf_target", "copies")
 
