@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where it is unset (tests, one
-    machine) a local folder is chosen."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only where it is unset, for local masters, a
+    folder of this machine is chosen."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(shared_dir, "_local", None) or tempfile.mkdtemp(prefix="tessera-shared-")
         shared_dir._local = at
     return at.rstrip("/")
@@ -70,6 +74,16 @@ def discard(*stashed: DataFrame) -> None:
         remove_folder(df.sparkSession, df._stashed)
 
 
+def give_back() -> None:
+    """Returns what a task of a Python worker has freed to the machine, as the worker lives on."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,22 +16,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled, table
+from .common import give_back, held_out, sampled, table
 
 #: A word is up to WIDTH letters; longer runs of letters are several words.
 WIDTH = 24
 WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
 BUCKETS = 1 << 17
-#: At most about this many labelled documents of each language are learned from, and a word must occur this often in
-#: them to enter the lexicon.
-DOCS_PER_LANG, LEXICON_COUNT = 400, 4
+#: At most about this many labelled documents of each language and in all are learned from, of each a run of at most so
+#: many characters, and a word must occur this often in them to enter the lexicon.
+DOCS_PER_LANG, DOCS, CHARS, LEXICON_COUNT = 400, 20_000, 20_000, 4
 SEED, STEPS, RATE, SEQUENCES, LENGTH = 11, 240, 0.25, 32, 128
 BLOCK = 32
 UNDETERMINED = "und"
 #: Words whose scores a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 #: Characters worked on at once in a worker.
-SLICE = 1_500_000
+SLICE = 500_000
 
 
 @dataclass
@@ -276,9 +276,13 @@ def slices(texts: pd.Series) -> Iterator[list[str]]:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS_PER_LANG) -> Crf | None:
-    """A model from a bounded sample of the rows that are not held out."""
+    """A model from a bounded sample of the rows that are not held out: DOCS documents, CHARS characters of each from a place
+    drawn by id. Every language is represented as long as there are no more than DOCS."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = sampled(known, "lang", per_lang, F.col("id"), SEED).select("id", "text", "lang").collect()
+    langs = docs.agg(F.approx_count_distinct(lang_col)).first()[0]
+    chosen = sampled(known, "lang", max(1, min(per_lang, DOCS // max(1, langs))), F.col("id"), SEED)
+    start = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.greatest(F.length("text") - CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = chosen.select("id", F.substring("text", start, F.lit(CHARS)).alias("text"), "lang").collect()
     rows.sort(key=lambda r: (r.lang, str(r.id), r.text))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
@@ -299,6 +303,8 @@ def identify(docs: DataFrame, model: Crf | None, text_col: str = "text") -> Data
         for batch in batches:
             parts = [worker.documents([WORD.findall(t.lower()) for t in some]) for some in slices(batch)]
             yield pd.DataFrame({"lang": [x for names, _ in parts for x in names], "score": np.concatenate([s for _, s in parts] or [np.zeros(0)])})
+        del worker
+        give_back()
 
     marked = base.withColumn("_label", label(F.col(text_col)))
     return marked.select(*base.columns, F.col("_label.lang").alias("lang_pred"), F.col("_label.score").alias("score"))
@@ -333,5 +339,6 @@ def label_words(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFram
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`identify` of ``documents``: doc_id, held_out, lang_pred, score. Null texts and texts without letters are ``und``."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs.select("doc_id", "text"), learn(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

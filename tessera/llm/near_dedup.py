@@ -15,11 +15,12 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stash, table
+from .common import discard, give_back, stash, table
 
 WORDS, BANDS, KEPT, SIMILARITY, SEED = 5, 20, 4, 0.8, 29
 #: Pairs in which a text has so few k-mers are found by their k-mers, without sketches.
@@ -132,11 +133,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, text_hash, digest, n, bands, sig, seq): digest is of the lower-cased words, n counts k-mers, seq holds
     them in four bytes each."""
 
-    def prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for pdf in (frame.iloc[i : i + 1000] for frame in frames for i in range(0, len(frame), 1000)):
+        for part in (batch.slice(i, 500) for batch in batches for i in range(0, batch.num_rows, 500)):
             digest, size, bands, sig, seq = [], [], [], [], []
-            for text in pdf["text"]:
+            for text in part.column("text").to_pylist():
                 words = text.lower().split() if isinstance(text, str) else []
                 if len(known) > CACHE:
                     known.clear()
@@ -147,10 +148,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands.append(sketches(s))
                 sig.append(signature(short))
                 seq.append(short.tobytes())
-            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"], "text_hash": pdf["text_hash"], "digest": digest, "n": np.array(size, np.int32), "bands": bands, "sig": sig, "seq": seq})
+            columns = [*(part.column(c) for c in ("row", "id", "text_hash")), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64())), pa.array(seq, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "text_hash", "digest", "n", "bands", "sig", "seq"])
+        known.clear()
+        give_back()
 
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(prints, "row long, id long, text_hash long, digest binary, n int, bands array<long>, sig array<long>, seq binary")
+    return slim.mapInArrow(prints, "row long, id long, text_hash long, digest binary, n int, bands array<long>, sig array<long>, seq binary")
 
 
 def linked(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:

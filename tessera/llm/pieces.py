@@ -10,7 +10,7 @@ What no piece spells becomes byte pieces."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from copy import copy
 from dataclasses import dataclass, field
 from hashlib import blake2b
@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, DROPOUT = 5, 0.1
 #: Different units that a worker remembers before it starts anew.
 CACHE = 150_000
 #: Characters and units worked on at once in a worker; longer units are cut one by one.
-SLICE, CHUNK, LONG = 1_000_000, 16_384, 32
+SLICE, CHUNK, LONG = 500_000, 16_384, 32
+WIDTHS = (1, 3, 4, 5, 6, 8, 10, 13, 18, 24, LONG)
 SPACE = "▁"
 MASK = (1 << 64) - 1
 
@@ -215,8 +216,8 @@ class Cutter:
             parts.append((np.array([i]), np.array([len(ids)]), np.array(ids, np.int32)))
         order = np.argsort(count, kind="stable")
         order = order[count[order] <= LONG]
-        for k in range(0, len(order), CHUNK):
-            some = order[k : k + CHUNK]
+        widths = np.searchsorted(count[order], WIDTHS, side="right").tolist()  # units of a like width go together
+        for some in (order[k : min(k + CHUNK, b)] for a, b in zip([0, *widths], widths) for k in range(a, b, CHUNK)):
             mine: list[tuple[np.ndarray, np.ndarray]] | None = None if steps is None else []
             parts.append((some, *self._together([units[i] for i in some.tolist()], count[some], draws[some], mine)))
             if steps is not None:
@@ -310,8 +311,9 @@ class Encoder:
     def _forget(self) -> None:
         self.numbers = _Numbers()
         self.names: list[str] = []
-        self.pool, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.steps, self.merges = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # of the units' plain cuts and their merges, all in a row: where each unit's begin, and how many it has
+        self.pool, self.begin, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.steps, self.first, self.merges = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _draws(self, counts: list[int], keys: list[int]) -> np.ndarray:
         seeds = np.array([mix64((k ^ self.seed * 0xD6E8FEB86659FD93) & MASK) for k in keys], np.uint64)
@@ -323,7 +325,7 @@ class Encoder:
         """Places of the occurrences in which a merge of their plain cut is skipped."""
         if not (bar := self.cutter.bar()):
             return np.zeros(0, np.int64)
-        n, begin = self.merges[code], (np.cumsum(self.merges) - self.merges)[code]
+        n, begin = self.merges[code], self.first[code]
         owner = np.repeat(np.arange(len(code)), n)
         step = self.steps[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(owner))]
         return np.unique(owner[mix64s(self.cutter.keys_of(draws)[owner] ^ step) < bar])
@@ -343,15 +345,19 @@ class Encoder:
             new = list(islice(self.numbers, len(self.names), None))
             flat, length, steps, merges = self.cutter.plain(new)
             self.names += new
+            self.begin, self.first = np.concatenate([self.begin, len(self.pool) + np.cumsum(length) - length]), np.concatenate([self.first, len(self.steps) + np.cumsum(merges) - merges])
             self.pool, self.length = np.concatenate([self.pool, flat]), np.concatenate([self.length, length])
             self.steps, self.merges = np.concatenate([self.steps, steps]), np.concatenate([self.merges, merges])
         draws = self._draws(counts, keys)
         again = self._skipped(code, draws)
         flat, length = self.cutter.cut([self.names[i] for i in code[again].tolist()], draws[again])
-        size, begin = self.length[code], (np.cumsum(self.length) - self.length)[code]
+        size, begin = self.length[code], self.begin[code]
         size[again], begin[again] = length, len(self.pool) + np.cumsum(length) - length
         ends = np.cumsum(size)
-        ids = np.concatenate([self.pool, flat])[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]))]
+        at = np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]))
+        ids, anew = np.empty(len(at), np.int32), at >= len(self.pool)
+        ids[anew] = flat[at[anew] - len(self.pool)]
+        ids[~anew] = self.pool[at[~anew]]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -386,15 +392,17 @@ def _lists(ids: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array([x is None for x in ids]))
 
 
-def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = SEED, dropout: float = DROPOUT, model: str = MODEL, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = SEED, dropout: float = DROPOUT, model: str = MODEL, check: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``piece_ids`` (array of int), replacing a column of that name; with ``check`` also ``lossless``:
     whether decoding them gives the text again.
 
     A null text gives null, an empty one an empty array. Rows that repeat id and text get the same pieces; a null id
-    counts as empty. Rows stay as they are; an empty table gives an empty result. ``model`` is read on the driver."""
-    base = docs.drop("piece_ids", "lossless")
+    counts as empty. Rows stay as they are; an empty table gives an empty result. ``keep`` names the columns that come back
+    (default: all). ``model`` is read on the driver."""
+    text, key = F.col(text_col).cast("string"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    base = docs.drop("piece_ids", "lossless") if keep is None else docs.select(*keep)
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model))
-    keyed = base.select(*base.columns, F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_key"))
+    keyed = docs.select(*base.columns, text.alias("_text"), key.alias("_key"))
 
     kept = base.columns
 
@@ -410,6 +418,8 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed
                 if check:
                     out = _with(out, "lossless", pa.array([t is None or decode_ids(i.tolist(), shared.value) == t for i, t in zip(ids, some)]))
                 yield out
+        del encoder
+        give_back()
 
     schema = T.StructType([*base.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))] + [T.StructField("lossless", T.BooleanType())] * check)
     return keyed.mapInArrow(pieces, schema)
@@ -431,9 +441,10 @@ def decode(encoded: DataFrame, ids_col: str = "piece_ids", to: str = "decoded",
 
 def encoded_with_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id_col``, piece_ids, n_pieces (0 for null) and ``lossless``."""
-    done = encode(docs.select(id_col, text_col), text_col, id_col, check=True, **options)
+    done = encode(docs, text_col, id_col, check=True, keep=[id_col], **options)
     return done.select(id_col, "piece_ids", F.greatest(F.coalesce(F.size("piece_ids"), F.lit(0)), F.lit(0)).alias("n_pieces"), "lossless")
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`encoded_with_check` of ``documents``: doc_id, piece_ids, n_pieces, lossless."""
     return encoded_with_check(table(spark, sf_dir, "documents"))
