@@ -49,45 +49,44 @@ def path_columns(levels: Sequence[str]) -> list[Column]:
 def leaf_budgets(leaves: DataFrame, depth: int, weights: Mapping[tuple[str, ...], float], budget: Column, max_epochs: int) -> DataFrame:
     """``leaves`` has p0..p(depth-1) and tokens; adds ``target``, the leaf's budget in whole tokens.
 
-    Windows are over a node's children; a row is a leaf, of which there are few."""
+    Capacities are summed up level by level and budgets handed down; a window is over one node's children only."""
     path = [f"p{i}" for i in range(depth)]
-    named = [(k, v) for k, v in weights.items() if len(k) <= depth]
-    df = leaves
-    for d in range(1, depth + 1):
-        here = F.concat_ws("\x1f", *path[:d])
-        w = F.lit(1.0)
-        if own := {k: v for k, v in named if len(k) == d}:
-            w = F.coalesce(F.create_map(*[F.lit(x) for k, v in own.items() for x in ("\x1f".join(k), float(v))])[here], w)
-        df = df.withColumn(f"w{d}", w)
+
+    def weight(d: int) -> Column:
+        own = {k: v for k, v in weights.items() if len(k) == d}
+        if not own:
+            return F.lit(1.0)
+        known = F.create_map(*[F.lit(x) for k, v in own.items() for x in ("\x1f".join(k), float(v))])
+        return F.coalesce(known[F.concat_ws("\x1f", *path[:d])], F.lit(1.0))
+
     alive = F.lit(True)
     for d in range(1, depth + 1):
-        alive = alive & (F.col(f"w{d}") > 0)
-    df = df.withColumn(f"cap{depth}", F.when(alive, F.col("tokens") * F.lit(float(max_epochs))).otherwise(0.0))
+        alive = alive & (weight(d) > 0)
+    caps = {depth: leaves.select(*path, F.when(alive, F.col("tokens") * F.lit(float(max_epochs))).otherwise(0.0).alias("cap"))}
     for d in range(depth - 1, 0, -1):
-        df = df.withColumn(f"cap{d}", F.sum(f"cap{depth}").over(Window.partitionBy(*path[:d])))
-    df = df.withColumn("b0", budget.cast("double"))
+        caps[d] = caps[d + 1].groupBy(*path[:d]).agg(F.sum("cap").alias("cap"))
+    above = None
     for d in range(1, depth + 1):
-        # one row of each node counts in the sums over a node's children
-        df = df.withColumn("one", (F.row_number().over(Window.partitionBy(*path[:d]).orderBy(*path)) == 1).cast("double"))
-        df = df.withColumn("ratio", F.coalesce(F.try_divide(F.col(f"cap{d}"), F.col(f"w{d}")), F.lit(0.0)))
+        nodes = caps[d].withColumn("w", weight(d))
+        nodes = nodes.withColumn("b", budget.cast("double")) if above is None else nodes.join(above, path[: d - 1])
+        nodes = nodes.withColumn("ratio", F.coalesce(F.try_divide("cap", "w"), F.lit(0.0)))
         siblings = Window.partitionBy(*path[: d - 1])
-        ranked = siblings.orderBy("ratio", *path)
-        before = F.coalesce(F.sum(F.col(f"cap{d}") * F.col("one")).over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        rest = F.sum(F.col(f"w{d}") * F.col("one")).over(ranked.rowsBetween(0, Window.unboundedFollowing))
-        df = df.withColumn("full", F.when(F.col("one") == 1, F.coalesce(F.col("ratio") <= F.try_divide(F.col(f"b{d - 1}") - before, rest), F.lit(True))))
-        df = df.withColumn("full", F.max("full").over(Window.partitionBy(*path[:d])))
-        used = F.sum(F.when(F.col("full"), F.col(f"cap{d}") * F.col("one")).otherwise(0.0)).over(siblings)
-        free = F.sum(F.when(~F.col("full"), F.col(f"w{d}") * F.col("one")).otherwise(0.0)).over(siblings)
-        share = F.col(f"w{d}") * F.try_divide(F.col(f"b{d - 1}") - used, free)
-        df = df.withColumn(f"b{d}", F.when(F.col("full"), F.col(f"cap{d}")).otherwise(share))
-    return df.select(*leaves.columns, F.floor(F.round(f"b{depth}", 3)).cast("bigint").alias("target"))
+        ranked = siblings.orderBy("ratio", *path[:d])
+        before = F.coalesce(F.sum("cap").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum("w").over(ranked.rowsBetween(0, Window.unboundedFollowing))
+        nodes = nodes.withColumn("full", F.coalesce(F.col("ratio") <= F.try_divide(F.col("b") - before, rest), F.lit(True)))
+        used = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(siblings)
+        free = F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0.0)).over(siblings)
+        share = F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.try_divide(F.col("b") - used, free))
+        above = nodes.select(*path[:d], share.alias("b"))
+    return leaves.join(above, path).select(*leaves.columns, F.floor(F.round("b", 3)).cast("bigint").alias("target"))
 
 
 def _leaf_cuts(docs: DataFrame, levels: Sequence[str], id_col: str, text_col: str, weights: Mapping, budget: float, max_epochs: int, seed: int) -> tuple[DataFrame, int]:
     """A row for each leaf: p0.., target, epochs, and the last (key, id) of the prefix, null if it is empty."""
     path = [f"p{i}" for i in range(len(levels))]
     slim = stash(docs.select(*path_columns(levels), F.col(id_col).cast("string").alias("id"), tokens(F.col(text_col)).alias("tokens")), "tokens")
-    sums = slim.groupBy(*path).agg(F.sum("tokens").alias("tokens"))
+    sums = stash(slim.groupBy(*path).agg(F.sum("tokens").alias("tokens")), "sums")
     total = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     leaves = leaf_budgets(sums, len(levels), weights, F.lit(float(int(total * budget))), max_epochs)
     epochs = F.coalesce(F.expr("try_divide(target, tokens)"), F.lit(0.0))
