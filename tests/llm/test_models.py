@@ -6,7 +6,8 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ann, language_id, near_dedup, pieces, quality, registry
+from tessera.llm import ann, language_id, mixing, near_dedup, pieces, quality, registry
+from tessera.llm.common import stash
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -63,6 +64,9 @@ def test_language(spark):
     t = docs.filter("lang = 'en'").first()["text"][:300] + " " + docs.filter("lang = 'de'").first()["text"][:300]
     spans = language_id.label_words(spark.createDataFrame([(t,)], "text string"), model).first()["lang_spans"]
     assert [s["lang"] for s in spans][0] == "en" and [s["lang"] for s in spans][-1] == "de"
+    again = docs.limit(50).unionByName(docs.limit(50))
+    twice = language_id.identify(again, model)
+    assert twice.count() == 100 and twice.groupBy("doc_id").agg(F.count_distinct("lang_pred", "score").alias("n")).filter("n > 1").count() == 0
 
 
 def test_quality(spark):
@@ -76,6 +80,32 @@ def test_quality(spark):
     assert quality.grow(np.zeros((0, 25)), np.zeros(0)) is None and quality.score_quality(odd, None).first()["score"] == 0.5
 
 
+def test_quality_repeats_and_empty(spark):
+    docs = spark.createDataFrame([(i, "good words here. " * (i % 3 + 1) if i % 2 else "zz zz zz") for i in range(60)] * 2 + [(None, "x")], "doc_id long, text string").withColumn("y", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(60)] + [(1, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    trees = quality.learn(docs, labels)
+    out = quality.score_quality(docs, trees)
+    assert out.count() == 121 and out.columns == ["doc_id", "text", "y", "score"]
+    assert out.groupBy("text").agg(F.count_distinct("score").alias("n")).filter("n > 1").count() == 0
+    assert quality.score_quality(docs.limit(0), trees).count() == 0 and quality.learn(docs.limit(0), labels) is None and quality.learn(docs, labels.limit(0)) is None
+
+
+def test_trees_score_as_one_by_one():
+    """The flattened arrays against a walk down each tree."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, len(quality.STATISTICS)))
+    trees = quality.grow(x, (x[:, 1] + x[:, 2] > 0).astype(float))
+    inner = trees.feature.shape[1]
+    for row, got in zip(x[:50], trees.score(x[:50])):
+        raw = trees.base
+        for t in range(len(trees.feature)):
+            node = 0
+            while node < inner:
+                node = 2 * node + 1 + int(row[trees.feature[t, node]] > trees.bound[t, node])
+            raw += trees.value[t, node - inner]
+        assert got == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
@@ -154,10 +184,37 @@ def brute(vectors, k):
     return out
 
 
-def test_neighbours_recall(spark):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{MEDIUM}/embeddings.parquet").collect()]
+def clustered(n, centers, dim=32, seed=8):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centers, dim))
+    return (middle[rng.integers(centers, size=n)] + 0.25 * rng.normal(size=(n, dim))).tolist()
+
+
+def test_share_is_small_for_clusters_and_large_without():
+    """Under a tenth of the entries where vectors have clusters."""
+    shares = []
+    for x in (clustered(4000, 60), np.random.default_rng(9).normal(size=(4000, 32)).tolist()):
+        x = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+        rng = np.random.default_rng(1)
+        books = ann.Codebooks(32, ann.kmeans(x[:, :16], ann.CENTROIDS, rng), ann.kmeans(x[:, 16:], ann.CENTROIDS, rng))
+        shares.append(ann.needed_share(x, books, 5, ann.RECALL))
+    assert shares[0] < 0.1 < 0.2 < shares[1] < 1
+
+
+def test_neighbours_of_clusters(spark):
+    rows = [(i, v) for i, v in enumerate(clustered(3000, 50))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want, got = brute(rows, 5), {}
-    for r in registry.QUERIES["op7_ann"](spark, MEDIUM).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, df.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(set(want[q]) & got[q]) for q in want) / sum(map(len, want.values())) >= 0.9
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_neighbours_recall(spark, folder):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    want, got = brute(rows, 5), {}
+    for r in registry.QUERIES["op7_ann"](spark, folder).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     hit = sum(len(set(want[q]) & set(got[q])) for q in want)
     assert hit / sum(map(len, want.values())) >= 0.9
@@ -248,6 +305,61 @@ def test_hot_group(spark):
     assert out.filter("doc_id < 1000").select("class_id").distinct().count() == 1 and out.filter("class_size = 1").count() == 300
 
 
+def similarity(a, b):
+    """Aligned over all labelled k-mers, by a longest increasing run."""
+    from bisect import bisect_left
+
+    def grams(t):
+        w, seen, out = t.lower().split(), {}, []
+        for g in (tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w):
+            seen[g] = seen.get(g, -1) + 1
+            out.append((g, seen[g]))
+        return out
+
+    x, y = grams(a), grams(b)
+    at, tails = {g: i for i, g in enumerate(y)}, []
+    for g in x:
+        if g in at:
+            k = bisect_left(tails, at[g])
+            tails[k : k + 1] = [at[g]]
+    return len(tails) / max(1, len(x) + len(y) - len(tails))
+
+
+def test_spread_group(spark):
+    """A group whose members are 0.6 to 0.9 alike, in which many links stand near the threshold: as by brute force."""
+    rng = np.random.default_rng(12)
+    base, spare = words(rng, 100), words(rng, 30)
+    texts = []
+    for _ in range(260):
+        w = list(base)
+        for _ in range(int(rng.integers(1, 5))):
+            at = int(rng.integers(len(w)))
+            w[at : at + 1] = [] if rng.random() < 0.4 else [spare[int(rng.integers(30))]]
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    comp = list(range(len(texts)))
+    alike = []
+    for i in range(len(texts)):
+        for j in range(i):
+            s = similarity(texts[i], texts[j])
+            alike.append(s)
+            if s >= 0.8:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    assert 0.1 < np.mean(np.array(alike) >= 0.8) < 0.6 and len(set(comp)) > 10
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(comp))
+
+
+def test_signatures_bound_the_distance():
+    rng = np.random.default_rng(13)
+    for n in (20, 200, 2000):
+        a = rng.integers(1 << 32, size=n, dtype=np.uint32)
+        b = np.concatenate([a[: int(n * 0.9)], rng.integers(1 << 32, size=int(n * 0.15), dtype=np.uint32)])
+        differ = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in near_dedup.signature(a) ^ near_dedup.signature(b))
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "mixing", "pieces"]
@@ -265,6 +377,83 @@ def test_pipeline(spark):
         assert stage(spark, empty, SMALL).count() == 0
 
 
+def naive_language(model, text):
+    """A language and its share of the letters, by forward-backward a word at a time."""
+    words = language_id.WORD.findall((text or "").lower())
+    if not words:
+        return "und", 0.0
+    e, t = np.exp(language_id.emissions(model, words).astype(float)), np.exp(model.trans)
+    fore, back = [], [np.ones(len(model.labels))]
+    for i in range(len(words)):
+        x = (np.exp(model.start) if i == 0 else fore[-1] @ t) * e[i]
+        fore.append(x / x.sum())
+    for i in range(len(words) - 1, 0, -1):
+        x = t @ (e[i] * back[0])
+        back.insert(0, x / x.sum())
+    mass = sum(len(w) * (f * g / (f * g).sum()) for w, f, g in zip(words, fore, back))
+    return model.labels[int(mass.argmax())], float(mass.max() / mass.sum())
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage over what its predecessor keeps, with null ids, null and empty texts, repeats, copies and a clashing column,
+    against plain Python or the mixing operator's SQL."""
+    import re
+
+    import duckdb
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(120)
+    odd = some.limit(6)
+    docs = stash(
+        some.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(odd.withColumns({"doc_id": F.col("doc_id") + 10_000, "text": F.concat(F.upper("text"), F.lit(" \t end"))}))
+        .unionByName(odd.limit(3).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit("une seule phrase sans numero ici et la the and of")}))
+        .unionByName(odd.limit(2).withColumns({"doc_id": F.col("doc_id") + 20_000, "text": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
+        .withColumn("digest", F.lit("clash"))
+    )
+    key = lambda rows: sorted(map(repr, rows))
+    rows_in = [tuple(r) for r in docs.collect()]
+
+    model = language_id.learn(docs)
+    after = stash(corpus_pipeline.identify_language(spark, docs, SMALL))
+    judged = [naive_language(model, r[1]) for r in rows_in]
+    kept = [r for r, (lang, share) in zip(rows_in, judged) if lang != "und" and share >= corpus_pipeline.MIN_LANGUAGE_SHARE]
+    assert key(map(tuple, after.collect())) == key(kept) and len(kept) < len(rows_in)
+
+    once = {}
+    for r in kept:
+        text = re.sub("[\\x20\\x09-\\x0D]+", " ", r[1] or "")
+        best = once.get(text)
+        if best is None or (r[0] is None, r[0] or 0) < (best[0] is None, best[0] or 0):
+            once[text] = r
+    after = stash(corpus_pipeline.drop_copies(spark, after, SMALL))
+    assert key(map(tuple, after.collect())) == key(once.values()) and len(once) < len(kept)
+
+    left = sorted(once.values(), key=lambda r: (r[0] is None, r[0] or 0))
+    comp = list(range(len(left)))
+    bags = [set(r[1].lower().split()) for r in left]
+    for i in range(len(left)):
+        for j in range(i):
+            if len(bags[i] & bags[j]) * 3 > len(bags[i] | bags[j]) and similarity(left[i][1], left[j][1]) >= 0.8:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    after = stash(corpus_pipeline.drop_near_copies(spark, after, SMALL))
+    heads = [left[i] for i in sorted(set(comp))]
+    assert key(map(tuple, after.collect())) == key(heads) and len(heads) < len(left)
+
+    con = duckdb.connect()
+    documents = after.toArrow()  # noqa: F841  the name of the table in the SQL
+    sql = mixing.ORACLE_SQL.replace(f"* {mixing.BUDGET}::DOUBLE", f"* {corpus_pipeline.MIX_BUDGET}::DOUBLE")
+    want = sorted((d, c) for d, c in con.sql(f"SELECT doc_id, copies FROM ({sql}) WHERE copies > 0").fetchall() if d is not None)
+    mixed = stash(corpus_pipeline.mix_sources(spark, after, SMALL))
+    got = sorted(tuple(r) for r in mixed.filter("doc_id IS NOT NULL").groupBy("doc_id").count().collect())
+    assert got == want and mixed.columns == docs.columns
+
+    v = pieces.load_vocabulary()
+    texts = {(r.doc_id, r.text) for r in mixed.collect()}
+    out = corpus_pipeline.encode_pieces(spark, mixed, SMALL).collect()
+    assert {(r.doc_id, pieces.decode_ids(r.piece_ids, v)) for r in out} == texts and all(r.lossless and r.n_pieces == len(r.piece_ids) for r in out)
+
+
 def test_near_dedup_short_texts_are_exact(spark):
     """8 words against 9 are 4 k-mers of 5: a similarity of 0.8."""
     rng = np.random.default_rng(6)
