@@ -19,6 +19,7 @@ ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈ
 PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
 #: Texts without a character beyond ASCII are left as they are.
 UNACCENTED = rf"CASE WHEN s RLIKE '[^\\x00-\\x7F]' THEN translate(s, '{ACCENTED}', '{PLAIN}') ELSE s END"
+# What an email address and a URL look like.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$"
 URL = r"^https?://[^\\s/$.?#].[^\\s]*$"
 # Strftime directives and the Java patterns that print the same.
