@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality, sharding, url_filter
+from . import ann, conversations, exact_dedup, language_id, mixing, near_dedup, pieces, pii, quality, secrets, sharding, spelling, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_secrets": secrets.op11_secrets,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
 }
