@@ -159,10 +159,9 @@ def learn(docs: DataFrame, text_col: str = "text") -> Models:
         yield pa.RecordBatch.from_arrays([pa.array(kind * K**3 + at), pa.array(total[kind, at])], ["cell", "n"])
         give_back()
 
-    rows = docs.select(F.col(text_col)).filter(F.col(text_col).isNotNull()).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col)).filter(F.col(text_col).isNotNull()).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(2 * K**3)
-    for r in rows:
-        total[r.cell] = r.n
+    total[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     ordinary, chance = mixed(total[: K**3], count_of(ordinary_samples())), mixed(total[K**3 :], count_of(random_samples()))
     return Models(np.log(chance) - np.log(ordinary))
 
