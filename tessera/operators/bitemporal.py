@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpoint_folder
-
+from . import ordered
 from .relational import close_versions
+from .shared import checkpoint_folder
 
 KEY = ["subject", "predicate"]
 
@@ -71,27 +71,38 @@ def hash_entries(entries: DataFrame, payload: Sequence[str], seq: str, prev: str
 
 def verify_chain(entries: DataFrame, by: Sequence[str], seq: str, time: str, payload: Sequence[str]) -> DataFrame:
     """(by, seq, problem): wrong_hash, broken_link, duplicate, time_regression, bad_genesis. Entries have hash and
-    prev_hash; the first one's prev_hash is 64 zeros."""
-    w = Window.partitionBy(*by).orderBy(seq)
-    e = entries.withColumns({"_p": F.lag("hash").over(w), "_t": F.lag(time).over(w), "_s": F.lag(seq).over(w), "_n": F.row_number().over(w)})
+    prev_hash; the first one's prev_hash is 64 zeros. A long chain is checked in ranges, each of which knows the last entry
+    of the one before."""
+    e = ordered.with_previous(entries, by, [seq, "hash"], list(dict.fromkeys(["hash", time, seq])))
+    first = F.col("_prev").isNull()
     problems = F.array_compact(F.array(
         F.when(F.col("hash") != hash_entries(e, payload, seq), "wrong_hash"),
-        F.when((F.col("_n") > 1) & (F.col("prev_hash") != F.col("_p")), "broken_link"),
-        F.when(F.col("_s") == F.col(seq), "duplicate"),
-        F.when(F.col("_t") > F.col(time), "time_regression"),
-        F.when((F.col("_n") == 1) & (F.col("prev_hash") != "0" * 64), "bad_genesis"),
+        F.when(~first & (F.col("prev_hash") != F.col("_prev.hash")), "broken_link"),
+        F.when(F.col(f"_prev.{seq}") == F.col(seq), "duplicate"),
+        F.when(F.col(f"_prev.{time}") > F.col(time), "time_regression"),
+        F.when(first & (F.col("prev_hash") != "0" * 64), "bad_genesis"),
     ))
     return e.select(*by, seq, F.explode(problems).alias("problem"))
 
 
+#: Levels of a tree that one round hashes: 2**LEVELS neighbours meet in a row.
+LEVELS = 8
+
+
 def merkle_roots(entries: DataFrame, batch: str, seq: str, leaf: Column) -> DataFrame:
-    """(batch, root, leaves): pairs of hashes are hashed level by level; an odd last one is paired with itself. Each level is
-    one grouping of neighbours."""
+    """(batch, root, leaves): pairs of hashes are hashed level by level; an odd last one is paired with itself. Leaves are
+    numbered in ranges, and a round hashes LEVELS levels of groups of neighbours, so a batch of any size is dealt out."""
     checkpoint_folder(entries.sparkSession)
-    level = entries.select(F.col(batch).alias("batch"), (F.row_number().over(Window.partitionBy(batch).orderBy(seq)) - 1).alias("i"), leaf.alias("h")).checkpoint()
-    sizes = level.groupBy("batch").agg(F.count(F.lit(1)).alias("leaves"))
-    while level.filter("i > 0").take(1):
-        pairs = level.groupBy("batch", F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", "i").alias("l"), F.max_by("h", "i").alias("r"), F.count(F.lit(1)).alias("_n"), F.max(F.col("i")).alias("_top"))
-        single = level.groupBy("batch").agg(F.max("i").alias("_max"))
-        level = pairs.join(single, "batch").select("batch", "i", F.when(F.col("_max") == 0, F.col("l")).otherwise(F.sha2(F.concat("l", "r"), 256)).alias("h")).checkpoint()
+    leaves = entries.select(F.col(batch).alias("batch"), F.col(seq).alias("seq"), leaf.alias("h"))
+    level = ordered.numbered(leaves, ["batch"], ["seq", "h"], "i").select("batch", "i", "h").checkpoint()
+    sizes = level.groupBy("batch").agg(F.count(F.lit(1)).alias("leaves")).checkpoint()
+    left = sizes.agg(F.max("leaves")).first()[0] or 0
+    level = level.join(sizes.withColumnRenamed("leaves", "n"), "batch")  # n: nodes of the batch at this level
+    pairs = "transform(sequence(0, (size(s.hs) - 1) div 2), k -> sha2(concat(s.hs[2 * k], coalesce(get(s.hs, 2 * k + 1), s.hs[2 * k])), 256))"
+    climb = f"aggregate(sequence(1, {LEVELS}), named_struct('hs', hs, 'n', n), (s, x) -> if(s.n > 1, named_struct('hs', {pairs}, 'n', (s.n + 1) div 2), s))"
+    while left > 1:
+        group = level.groupBy("batch", F.expr(f"i div {2**LEVELS}").alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("hs"), F.max("n").alias("n"))
+        top = group.withColumn("hs", F.col("hs.h")).select("batch", "i", F.expr(climb).alias("s"))
+        level = top.select("batch", "i", F.col("s.hs")[0].alias("h"), F.col("s.n").alias("n")).checkpoint()
+        left = -(-left // 2**LEVELS)
     return level.select("batch", F.col("h").alias("root")).join(sizes, "batch")

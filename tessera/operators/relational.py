@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
 from .percentiles import percentiles
 from .rows import number
 
@@ -38,16 +39,29 @@ def reconcile_keys(expected: DataFrame, actual: DataFrame, keys: Sequence[str])
     return both.select(*keys, F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").otherwise("matched").alias("status"))
 
 
-def as_of_join(rows: DataFrame, versions: DataFrame, key: Sequence[str], tx_time: str, valid_time: str | None = None) -> DataFrame:
-    """Rows with the version of their key that was visible at (tx_time, valid_time): half-open ranges, null is open.
-
-    The key makes it an equi-join; the ranges filter within."""
-    t = F.col(f"r.{tx_time}")
-    on = [F.col(f"r.{k}") == F.col(f"v.{k}") for k in key] + [F.col("v.tx_from") <= t, F.col("v.tx_to").isNull() | (t < F.col("v.tx_to"))]
-    if valid_time:
-        u = F.col(f"r.{valid_time}")
-        on += [F.col("v.valid_from") <= u, F.col("v.valid_to").isNull() | (u < F.col("v.valid_to"))]
-    return rows.alias("r").join(versions.alias("v"), on, "left").select("r.*", *[F.col(f"v.{c}") for c in versions.columns if c not in key])
+def as_of_join(rows: DataFrame, versions: DataFrame, key: Sequence[str], tx_time: str, valid_time: str | None = None, disjoint: bool = True) -> DataFrame:
+    """Rows with the version of their key that was visible at (tx_time, valid_time): half-open ranges, null is open; nulls
+    without one.
+
+    Versions of a key that do not overlap in transaction time (``disjoint``) need one sorted sweep over rows and versions that
+    carries the open version; it is dealt by ranges of key and time, so that a key with most of the rows is in many tasks.
+    With a valid time, or versions that overlap, a row may have several: an equi-join by key that filters by the ranges."""
+    own = [c for c in versions.columns if c not in key]
+    if valid_time or not disjoint:
+        t = F.col(f"r.{tx_time}")
+        on = [F.col(f"r.{k}") == F.col(f"v.{k}") for k in key] + [F.col("v.tx_from") <= t, F.col("v.tx_to").isNull() | (t < F.col("v.tx_to"))]
+        if valid_time:
+            u = F.col(f"r.{valid_time}")
+            on += [F.col("v.valid_from") <= u, F.col("v.valid_to").isNull() | (u < F.col("v.valid_to"))]
+        return rows.alias("r").join(versions.alias("v"), on, "left").select("r.*", *[F.col(f"v.{c}") for c in own])
+    names = [f"_k{i}" for i in range(len(key))]
+    keys = [F.col(k).alias(n) for k, n in zip(key, names)]
+    starts = versions.filter(F.col("tx_from").isNotNull()).dropna(subset=list(key))
+    starts = starts.select(*keys, F.col("tx_from").alias("_t"), F.lit(0).alias("_asks"), F.col("tx_to").isNull().alias("_open"), F.col("tx_to").alias("_to"), F.struct(*own).alias("_v"))
+    asks = rows.select(*keys, F.col(tx_time).alias("_t"), F.lit(1).alias("_asks"), F.struct(*rows.columns).alias("_r"))
+    swept = ordered.with_last(asks.unionByName(starts, allowMissingColumns=True), names, ["_t", "_asks", "_open", "_to"], "_v").filter("_asks = 1")
+    seen = F.col("_last.tx_to").isNull() | (F.col("_t") < F.col("_last.tx_to"))
+    return swept.withColumn("_last", F.when(seen, F.col("_last"))).select("_r.*", *[F.col(f"_last.{c}") for c in own])
 
 
 def exclude_held(candidates: DataFrame, holds: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..operators import bitemporal, contracts, facts, lineage, privacy, reconcile, relational
+from ..sources import change_log
 from ..streaming import cdc
+from ..streaming.buckets import BucketedState
 from .quality_queries import FREQUENCY, _values
 from .registry import checkpoint_folder, query, table
 
@@ -65,6 +67,36 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str, operator) -> DataFram
     return spark.read.parquet(f"{at}/out")
 
 
+def _logged(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
+    """A log to which the creations of orders are appended, then their updates and deletions, and the position between."""
+    import uuid
+
+    at = f"{checkpoint_folder(spark)}/log-{uuid.uuid4().hex}"
+    e = _envelopes(spark, sf_dir).select(F.get_json_object("value", "$.op").alias("op"), F.coalesce(F.get_json_object("value", "$.after.o_orderkey"), F.get_json_object("value", "$.before.o_orderkey")).alias("key"), "value")
+    change_log.append_log(e.filter("op = 'c'"), at)
+    between = change_log.log_position(at)
+    change_log.append_log(e.filter("op != 'c'"), at)
+    return at, between
+
+
+@query("a12_replay_from", f"SELECT operation, o_orderkey, o_orderstatus, o_totalprice FROM {EVENTS} WHERE operation <> 'create'")
+def replay_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a log holds from a stored position on."""
+    at, between = _logged(spark, sf_dir)
+    return cdc.parse_cdc(change_log.replay(spark, at, between), ROW).select("operation", *FIELDS)
+
+
+@query("i03_apply_cdc_stream", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 10 <> 0")
+def apply_cdc_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log read as a stream into buckets: a batch of creations, and after a restart the updates and deletions."""
+    at, between = _logged(spark, sf_dir)
+    for end in (between, "latest"):
+        stream = change_log.read_log_stream(spark, at, ending_offsets=end)
+        q = cdc.apply_cdc_stream(cdc.parse_cdc(stream, ROW), f"{at}/state", ["o_orderkey"], ["ts_ms"], FIELDS, f"{at}/check", buckets=8)
+        q.trigger(availableNow=True).start().awaitTermination()
+    return BucketedState(spark, f"{at}/state", ["o_orderkey"], FIELDS).frame()
+
+
 @query("i04_watermark", "SELECT time_bucket(INTERVAL 1 hour, ts) AS bucket, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 10 minute FROM events)")
 def watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that are over for a watermark of ten minutes."""
@@ -131,6 +163,12 @@ def tag_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIPE_RULES = [{"field": "value", "rule": "RANGE", "min": 0, "max": 50, "severity": "warning"}]
 
 
+@query("i17_governed_lineage", "SELECT event_id::VARCHAR AS key, 'governed' AS job, 2::BIGINT AS read, 1::BIGINT AS dropped FROM events")
+def governed_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return cdc.governed_outcome(e.unionByName(e), ["event_id"], "ts", PIPE_RULES)["lineage"]
+
+
 @query("i17_governed_pipeline", "SELECT event_id, CASE WHEN value BETWEEN 0 AND 50 THEN 1.0 ELSE 0.95 END::DOUBLE AS quality, 1.0::DOUBLE AS completeness FROM events")
 def governed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -443,10 +481,14 @@ def verify_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("problem != 'wrong_hash'")
 
 
-@query("p09_merkle_roots")
+@query("p09_merkle_roots", """WITH RECURSIVE l(batch, leaves, hs) AS (
+        SELECT event_type, count(*), list(sha256(event_id || '|' || user_id) ORDER BY event_id) FROM events GROUP BY 1
+        UNION ALL SELECT batch, leaves, list_transform(range((len(hs) + 1) // 2), lambda k: sha256(hs[2 * k + 1] || coalesce(hs[2 * k + 2], hs[2 * k + 1]))) FROM l WHERE len(hs) > 1)
+    SELECT batch, hs[1] AS root, leaves FROM l WHERE len(hs) = 1""")
 def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     _checkpoints(spark)
-    return bitemporal.merkle_roots(table(spark, sf_dir, "events"), "event_type", "event_id", F.sha2(F.col("value").cast("string"), 256))
+    leaf = F.sha2(F.concat_ws("|", "event_id", "user_id"), 256)
+    return bitemporal.merkle_roots(table(spark, sf_dir, "events"), "event_type", "event_id", leaf)
 
 
 @query("p10_entity_state", f"SELECT subject, predicate, object FROM {FACTS} WHERE tx_to IS NULL")

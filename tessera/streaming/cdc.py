@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import golden, rows
+from ..operators import golden, relational, rows
 from ..sources import writers
+from .buckets import BUCKETS, KEEP, BucketedState
 
 OPERATIONS = {"c": "create", "u": "update", "d": "delete", "r": "read"}
 
@@ -41,16 +42,15 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], or
     return rest.select(*fields).unionByName(last.filter("operation != 'delete'").select(*fields))
 
 
-def apply_cdc_stream(changes: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], checkpoint: str):  # noqa: ANN201
-    """Keeps a Parquet table of the latest state: each batch writes a new version folder, and the last one is the state. A
-    batch that runs again after a failure writes the same version from the same predecessor."""
+def apply_cdc_stream(changes: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], checkpoint: str, buckets: int = BUCKETS, keep: int = KEEP):  # noqa: ANN201
+    """Keeps the latest state at ``path`` (:class:`.buckets.BucketedState`): each batch rewrites the buckets of its keys and
+    is a version; the last ``keep`` versions stay. A batch that runs again after a failure gives the same version."""
+    state = None
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.select(*dict.fromkeys([*fields, *keys, *order, "operation"]))
-        empty = batch.filter("false").select(*fields)
-        target = spark.read.schema(empty.schema).parquet(f"{path}/version={epoch - 1}") if epoch else empty
-        apply_changes(target, batch, keys, order, fields).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        nonlocal state
+        state = state or BucketedState(batch.sparkSession, path, keys, fields, buckets, keep)
+        state.apply(batch, order, epoch)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -193,20 +193,38 @@ def idempotent_append(events: DataFrame, key: str, path: str, checkpoint: str):
 
 
 def stream_statistics(query) -> dict:  # noqa: ANN001
-    """Rows, rates and duration of a query's last batch."""
+    """Of a query's last batch: rows, rate, duration; of all of its batches: rows that came later than the watermark
+    (``late``); ``lag_ms``: how far the newest event lies behind the batch's start, where the query has an event time."""
     p = query.lastProgress
-    return {} if p is None else {"rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"], "batch": p["batchId"], "ms": p["durationMs"].get("triggerExecution")}
+    if p is None:
+        return {}
+    late = sum(s.get("numRowsDroppedByWatermark", 0) for r in query.recentProgress for s in r["stateOperators"])
+    newest = next((r["eventTime"]["max"] for r in reversed(query.recentProgress) if "max" in (r["eventTime"] or {})), None)
+    lag = None if newest is None else (pd.Timestamp(p["timestamp"]) - pd.Timestamp(newest)) / pd.Timedelta(milliseconds=1)
+    return {"rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"], "batch": p["batchId"], "ms": p["durationMs"].get("triggerExecution"), "late": late, "lag_ms": lag}
 
 
 def governed_pipeline(df: DataFrame, keys: Sequence[str], time: str, ttl: str, rules: Sequence[Mapping]) -> DataFrame:
-    """Standardise, drop repeats, score quality and completeness: the whole dataflow, batch or stream."""
+    """Standardise, drop repeats, score quality and completeness: the whole dataflow, batch or stream. A batch keeps of a key
+    the first row by time, and of equal times by its other columns."""
     from ..operators import quality
 
     clean = rows.standardize(df)
-    once = ttl_dedup(clean, keys, time, ttl) if df.isStreaming else clean.dropDuplicates(list(keys))
+    once = ttl_dedup(clean, keys, time, ttl) if df.isStreaming else relational.dedup(clean, keys, [time, *[c for c in df.columns if c != time and c not in keys]], keep="first")
     marked = quality.with_violations(once, rules)
     return marked.withColumns({"quality": quality.quality_score(F.col("_violations")), "completeness": quality.completeness_ratio(df, df.columns)})
 
 
+def governed_outcome(df: DataFrame, keys: Sequence[str], time: str, rules: Sequence[Mapping], job: str = "governed") -> dict[str, DataFrame]:
+    """:func:`governed_pipeline` of a table with its last two steps: ``rows``; ``profile`` of the rows that are left, a row a
+    column; ``lineage``: for each key the rows that came and the rows that were dropped for it (key, job, read, dropped)."""
+    from ..operators import profile
+
+    left = governed_pipeline(df, keys, time, "0 seconds", rules)
+    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).alias("key")
+    lineage = rows.standardize(df).groupBy(key).agg(F.count(F.lit(1)).alias("read")).select("key", F.lit(job).alias("job"), "read", (F.col("read") - 1).alias("dropped"))
+    return {"rows": left, "profile": profile.profile(left, df.columns), "lineage": lineage}
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

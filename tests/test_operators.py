@@ -11,6 +11,7 @@ from tessera.functions import models
 from tessera.operators import bitemporal, golden, lineage, match, privacy, profile, quality, reconcile, relational, rows, vectors
 from tessera.sources import readers, writers
 from tessera.streaming import cdc
+from tessera.streaming.buckets import BucketedState
 
 
 def one(spark, template):
@@ -401,8 +402,7 @@ def test_stream_cdc_restart(spark, tmp_path):
         changes = cdc.parse_cdc(readers.read_cdc_files(spark, str(tmp_path / "in")), "id bigint, v string")
         q = cdc.apply_cdc_stream(changes, str(tmp_path / "state"), ["id"], ["ts_ms"], ["id", "v"], str(tmp_path / "check")).trigger(availableNow=True).start()
         q.awaitTermination(120)
-        last = max((tmp_path / "state").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-        return sorted((r.id, r.v) for r in spark.read.parquet(str(last)).collect())
+        return sorted((r.id, r.v) for r in BucketedState(spark, str(tmp_path / "state"), ["id"], ["id", "v"]).frame().collect())
 
     put("a.json", [{"op": "c", "before": None, "after": {"id": 1, "v": "x"}, "ts_ms": 1}, {"op": "c", "before": None, "after": {"id": 2, "v": "y"}, "ts_ms": 1}])
     assert step() == [(1, "x"), (2, "y")]
