@@ -16,17 +16,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, held_out, sampled, table
+from .common import give_back, held_out, table
 
-#: A word is up to WIDTH letters; longer runs of letters are several words.
+#: A word is up to WIDTH letters; longer runs of letters are several words. Word characters that are no letters: numbers that
+#: aren't decimal digits, such as fractions and Roman numerals.
 WIDTH = 24
-WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
-BUCKETS = 1 << 17
-#: At most about this many labelled documents of each language and in all are learned from, of each a run of at most so
-#: many characters, and a word must occur this often in them to enter the lexicon.
-DOCS_PER_LANG, DOCS, CHARS, LEXICON_COUNT = 400, 20_000, 20_000, 4
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]{{1,{WIDTH}}}")
+#: Feature numbers; with many languages fewer, so that the weights stay below CELLS.
+BUCKETS, CELLS = 1 << 17, 1 << 26
+#: At most about this many labelled documents of each language and in all are learned from, of each at most so many
+#: passages of so many words, drawn evenly over the whole text; a word must occur this often in them to enter the lexicon.
+DOCS_PER_LANG, DOCS, PASSAGES, PASSAGE, LEXICON_COUNT = 400, 20_000, 32, 96, 4
 SEED, STEPS, RATE, SEQUENCES, LENGTH = 11, 240, 0.25, 32, 128
 BLOCK = 32
+#: Labels from which texts go a word at a time.
+MANY = 48
 UNDETERMINED = "und"
 #: Words whose scores a worker remembers.
 CACHE = 200_000
@@ -37,13 +42,14 @@ SLICE = 500_000
 @dataclass
 class Crf:
     labels: list[str]
-    weights: np.ndarray  # (BUCKETS + 1 + len(lexicon), labels); row 0 stays 0
+    weights: np.ndarray  # (buckets + 1 + len(lexicon), labels); row 0 stays 0
     trans: np.ndarray  # log potentials, from x to
     start: np.ndarray
     lexicon: dict[str, int] = field(default_factory=dict)
+    buckets: int = BUCKETS
 
 
-def features(words: list[str], lexicon: dict[str, int], width: int = WIDTH) -> np.ndarray:
+def features(words: list[str], lexicon: dict[str, int], width: int = WIDTH, buckets: int = BUCKETS) -> np.ndarray:
     """Feature numbers, a row a word; 0 stands for no feature."""
     n = len(words)
     code = np.zeros((n, width + 2), np.uint64)
@@ -59,7 +65,7 @@ def features(words: list[str], lexicon: dict[str, int], width: int = WIDTH) -> n
         for p in parts:
             h = (h ^ p) * mix
             h ^= h >> np.uint64(29)
-        cols.append(np.where(holds, (h % np.uint64(BUCKETS - 1)).astype(np.int32) + 1, 0))
+        cols.append(np.where(holds, (h % np.uint64(buckets - 1)).astype(np.int32) + 1, 0))
 
     for k in (2, 3):
         for i in range(width + 3 - k):
@@ -68,7 +74,7 @@ def features(words: list[str], lexicon: dict[str, int], width: int = WIDTH) -> n
     for k in (1, 2, 3):
         put(10 + k, [code[:, 1 + j] for j in range(k)], size >= k)
         put(20 + k, [code[rows, np.maximum(size - k + 1 + j, 0)] for j in range(k)], size >= k)
-    cols.append(np.fromiter((lexicon.get(w, -BUCKETS) for w in words), np.int32, n) + BUCKETS)
+    cols.append(np.fromiter((lexicon.get(w, -buckets) for w in words), np.int32, n) + buckets)
     return np.stack(cols, axis=1) if n else np.zeros((0, len(cols)), np.int32)
 
 
@@ -79,7 +85,7 @@ def emissions(model: Crf, words: list[str]) -> np.ndarray:
     for low, high in ((0, 6), (6, 12), (12, WIDTH)):
         for at in np.array_split(np.flatnonzero((size > low) & (size <= high)), max(1, len(words) // 20_000)):
             if len(at):
-                out[at] = model.weights[features([words[i] for i in at], model.lexicon, high)].sum(axis=1)
+                out[at] = model.weights[features([words[i] for i in at], model.lexicon, high, model.buckets)].sum(axis=1)
     return out
 
 
@@ -87,8 +93,10 @@ def posteriors(score: np.ndarray, offsets: np.ndarray, trans: np.ndarray, start:
     """Label probabilities of each word by forward-backward over many texts at once. ``offsets`` bounds the texts.
 
     Texts are cut into blocks; a block's effect is a matrix product, so that blocks of all texts advance together and a
-    text of any length is exact."""
+    text of any length is exact. With many labels, whose matrices are large, each text goes a word at a time."""
     k, count = score.shape[1], np.diff(offsets)
+    if k > MANY:
+        return _by_word(score, offsets, trans, start)
     p = np.exp(score - score.max(axis=1, keepdims=True))
     a, s = np.exp(trans - trans.max()), np.exp(start - start.max())
     blocks = -(-count // BLOCK)
@@ -149,6 +157,24 @@ def posteriors(score: np.ndarray, offsets: np.ndarray, trans: np.ndarray, start:
     return got / got.sum(axis=1, keepdims=True)
 
 
+def _by_word(score: np.ndarray, offsets: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """:func:`posteriors`, one word after the other."""
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    a, s = np.exp(trans - trans.max()), np.exp(start - start.max())
+    out = np.empty_like(p)
+    for low, high in zip(offsets[:-1], offsets[1:]):
+        for t in range(low, high):
+            out[t] = (s if t == low else out[t - 1] @ a) * p[t]
+            out[t] /= out[t].sum()
+        back = np.ones(p.shape[1])
+        for t in range(high - 1, low - 1, -1):
+            out[t] *= back
+            out[t] /= out[t].sum()
+            back = a @ (p[t] * back)
+            back /= back.max()
+    return out
+
+
 def _gradient(p: np.ndarray, gold: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the log likelihood of label sequences, (sequences, length); p: scores."""
     n, length, k = p.shape
@@ -168,8 +194,8 @@ def _gradient(p: np.ndarray, gold: np.ndarray, trans: np.ndarray, start: np.ndar
         gamma[:, t] /= gamma[:, t].sum(axis=1, keepdims=True)
         ahead = e[:, t] * back
         if t:
-            joint = fore[:, t - 1, :, None] * a * ahead[:, None, :]
-            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            whole = ((fore[:, t - 1] @ a) * ahead).sum(axis=1, keepdims=True)
+            pairs += a * ((fore[:, t - 1] / whole).T @ ahead)
             back = (ahead @ a.T) / scale[:, t]
     one = np.eye(k)[gold]
     return one - gamma, np.einsum("ntk,ntl->kl", one[:, :-1], one[:, 1:]) - pairs, (one[:, 0] - gamma[:, 0]).sum(axis=0)
@@ -188,10 +214,13 @@ def fit(texts: list[str], langs: list[str], seed: int = SEED) -> Crf | None:
     lexicon = {w: i + 1 for i, w in enumerate(sorted(w for w, c in counts.items() if c >= LEXICON_COUNT))}
     number = {w: i for i, w in enumerate(counts)}
     k = len(labels)
-    model = Crf(labels, np.zeros((BUCKETS + 1 + len(lexicon), k)), np.zeros((k, k)), np.zeros(k), lexicon)
+    buckets = BUCKETS
+    while buckets * k > CELLS and buckets > 1 << 12:
+        buckets //= 2
+    model = Crf(labels, np.zeros((buckets + 1 + len(lexicon), k)), np.zeros((k, k)), np.zeros(k), lexicon, buckets)
     if k == 1:
         return model
-    feats = features(list(number), lexicon)
+    feats = features(list(number), lexicon, buckets=buckets)
     pieces: list[list[tuple[np.ndarray, int]]] = [[] for _ in labels]
     for words, lang in docs:
         ids, at, y = np.array([number[w] for w in words]), 0, labels.index(lang)
@@ -262,27 +291,59 @@ class Labeller:
         return [self.model.labels[b] if t > 0 else UNDETERMINED for b, t in zip(best, total)], np.minimum(score, 1.0)
 
 
-def slices(texts: pd.Series) -> Iterator[list[str]]:
-    """Runs of texts of about SLICE characters; null becomes empty."""
+def slices(texts: pd.Series, size: int = SLICE) -> Iterator[list[str]]:
+    """Runs of texts of about ``size`` characters; null becomes empty."""
     some, n = [], 0
     for t in texts:
         some.append(t if isinstance(t, str) else "")
         n += len(some[-1])
-        if n >= SLICE:
+        if n >= size:
             yield some
             some, n = [], 0
     if some:
         yield some
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS_PER_LANG) -> Crf | None:
-    """A model from a bounded sample of the rows that are not held out: DOCS documents, CHARS characters of each from a place
-    drawn by id. Every language is represented as long as there are no more than DOCS."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = docs.agg(F.approx_count_distinct(lang_col)).first()[0]
-    chosen = sampled(known, "lang", max(1, min(per_lang, DOCS // max(1, langs))), F.col("id"), SEED)
-    start = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.greatest(F.length("text") - CHARS, F.lit(0)) + 1).cast("int") + 1
-    rows = chosen.select("id", F.substring("text", start, F.lit(CHARS)).alias("text"), "lang").collect()
+def passages(text: str) -> str:
+    """The text's words, lower-cased; of more than PASSAGES * PASSAGE words as many passages from all over the text."""
+    words = WORD.findall(text.lower())
+    if len(words) > PASSAGES * PASSAGE:
+        step = (len(words) - PASSAGE) / (PASSAGES - 1)
+        words = [w for i in range(PASSAGES) for w in words[int(i * step) : int(i * step) + PASSAGE]]
+    return " ".join(words)
+
+
+def sampled(df: DataFrame, by: str, key: str, per_value: int, most: int, seed: int) -> DataFrame:
+    """(key, by) of about ``per_value`` rows of each value of ``by``, one at least, chosen by a seeded hash of ``key``; with
+    over ``most`` values, of some ``most`` of them, by hash, too. Nulls take no part.
+
+    The values' rates are a table that the slim rows are joined with, so there may be any number of values, and one of them
+    may hold most rows; nothing is collected."""
+    million = 1_000_000
+    slim = df.select(key, by).filter(F.col(key).isNotNull() & F.col(by).isNotNull())
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(million))
+    values = slim.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(draw.alias("d"), F.col(key).alias("k"))).alias("_first"))
+    many = values.count()
+    if many > most:
+        values = values.filter(F.pmod(F.xxhash64(F.lit(seed), by), F.lit(million)) < million * most // many)
+    rates = values.select(F.col(by).alias("_by"), (F.lit(million) * F.least(F.lit(1.0), F.lit(per_value) / F.col("_n"))).cast("bigint").alias("_rate"), F.col("_first.k").alias("_least"))
+    chosen = slim.join(rates, F.col(by) == F.col("_by")).filter((draw < F.col("_rate")) | (F.col(key) == F.col("_least")))
+    return chosen.select(key, by).distinct()
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = DOCS_PER_LANG, most: int = DOCS) -> Crf | None:
+    """A model from a bounded sample of the rows that are not held out: some ``most`` documents, PASSAGES passages of each.
+    Every language is represented as long as there are no more than ``most``; of more languages as many are, by hash."""
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    langs = known.agg(F.approx_count_distinct("lang")).first()[0]
+    chosen = sampled(known, "lang", "id", max(1, min(per_lang, most // max(1, langs))), most, SEED)
+
+    @F.pandas_udf("string")
+    def drawn(texts: pd.Series) -> pd.Series:
+        return texts.map(passages)
+
+    picked = known.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # some ``most`` rows
+    rows = picked.select("id", drawn("text").alias("text"), "lang").collect()
     rows.sort(key=lambda r: (r.lang, str(r.id), r.text))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
@@ -297,11 +358,13 @@ def identify(docs: DataFrame, model: Crf | None, text_col: str = "text") -> Data
         return base.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    at_once = SLICE // max(1, len(model.labels) // MANY)
+
     @F.pandas_udf("lang string, score double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker = Labeller(shared.value)
         for batch in batches:
-            parts = [worker.documents([WORD.findall(t.lower()) for t in some]) for some in slices(batch)]
+            parts = [worker.documents([WORD.findall(t.lower()) for t in some]) for some in slices(batch, at_once)]
             yield pd.DataFrame({"lang": [x for names, _ in parts for x in names], "score": np.concatenate([s for _, s in parts] or [np.zeros(0)])})
         del worker
         give_back()

@@ -147,9 +147,9 @@ def _candidates(text: Column, known: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, base (array of start, kind, end, value), added (the same, found by the
-    bootstrap: its seeds beyond the base kinds, and what it discovers). Starts and ends count code points, ends are
-    exclusive; kind is a place in ALL_KINDS.
+    """One row per row of ``docs``: ``id_col``, base (array of start, kind, end, value), seeded (the same, the seeds beyond the
+    base kinds, which fixed patterns find) and added (what the bootstrap discovers). Starts and ends count code points, ends
+    are exclusive; kind is a place in ALL_KINDS.
 
     A pattern is trusted for a kind if at least ``min_seeds`` different known values of that kind stand in it and they
     are, weighted by confidence, ``min_score`` of all values there; a value is added if the patterns around it give it
@@ -187,16 +187,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     more = one.filter("kind IS NULL").drop("kind").join(added.select("value", "kind"), "value")
     more = more.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("added"))
     out = seen.select("row", "id", "base", "keys").join(more, "row", "left")
-    return out.select(F.col("id").alias(id_col), "base", F.when(F.col("added").isNull(), F.col("keys")).otherwise(F.array_sort(F.concat("keys", "added"))).alias("added"))
+    nothing = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
+    return out.select(F.col("id").alias(id_col), "base", F.col("keys").alias("seeded"), F.coalesce("added", nothing).alias("added"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`find_pii` of ``documents``: doc_id, the contract's counts, digest and span string, and n_added and n_spans, the
-    numbers of spans that the bootstrap added and of all. Null texts count as empty; rows that repeat have a row each."""
+    """:func:`find_pii` of ``documents``: doc_id, the contract's counts, digest and span string, and n_seeded, n_added and
+    n_spans, the numbers of seeds beyond the base kinds, of spans that the bootstrap discovered, and of all. Null texts count as empty; rows that repeat have a row each."""
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == k), False)).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    every = F.array_sort(F.concat("base", "added"))
-    return found.select("doc_id", *counts, F.sha2(span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_string(every).alias("spans"), F.size("added").cast("bigint").alias("n_added"), F.size(every).cast("bigint").alias("n_spans"))
+    every = F.array_sort(F.concat("base", "seeded", "added"))
+    return found.select("doc_id", *counts, F.sha2(span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_string(every).alias("spans"), F.size("seeded").cast("bigint").alias("n_seeded"), F.size("added").cast("bigint").alias("n_added"), F.size(every).cast("bigint").alias("n_spans"))
 
 
 ORACLE_SQL = None

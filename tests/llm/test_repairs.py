@@ -11,7 +11,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from tessera.llm import conversations, registry, secrets, spelling
+from tessera.llm import conversations, language_id, registry, secrets, spelling
 
 
 def text_secrets(text):
@@ -222,3 +222,44 @@ def test_spelling_chains(spark, monkeypatch, block):
     assert got == brute_variants(rows) and len({r[2] for r in got}) > 5
     assert spelling.group_variants(df.limit(0)).count() == 0
     assert spelling.group_variants(df.filter("text IS NULL")).select(F.count("word")).first()[0] == 0
+
+
+def test_letters_only():
+    """Number characters are no letters, marks aside: Unicode categories No and Nl."""
+    assert language_id.WORD.findall("½ Ⅷ ² 〇 ①x ab3cd_éß 日本") == ["x", "ab", "cd", "éß", "日本"]
+    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+    assert all(c.isalpha() for c in "".join(language_id.WORD.findall(every))) and len("".join(language_id.WORD.findall(every))) == sum(map(str.isalpha, every))
+
+
+def test_numbers_are_undetermined(spark):
+    model = language_id.learn(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    df = spark.createDataFrame([("½",), ("Ⅷ ²",), ("1 2",)], "text string")
+    assert {(r.lang_pred, r.score) for r in language_id.identify(df, model).collect()} == {("und", 0.0)}
+
+
+def test_many_languages(spark, monkeypatch):
+    """1,500 languages, one of which holds most rows, are sampled without a plan that grows with them; each is represented."""
+    monkeypatch.setattr(language_id, "STEPS", 3)
+    df = spark.range(6000).selectExpr("id AS doc_id", "concat('w', id % 1500, ' x') AS text", "if(id < 3000, 'hot', concat('l', id % 1500)) AS lang")
+    chosen = language_id.sampled(df, "lang", "doc_id", 1, 20_000, 3)
+    assert chosen.select("lang").distinct().count() == 1501 and chosen.count() < 4000
+    assert 100 < language_id.sampled(df, "lang", "doc_id", 1, 200, 3).select("lang").distinct().count() < 300
+    model = language_id.learn(df.filter("doc_id % 1500 < 900"), per_lang=4)
+    assert len(model.labels) > 800 and model.buckets < language_id.BUCKETS
+    got = language_id.identify(df.limit(20), model).collect()
+    assert all(r.lang_pred in model.labels and 0 <= r.score <= 1 for r in got)
+
+
+def test_many_labels_agree():
+    """Forward-backward a word at a time gives what blocks give."""
+    rng = np.random.default_rng(4)
+    score, trans, start = rng.normal(size=(230, 5)), rng.normal(size=(5, 5)), rng.normal(size=5)
+    offsets = np.array([0, 0, 1, 100, 100, 230])
+    assert np.allclose(language_id._by_word(score, offsets, trans, start), language_id.posteriors(score, offsets, trans, start))
+
+
+def test_passages_cover_the_text():
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(20_000)]
+    got = language_id.passages(" ".join(words)).split()
+    assert len(got) == language_id.PASSAGES * language_id.PASSAGE and got[0] == words[0] and got[-1] == words[-1]
+    assert language_id.passages("One two, 3 three") == "one two three"
