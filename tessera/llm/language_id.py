@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import give_back, held_out, table
 
-#: A word is up to WIDTH letters; longer runs of letters are several words. Word characters that are no letters: numbers that
-#: aren't decimal digits, such as fractions and Roman numerals.
+#: A word is up to WIDTH letters; longer runs of letters are several words.
 WIDTH = 24
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]{{1,{WIDTH}}}")
+WORD = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
+#: Word characters that are no letters: numbers that aren't decimal digits, such as fractions and Roman numerals.
+NUMBERS = {i: " " for i in range(0x110000) if chr(i).isalnum() and not chr(i).isalpha() and not chr(i).isdecimal()}
 #: Feature numbers; with many languages fewer, so that the weights stay below CELLS.
 BUCKETS, CELLS = 1 << 17, 1 << 26
 #: At most about this many labelled documents of each language and in all are learned from, of each at most so many
@@ -39,6 +39,11 @@ CACHE = 200_000
 SLICE = 500_000
 
 
+def words_of(text: str) -> list[str]:
+    words = WORD.findall(text)
+    return words if not words or "".join(words).isalpha() else WORD.findall(text.translate(NUMBERS))
+
+
 @dataclass
 class Crf:
     labels: list[str]
@@ -205,7 +210,7 @@ def fit(texts: list[str], langs: list[str], seed: int = SEED) -> Crf | None:
     """Learns from labelled texts. Half of the training sequences are pieces of texts of several languages put
     together, so that the transitions learn both to stay and to switch. None if there is nothing to learn from."""
     rng = np.random.default_rng(seed)
-    docs = [(WORD.findall(t.lower()), lang) for t, lang in zip(texts, langs)]
+    docs = [(words_of(t.lower()), lang) for t, lang in zip(texts, langs)]
     docs = [(w, lang) for w, lang in docs if w]
     labels = sorted({lang for _, lang in docs})
     if not labels:
@@ -306,7 +311,7 @@ def slices(texts: pd.Series, size: int = SLICE) -> Iterator[list[str]]:
 
 def passages(text: str) -> str:
     """The text's words, lower-cased; of more than PASSAGES * PASSAGE words as many passages from all over the text."""
-    words = WORD.findall(text.lower())
+    words = words_of(text.lower())
     if len(words) > PASSAGES * PASSAGE:
         step = (len(words) - PASSAGE) / (PASSAGES - 1)
         words = [w for i in range(PASSAGES) for w in words[int(i * step) : int(i * step) + PASSAGE]]
@@ -317,8 +322,8 @@ def sampled(df: DataFrame, by: str, key: str, per_value: int, most: int, seed: i
     """(key, by) of about ``per_value`` rows of each value of ``by``, one at least, chosen by a seeded hash of ``key``; with
     over ``most`` values, of some ``most`` of them, by hash, too. Nulls take no part.
 
-    The values' rates are a table that the slim rows are joined with, so there may be any number of values, and one of them
-    may hold most rows; nothing is collected."""
+    The values' rates are a table of some ``most`` rows that is broadcast, so there may be any number of values, and one of
+    them may hold most rows; nothing is collected."""
     million = 1_000_000
     slim = df.select(key, by).filter(F.col(key).isNotNull() & F.col(by).isNotNull())
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(million))
@@ -327,7 +332,7 @@ def sampled(df: DataFrame, by: str, key: str, per_value: int, most: int, seed: i
     if many > most:
         values = values.filter(F.pmod(F.xxhash64(F.lit(seed), by), F.lit(million)) < million * most // many)
     rates = values.select(F.col(by).alias("_by"), (F.lit(million) * F.least(F.lit(1.0), F.lit(per_value) / F.col("_n"))).cast("bigint").alias("_rate"), F.col("_first.k").alias("_least"))
-    chosen = slim.join(rates, F.col(by) == F.col("_by")).filter((draw < F.col("_rate")) | (F.col(key) == F.col("_least")))
+    chosen = slim.join(F.broadcast(rates), F.col(by) == F.col("_by")).filter((draw < F.col("_rate")) | (F.col(key) == F.col("_least")))
     return chosen.select(key, by).distinct()
 
 
@@ -364,7 +369,7 @@ def identify(docs: DataFrame, model: Crf | None, text_col: str = "text") -> Data
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker = Labeller(shared.value)
         for batch in batches:
-            parts = [worker.documents([WORD.findall(t.lower()) for t in some]) for some in slices(batch, at_once)]
+            parts = [worker.documents([words_of(t.lower()) for t in some]) for some in slices(batch, at_once)]
             yield pd.DataFrame({"lang": [x for names, _ in parts for x in names], "score": np.concatenate([s for _, s in parts] or [np.zeros(0)])})
         del worker
         give_back()
@@ -384,7 +389,7 @@ def label_words(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFram
         for batch in batches:
             out = []
             for some in slices(batch):
-                found = [[(m.start(), m.end(), m[0].lower()[:WIDTH] or m[0]) for m in WORD.finditer(t)] for t in some]
+                found = [[(m.start(), m.end(), m[0].lower()[:WIDTH] or m[0]) for m in WORD.finditer(t if t.isascii() else t.translate(NUMBERS))] for t in some]
                 p, offsets = worker.probabilities([[w for _, _, w in f] for f in found])
                 best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
                 for f, a, b in zip(found, offsets[:-1], offsets[1:]):

@@ -226,9 +226,9 @@ def test_spelling_chains(spark, monkeypatch, block):
 
 def test_letters_only():
     """Number characters are no letters, marks aside: Unicode categories No and Nl."""
-    assert language_id.WORD.findall("½ Ⅷ ² 〇 ①x ab3cd_éß 日本") == ["x", "ab", "cd", "éß", "日本"]
+    assert language_id.words_of("½ Ⅷ ² 〇 ①x ab3cd_éß 日本") == ["x", "ab", "cd", "éß", "日本"]
     every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
-    assert all(c.isalpha() for c in "".join(language_id.WORD.findall(every))) and len("".join(language_id.WORD.findall(every))) == sum(map(str.isalpha, every))
+    assert all(c.isalpha() for c in "".join(language_id.words_of(every))) and len("".join(language_id.words_of(every))) == sum(map(str.isalpha, every))
 
 
 def test_numbers_are_undetermined(spark):
