@@ -153,20 +153,95 @@ def _without_ends(edges: DataFrame) -> DataFrame:
     return e
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(node, length) of nodes that reach themselves, by the shortest way, however long. Walks start only from what is left
-    when all that leads nowhere is gone."""
-    e = _without_ends(edges)
-    walks, out, n = e.select(F.col("src").alias("node"), F.col("dst").alias("at")), None, 0
-    seen = walks
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of nodes in a cycle of different nodes, by colouring: each node takes the largest name that reaches
+    it; what a colour's own node is reached from within the colour is a component. Then these go, and what is left is coloured
+    anew."""
+    e, out = _without_ends(edges.filter("src != dst")), None
+    while e.take(1):
+        colour = e.select(F.col("src").alias("node")).distinct().withColumn("c", F.col("node")).checkpoint()
+        while True:
+            sent = e.join(colour, e["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("m"))
+            grown = colour.join(sent, "node").select("node", F.greatest("c", "m").alias("c"), (F.col("m") > F.col("c")).alias("up")).checkpoint()
+            colour = grown.select("node", "c")
+            if not grown.filter("up").take(1):
+                break
+        of = lambda x: colour.select(F.col("node").alias(x), F.col("c").alias(f"c_{x}"))
+        inside = e.join(of("src"), "src").join(of("dst"), "dst").filter("c_src = c_dst").select("src", "dst").checkpoint()
+        frontier = colour.filter("node = c")
+        found = frontier
+        while True:
+            frontier = frontier.join(inside, frontier["node"] == inside["dst"]).select(F.col("src").alias("node"), "c").distinct().join(found, ["node", "c"], "left_anti").checkpoint()
+            if not frontier.take(1):
+                break
+            found = found.unionByName(frontier).checkpoint()
+        out = found if out is None else out.unionByName(found)
+        e = _without_ends(e.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    empty = e.select(F.col("src").alias("node"), F.col("src").alias("component")).filter("false")
+    if out is None:
+        return empty
+    whole = out.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c")  # a node between two components is one of its own
+    return out.join(whole, "c").select("node", F.col("c").alias("component"))
+
+
+def _contracted(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of trimmed edges without loops: rings (node, length) of nodes of one edge in and out; chains (node, chain) of such
+    nodes between others; and the edges (u, v, w, chain) that are left, a chain as one of its length. Each round doubles how
+    far a node of a chain sees, so there are as many as the logarithm of the longest."""
+    one = lambda c: e.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    inner = one("src").join(one("dst"), "node").filter("n_src = 1 AND n_dst = 1").select("node")
+    inner = inner.checkpoint()
+    names = inner.withColumn("inside", F.lit(True))
+    p = e.join(inner, e["src"] == inner["node"]).select("node", F.col("dst").alias("to"), F.lit(1).cast("bigint").alias("len"), F.col("src").alias("end"), F.col("src").alias("least"))
+    p = p.join(names.withColumnRenamed("node", "to"), "to", "left").select("node", "to", "len", "end", "least", F.coalesce("inside", F.lit(False)).alias("on")).checkpoint()
+    before = -1
     while True:
-        n += 1
-        back = walks.filter("node = at").select("node", F.lit(n).alias("length"))
-        out = back if out is None else out.unionByName(back)
-        walks = walks.join(e, walks["at"] == e["src"]).select("node", F.col("dst").alias("at")).distinct().join(seen, ["node", "at"], "left_anti").checkpoint()
-        if not walks.take(1):
+        active = p.filter("on").count()
+        if not active:
+            break
+        far = p.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("len").alias("len2"), F.col("end").alias("end2"), F.col("least").alias("least2"), F.col("on").alias("on2"))
+        q = p.join(far, "to", "left").withColumn("go", F.col("on"))
+        pick = lambda a, b: F.when(F.col("go"), b).otherwise(F.col(a)).alias(a)
+        q = q.select("node", pick("to", F.col("to2")), pick("len", F.col("len") + F.col("len2")), pick("end", F.col("end2")), pick("least", F.least("least", "least2")), pick("on", F.col("on2")), (F.col("go") & (F.col("least2") < F.col("least"))).alias("less")).checkpoint()
+        changed, p = bool(q.filter("less").take(1)), q.drop("less")
+        if not changed and active == before:  # the same least name all round: these are rings
             break
-        seen = seen.unionByName(walks)
+        before = active
+    ring = p.filter("on").select("node", "least")
+    rings = ring.join(ring.groupBy("least").agg(F.count(F.lit(1)).alias("length")), "least").select("node", "length")
+    chains = p.filter("NOT on").select("node", F.col("end").alias("chain"), "to", "len").checkpoint()
+    first = chains.groupBy("chain").agg(F.max("len").alias("len"), F.max_by("node", "len").alias("dst"), F.first("to").alias("v"))
+    long = first.join(e, "dst").select(F.col("src").alias("u"), "v", (F.col("len") + 1).alias("w"), "chain")
+    short = e.join(inner, e["src"] == inner["node"], "left_anti").join(inner, e["dst"] == inner["node"], "left_anti").select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).cast("bigint").alias("w"), F.lit(None).cast(chains.schema["chain"].dataType).alias("chain"))
+    return rings, chains.select("node", "chain"), short.unionByName(long).checkpoint()
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, length) of nodes that reach themselves, by the shortest way, however long.
+
+    What leads nowhere goes; chains and rings of nodes with one edge in and out are contracted; ways are sought between the
+    branching nodes of each strong component only. A ring of any size costs a few rounds and a row a node; a component costs
+    at most the square of its branching nodes."""
+    trimmed = _without_ends(edges)
+    loops = trimmed.filter("src = dst").select(F.col("src").alias("node"), F.lit(1).cast("bigint").alias("length"))
+    rings, chains, left = _contracted(_without_ends(trimmed.filter("src != dst")))
+    out = loops.unionByName(rings)
+    if left.take(1):
+        of = strong_components(left.select(F.col("u").alias("src"), F.col("v").alias("dst"))).checkpoint()
+        c = lambda x: of.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        inside = left.join(c("u"), "u", "left").join(c("v"), "v", "left").filter("u = v OR c_u = c_v").select("u", "v", "w", "chain").checkpoint()
+        steps = inside.filter("u != v").groupBy("u", "v").agg(F.min("w").alias("w")).checkpoint()
+        best = steps.select(F.col("u").alias("start"), F.col("v").alias("at"), F.col("w").alias("d"))
+        frontier = best
+        while True:
+            walked = frontier.join(steps, frontier["at"] == steps["u"]).select("start", F.col("v").alias("at"), (F.col("d") + F.col("w")).alias("d2")).filter("start != at").groupBy("start", "at").agg(F.min("d2").alias("d2"))
+            frontier = walked.join(best, ["start", "at"], "left").filter("d IS NULL OR d2 < d").select("start", "at", F.col("d2").alias("d")).checkpoint()
+            if not frontier.take(1):
+                break
+            best = best.unionByName(frontier).groupBy("start", "at").agg(F.min("d").alias("d")).checkpoint()
+        back = best.select(F.col("start").alias("v"), F.col("at").alias("u"), "d")
+        round_ = inside.join(back, ["u", "v"], "left").filter("u = v OR d IS NOT NULL").select("u", "chain", (F.col("w") + F.when(F.col("u") == F.col("v"), 0).otherwise(F.col("d"))).alias("length"))
+        out = out.unionByName(round_.select(F.col("u").alias("node"), "length")).unionByName(chains.join(round_, "chain").select("node", "length"))
     return out.groupBy("node").agg(F.min("length").alias("length"))
 
 

@@ -32,8 +32,11 @@ IN_TEXT = {
 }
 PII = ("ssn", "credit_card", "email", "phone", "ip")
 PII_SHARE = 0.7
-# Words in a column's name, and the kind they stand for.
-NAMES = {"email": "email|e_mail|mail", "ssn": "ssn|social_security", "phone": "phone|mobile|tel", "credit_card": "card|cc_num", "ip": "ip_addr|ip$", "postal_code": "zip|postal", "url": "url|link|website", "uuid": "uuid|guid", "name": "name$|first_name|last_name", "date": "date|_at$|time"}
+#: Words in a column's name and the kind they stand for, the first that fits: this library's own choice.
+NAMES = {"email": "email|e_mail|mail", "ssn": "ssn|social_security", "phone": "phone|mobile|tel", "credit_card": "card|cc_num", "ip": "ip_addr|ip$", "postal_code": "zip|postal", "url": "url|link|website", "uuid": "uuid|guid", "name": "name$|first_name|last_name", "date": "date|_at$|time",
+    "customer_id": "cust(omer)?_?(id|key|no)$", "order_number": "order_?(id|key|no|number)$", "invoice_number": "invoice", "iban": "iban", "account": "account|acct", "passport": "passport", "birth": "birth|dob",
+    "gender": "gender|sex$", "age": "^age$|_age$", "address": "address|street", "city": "city|town", "state": "^state$|province", "country": "country|nation", "latitude": "^lat$|latitude", "longitude": "^(lon|lng)$|longitude",
+    "currency": "currency", "amount": "amount|price|cost|total", "quantity": "quantity|qty", "percentage": "percent|_pct$|ratio", "company": "company|employer", "job": "job|occupation", "language": "^lang$|language", "status": "status", "description": "description|comment"}
 RANKS = {"ssn": 4, "credit_card": 4, "email": 3, "phone": 3, "ip": 2}
 CLASSES = {4: "highly_restricted", 3: "restricted", 2: "confidential", 1: "internal", 0: "public"}
 

@@ -1,9 +1,13 @@
-"""Similarity join and deduplication of vectors by cosine, exact, without comparing all with all.
+"""Similarity join and deduplication of vectors by cosine, exact.
 
 A few vectors are pivots, and each vector's home is its nearest one. On the unit sphere two vectors of cosine ``least`` are
 at most ``reach`` apart, so by the triangle inequality the partners of a vector are among those whose distance to the
 vector's home pivot is at most twice that more than to their own. Such guests visit a home; homes and guests meet in blocks
-of bounded size, where only counts and a spanning forest of the links come out, not the pairs."""
+of bounded size, where only counts and a spanning forest of the links come out, not the pairs. Vectors without clusters would
+visit most homes: then there is one home, and each pair of blocks meets once.
+
+In a block, vectors are turned to the principal axes of a sample. The product of two vectors is at most that of their first
+components and the product of the lengths of the rest: only pairs that this limit lets through are compared in full."""
 
 from __future__ import annotations
 
@@ -19,6 +23,10 @@ from .shared import checkpoint_folder
 
 #: Pivots, and the vectors of a block.
 PIVOTS, BLOCK, ROWS_AT_ONCE = 64, 4096, 256
+#: Vectors that the axes and the length of the prefix are learned from; results don't depend on them.
+SAMPLE = 1024
+#: Homes are used if they save this share of the comparisons; a block's rows are compared by one product if more than DENSE pass.
+WORTH, DENSE = 0.5, 0.2
 
 
 def usable(vector: Column) -> Column:
@@ -51,65 +59,128 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return kept
 
 
-def _meet(least: float):  # noqa: ANN202
+def _limits(x: np.ndarray, y: np.ndarray, prefix: int) -> np.ndarray:
+    """What the products of all rows of x and y are at most, from their first ``prefix`` components."""
+    rest = lambda v: np.sqrt((v[:, prefix:] ** 2).sum(axis=1))
+    return x[:, :prefix] @ y[:, :prefix].T + rest(x)[:, None] * rest(y)[None, :]
+
+
+def _axes(sample: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """Principal axes of the sample, and the prefix that makes comparisons cheapest there."""
+    d = sample.shape[1]
+    axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
+    turned = sample @ axes
+    half = max(1, len(turned) // 2)
+    cost = {r: r + d * float((_limits(turned[:half], turned[half:], r) >= least).mean() if len(turned) > 1 else 0.0) for r in sorted({max(1, d * k // 16) for k in range(1, 17)})}
+    return axes, min(cost, key=cost.get)
+
+
+def _meet(least: float, axes: np.ndarray, prefix: int, once: bool):  # noqa: ANN202
+    """``once``: different blocks meet once, so that hits count for both sides."""
+
     def run(key: tuple, homes: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        names = ["a", "b", "n", "pairs", "compared"]
         if not len(homes) or not len(guests):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-        x, y = _unit(homes["v"]), _unit(guests["v"])
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in names})
+        x, y = _unit(homes["v"]) @ axes, _unit(guests["v"]) @ axes
         left, right = homes["id"].to_numpy(), guests["id"].to_numpy()
-        counts, la, lb = np.zeros(len(x), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        both, compared = once and key[1] != key[2], 0
+        counts, other, la, lb = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in range(0, len(x), ROWS_AT_ONCE):
-            hit = (x[s : s + ROWS_AT_ONCE] @ y.T >= least - 1e-12) & (left[s : s + ROWS_AT_ONCE, None] != right[None, :])
-            counts[s : s + ROWS_AT_ONCE] = hit.sum(axis=1)
-            i, j = np.nonzero(hit)
-            kept = _forest(left[s + i], right[j])
-            la.append(left[s + i][kept])
+            part = x[s : s + ROWS_AT_ONCE]
+            i, j = np.nonzero(_limits(part, y, prefix) >= least - 1e-9)
+            if len(i) > DENSE * len(part) * len(y):
+                i, j = np.nonzero(part @ y.T >= least - 1e-12)
+                compared += len(part) * len(y)
+            else:
+                compared += len(i)
+                hit = np.concatenate([np.zeros(0, bool)] + [np.einsum("ij,ij->i", part[i[k : k + 65536]], y[j[k : k + 65536]]) >= least - 1e-12 for k in range(0, len(i), 65536)])
+                i, j = i[hit], j[hit]
+            apart = left[s + i] != right[j]
+            i, j = s + i[apart], j[apart]
+            counts += np.bincount(i, minlength=len(x))
+            other += np.bincount(j, minlength=len(y))
+            kept = _forest(left[i], right[j])
+            la.append(left[i][kept])
             lb.append(right[j][kept])
         a, b = np.concatenate(la), np.concatenate(lb)
         kept = _forest(a, b)
-        some = np.flatnonzero(counts)
-        links = pd.DataFrame({"a": a[kept], "b": b[kept], "n": np.zeros(len(kept), np.int64)})
-        return pd.concat([links, pd.DataFrame({"a": left[some], "b": left[some], "n": counts[some]})])
+        links = pd.DataFrame({"a": a[kept], "b": b[kept], "n": 0})
+        sides = [(left, counts), (right, other)] if both else [(left, counts)]
+        own = [pd.DataFrame({"a": ids[n > 0], "b": ids[n > 0], "n": n[n > 0]}) for ids, n in sides]
+        met = pd.DataFrame({"a": [left[0]], "b": [left[0]], "n": [0], "pairs": [len(x) * len(y)], "compared": [compared]})
+        return pd.concat([links, *own, met]).fillna(0).astype(np.int64)[names]
 
     return run
 
 
-def similarity_classes(vectors: DataFrame, key: str, vector: str, least: float = 0.9, pivots: int = PIVOTS) -> DataFrame:
-    """(key, class, links): for each row with a usable vector the number of other vectors of cosine ``least`` (over 0) or
-    more, and the least key that such links reach. ``key`` is a bigint without repeats; rows without a key, and vectors that
-    are null, zero, hold a null or non-finite component, or have another dimension than most, take no part.
-
-    Work is small where few vectors are near each other; vectors within ``least`` of very many others are counted in full."""
+def similarity_links(vectors: DataFrame, key: str, vector: str, least: float = 0.9, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """What :func:`similarity_classes` is made of: the usable rows (id, v), and (a, b, n, pairs, compared): a forest of the links
+    (a and b differ), the links of a vector in a block (n), and the pairs of a block with those compared in full."""
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
     spark = vectors.sparkSession
     checkpoint_folder(spark)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    out = "id long, class long, links long"
+    shape = "a long, b long, n long, pairs long, compared long"
     if common is None:
-        return spark.createDataFrame([], out).withColumnRenamed("id", key)
-    rows = rows.filter(F.size("v") == common["n"])
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-    centers = _unit(pd.Series([r.v for r in chosen]))
+        return rows, spark.createDataFrame([], shape)
+    rows, many = rows.filter(F.size("v") == common["n"]), common["count"]
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(max(pivots, SAMPLE)).collect()
+    sample = _unit(pd.Series([r.v for r in chosen]))
+    centers, (axes, prefix) = sample[:pivots], _axes(sample, least)
     reach = float(np.sqrt(2 - 2 * least))
 
+    def visits(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        near = np.sqrt(np.maximum(2 - 2 * _unit(v) @ centers.T, 0))
+        own = near.argmin(axis=1)
+        return own, near <= near[np.arange(len(near)), own][:, None] + 2 * reach + 1e-6
+
+    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        homes, guests = np.zeros(len(centers), np.int64), np.zeros(len(centers), np.int64)
+        for pdf in (f.iloc[s : s + 2048] for f in frames for s in range(0, len(f), 2048)):
+            own, go = visits(pdf["v"])
+            homes += np.bincount(own, minlength=len(centers))
+            guests += go.sum(axis=0)
+        yield pd.DataFrame({"cell": np.arange(len(centers), dtype=np.int32), "homes": homes, "guests": guests})
+
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (f.iloc[s : s + 2048] for f in frames for s in range(0, len(f), 2048)):
-            near = np.sqrt(np.maximum(2 - 2 * _unit(pdf["v"]) @ centers.T, 0))
-            own = near.argmin(axis=1)
-            row, cell = np.nonzero(near <= near[np.arange(len(near)), own][:, None] + 2 * reach + 1e-6)
+            own, go = visits(pdf["v"])
+            row, cell = np.nonzero(go)
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "v": [pdf["v"].iloc[r] for r in row], "cell": cell.astype(np.int32), "home": own[row] == cell})
 
-    placed = rows.mapInPandas(place, "id long, v array<double>, cell int, home boolean").checkpoint()
-    sizes = {r["cell"]: (r["homes"], r["guests"]) for r in placed.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("guests")).collect()}  # a row a pivot
-    blocks = lambda i: F.element_at(F.array(*[F.lit(-(-sizes.get(c, (0, 0))[i] // BLOCK) or 1) for c in range(len(centers))]), F.col("cell") + 1)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    homes = placed.filter("home").select("id", "v", "cell", mine(blocks(0)).alias("h"), every(blocks(1)).alias("g"))
-    guests = placed.select("id", "v", "cell", mine(blocks(1)).alias("g"), every(blocks(0)).alias("h"))
-    by = ["cell", "h", "g"]
-    found = homes.groupBy(*by).cogroup(guests.groupBy(*by)).applyInPandas(_meet(least), "a long, b long, n long").checkpoint()
+    tallied = rows.mapInPandas(tally, "cell int, homes long, guests long").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("guests").alias("guests")).collect()  # a row a pivot
+    sizes = {r["cell"]: (r["homes"], r["guests"]) for r in tallied}
+    once = sum(h * g for h, g in sizes.values()) > WORTH * many * many
+    by, mine = ["cell", "h", "g"], lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    if once:
+        blocks, zero = F.lit(-(-many // BLOCK)), F.lit(0)
+        own = rows.withColumn("own", mine(blocks))
+        homes = own.select("id", "v", zero.alias("cell"), F.col("own").alias("h"), F.explode(F.sequence("own", blocks - 1)).alias("g"))
+        guests = own.select("id", "v", zero.alias("cell"), F.col("own").alias("g"), F.explode(F.sequence(zero, F.col("own"))).alias("h"))
+    else:
+        placed = rows.mapInPandas(place, "id long, v array<double>, cell int, home boolean").checkpoint()
+        blocks = lambda i: F.element_at(F.array(*[F.lit(-(-sizes.get(c, (0, 0))[i] // BLOCK) or 1) for c in range(len(centers))]), F.col("cell") + 1)
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        homes = placed.filter("home").select("id", "v", "cell", mine(blocks(0)).alias("h"), every(blocks(1)).alias("g"))
+        guests = placed.select("id", "v", "cell", mine(blocks(1)).alias("g"), every(blocks(0)).alias("h"))
+    return rows, homes.groupBy(*by).cogroup(guests.groupBy(*by)).applyInPandas(_meet(least, axes, prefix, once), shape).checkpoint()
+
+
+def compared_share(links: DataFrame) -> DataFrame:
+    """(pairs, compared): pairs of vectors that met in blocks, and those compared in full, of :func:`similarity_links`."""
+    return links.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+
+
+def similarity_classes(vectors: DataFrame, key: str, vector: str, least: float = 0.9, pivots: int = PIVOTS) -> DataFrame:
+    """(key, class, links): for each row with a usable vector the number of other vectors of cosine ``least`` (over 0) or
+    more, and the least key that such links reach. ``key`` is a bigint without repeats; rows without a key, and vectors that
+    are null, zero, hold a null or non-finite component, or have another dimension than most, take no part.
+
+    Work is small where few vectors are near each other; vectors within ``least`` of very many others are counted in full."""
+    rows, found = similarity_links(vectors, key, vector, least, pivots)
     links = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links")).filter("links > 0")
     classes = connected_components(found.filter("a != b").select("a", "b"), rows.select(F.col("id").alias("node")))
     return classes.join(links, classes["node"] == links["id"], "left").select(F.col("node").alias(key), F.col("component").alias("class"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))

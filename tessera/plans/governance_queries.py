@@ -786,15 +786,16 @@ def artifacts_by_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands as interfaces, sizes as systems, types as fields."""
     p = table(spark, sf_dir, "part")
-    g = p.groupBy(F.col("p_brand").alias("interface"), F.col("p_type").alias("field")).agg(F.min("p_size").alias("m"), F.max("p_partkey").alias("k"))
-    return g.select("interface", F.concat(F.lit("s"), F.substring("interface", 7, 1)).alias("system"), "field", F.when(F.col("k") % 4 == 0, "string").otherwise("int").alias("type"), (F.col("m") % 2 == 0).alias("required"))
+    g = p.groupBy(F.col("p_brand").alias("interface"), F.col("p_type").alias("field")).agg(F.min("p_size").alias("m"), F.max("p_partkey").alias("k")).filter("k % 7 != 0")  # some lack a field
+    enum = F.when(F.col("k") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("k") % 3 == 1, F.array(F.lit("c"), F.lit("b"), F.lit("a")))
+    return g.select("interface", F.concat(F.lit("s"), F.substring("interface", 7, 1)).alias("system"), "field", F.when(F.col("k") % 4 == 0, "string").otherwise("int").alias("type"), (F.col("m") % 2 == 0).alias("required"), enum.alias("enum"))
 
 
-FIELDS_SQL = "f AS (SELECT p_brand AS interface, 's' || substring(p_brand, 7, 1) AS system, p_type AS field, CASE WHEN max(p_partkey) % 4 = 0 THEN 'string' ELSE 'int' END AS type, min(p_size) % 2 = 0 AS required FROM part GROUP BY p_brand, p_type)"
+FIELDS_SQL = "f AS (SELECT p_brand AS interface, 's' || substring(p_brand, 7, 1) AS system, p_type AS field, CASE WHEN max(p_partkey) % 4 = 0 THEN 'string' ELSE 'int' END AS type, min(p_size) % 2 = 0 AS required, max(p_partkey) % 3 AS enum FROM part GROUP BY p_brand, p_type HAVING max(p_partkey) % 7 <> 0)"
 PAIRED = "q AS (SELECT DISTINCT a.interface AS producer, b.interface AS consumer FROM f a JOIN f b ON a.field = b.field AND a.interface <> b.interface AND a.system <> b.system)"
 ISSUES = """i AS (SELECT * FROM (SELECT coalesce(p.producer, c.producer) AS producer, coalesce(p.consumer, c.consumer) AS consumer, coalesce(p.field, c.field) AS field,
-    CASE WHEN p.field IS NULL THEN CASE WHEN c.required THEN 'missing_required' END WHEN c.field IS NULL THEN 'extra_field' WHEN p.type <> c.type THEN 'type_mismatch' WHEN c.required AND NOT p.required THEN 'requiredness_weakened' END AS issue
-    FROM (SELECT q.*, f.field, f.type, f.required FROM q JOIN f ON f.interface = producer) p FULL JOIN (SELECT q.*, f.field, f.type, f.required FROM q JOIN f ON f.interface = consumer) c ON p.producer = c.producer AND p.consumer = c.consumer AND p.field = c.field) WHERE issue IS NOT NULL)"""
+    CASE WHEN p.field IS NULL THEN CASE WHEN c.required THEN 'missing_required' END WHEN c.field IS NULL THEN 'extra_field' WHEN p.type <> c.type THEN 'type_mismatch' WHEN c.enum < 2 AND (p.enum = 2 OR p.enum > c.enum) THEN 'enum_broadening' WHEN c.required AND NOT p.required THEN 'requiredness_weakened' END AS issue
+    FROM (SELECT q.*, f.field, f.type, f.required, f.enum FROM q JOIN f ON f.interface = producer) p FULL JOIN (SELECT q.*, f.field, f.type, f.required, f.enum FROM q JOIN f ON f.interface = consumer) c ON p.producer = c.producer AND p.consumer = c.consumer AND p.field = c.field) WHERE issue IS NOT NULL)"""
 
 
 @query("u01_compatibility", f"WITH {FIELDS_SQL}, {PAIRED}, {ISSUES} SELECT * FROM i")
@@ -803,7 +804,7 @@ def compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.compatibility(f, contracts.interface_pairs(f))
 
 
-@query("u02_matrix", f"WITH {FIELDS_SQL}, {PAIRED}, {ISSUES}, n AS (SELECT producer, consumer, count(*) FILTER (issue IN ('missing_required', 'type_mismatch')) AS b, count(*) FILTER (issue NOT IN ('missing_required', 'type_mismatch')) AS o FROM i GROUP BY 1, 2) SELECT producer, consumer, round(greatest(0, 1 - coalesce(b, 0) * 0.3::DOUBLE - coalesce(o, 0) * 0.1::DOUBLE), 6) AS score, CASE WHEN b > 0 THEN 'incompatible' WHEN o > 0 THEN 'degraded' ELSE 'compatible' END AS state FROM q LEFT JOIN n USING (producer, consumer)")
+@query("u02_matrix", f"WITH {FIELDS_SQL}, {PAIRED}, {ISSUES}, n AS (SELECT producer, consumer, count(*) FILTER (issue IN ('missing_required', 'type_mismatch', 'enum_broadening')) AS b, count(*) FILTER (issue NOT IN ('missing_required', 'type_mismatch', 'enum_broadening')) AS o FROM i GROUP BY 1, 2) SELECT producer, consumer, round(greatest(0, 1 - coalesce(b, 0) * 0.3::DOUBLE - coalesce(o, 0) * 0.1::DOUBLE), 6) AS score, CASE WHEN b > 0 THEN 'incompatible' WHEN o > 0 THEN 'degraded' ELSE 'compatible' END AS state FROM q LEFT JOIN n USING (producer, consumer)")
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.matrix(_interfaces(spark, sf_dir))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import golden, match, profile, quality, vectors
+from ..operators import golden, match, profile, quality, sketches, vectors
 from .registry import checkpoint_folder, query, table
 
 # -- K: validation
@@ -409,10 +409,39 @@ def reverse_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.connected_components(_stars(spark, sf_dir).filter("b % 2 != 0"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")))
 
 
-@query("g06_fuzzy_dedup", """SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_brand, p_size, p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2, 3) a JOIN (SELECT p_brand, p_size, p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2, 3) b
-    ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.6""")
+@query("g06_fuzzy_dedup", """WITH t AS (SELECT p_brand, p_name, min(p_partkey) AS k FROM part GROUP BY 1, 2)
+    SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.k < b.k WHERE 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.6""")
 def fuzzy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.fuzzy_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", F.concat_ws("|", "p_brand", "p_size"), 0.6).select("a", "b")
+    return match.fuzzy_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", F.col("p_brand"), 0.6).select("a", "b")
+
+
+@query("g06_fuzzy_segments", """WITH t AS (SELECT p_name || ' ' || p_brand AS x, min(p_partkey) AS k FROM part GROUP BY 1)
+    SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.k < b.k WHERE 1 - levenshtein(a.x, b.x)::DOUBLE / greatest(length(a.x), length(b.x)) >= 0.9""")
+def fuzzy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts in one block, by the segments that their names share."""
+    named = table(spark, sf_dir, "part").withColumn("x", F.concat_ws(" ", "p_name", "p_brand"))
+    return match.fuzzy_pairs(named, "p_partkey", "x", F.lit(1), 0.9).select("a", "b")
+
+
+@query("l04_incremental_quantiles", "SELECT p, (SELECT count(l_extendedprice) FROM lineitem) AS n, round(p, 1) AS rank FROM (VALUES (0.1::DOUBLE), (0.5), (0.9)) t(p)")
+def incremental_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of a batch for each ship mode and year, merged; ``rank`` is the exact rank of the estimate, to one place."""
+    i = table(spark, sf_dir, "lineitem")
+    found = sketches.merged_quantiles(sketches.quantile_sketches(i, F.concat_ws("|", F.year("l_shipdate"), "l_linenumber"), "l_extendedprice"), [0.1, 0.5, 0.9])
+    below = i.join(F.broadcast(found)).groupBy("p", "n").agg((F.count_if(F.col("l_extendedprice") <= F.col("value")) / F.count(F.lit(1))).alias("rank"))  # three rows
+    return below.select("p", "n", F.round("rank", 1).alias("rank"))
+
+
+@query("f09_frequent_values", "SELECT l_partkey::VARCHAR AS value, count(*) AS n, round(count(*) * 100.0 / (SELECT count(l_partkey) FROM lineitem), 6) AS percentage FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoint_folder(spark)
+    return sketches.frequent_values(table(spark, sf_dir, "lineitem"), "l_partkey").select("value", F.col("count").alias("n"), F.round("percentage", 6).alias("percentage"))
+
+
+@query("m09_sketched_overlap", f"SELECT * FROM ({OVERLAP}) WHERE common >= 0.6 * least(left_distinct, right_distinct)")
+def sketched_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoint_folder(spark)
+    return sketches.sketched_overlap({"orders": (table(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"]), "customer": (table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey"])}, 0.6).filter("left_column <> 'orders.o_orderkey' AND right_column <> 'orders.o_orderkey'")
 
 
 def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -537,14 +566,14 @@ def type_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("m17_match_schemas", f"""WITH t AS (SELECT DISTINCT lower(p_type) AS a, lower(p_type) || 's' AS b, length(p_type) % 3 AS k FROM part)
-    SELECT a AS source, b AS target, round(s, 6) AS confidence, CASE k WHEN 0 THEN 'safe' WHEN 1 THEN 'lossy' ELSE 'invalid' END AS conversion FROM ({_lexical_sql('a, b, k', 't')}) WHERE s >= 0.8""")
+    SELECT a AS source, b AS target, round(s, 6) AS confidence, CASE k WHEN 0 THEN 'safe' WHEN 1 THEN 'lossy' ELSE 'invalid' END AS conversion FROM ({_lexical_sql('a, b, k', 't')}) WHERE s >= 0.65""")
 def match_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part types as fields of one source, and with another ending as those of another."""
     p = table(spark, sf_dir, "part").select(F.lower("p_type").alias("field")).distinct()
     kind = lambda *names: F.element_at(F.array(*map(F.lit, names)), F.length("field") % 3 + 1)
     left = p.withColumn("type", kind("int", "double", "date"))
     right = p.select(F.concat("field", F.lit("s")).alias("field"), kind("bigint", "int", "boolean").alias("type"))
-    return match.match_schemas(left, right, 0.8).withColumn("confidence", F.round("confidence", 6))
+    return match.match_schemas(left, right, 0.65).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("m18_term_candidates", "SELECT DISTINCT p_brand AS field, 'T' || p_brand AS term FROM part")

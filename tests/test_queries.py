@@ -6,11 +6,15 @@ from conftest import SMALL, same_rows
 from tessera.plans import registry
 
 
+#: Queries whose right result on the smallest tables is empty.
+EMPTY: set[str] = set()
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, oracle, name):
     df = registry.QUERIES[name](spark, SMALL)
     if name in registry.ORACLES:
-        same_rows(df, oracle, registry.ORACLES[name])
+        assert same_rows(df, oracle, registry.ORACLES[name]) > 0 or name in EMPTY
     else:
         assert df.columns and df.count() > 0
 
