@@ -39,8 +39,11 @@ HEURISTICS = {"email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "us_phone": r"^(\+1[-. ]?)
 
 
 def heuristic(rule: dict) -> Column:
-    """(confidence, decision) of a row under a rule: its confidence if it holds, else 1 less it; accept from 0.5."""
+    """(confidence, decision) of a row under a rule: its confidence if it holds, else 1 less it; accept from 0.5. What looks at
+    other rows (``unique``) is :func:`heuristics`."""
     c, kind = F.col(rule["field"]), rule["kind"]
+    if kind == "unique":
+        raise ValueError("unique needs the table: use heuristics")
     text = c.cast("string")
     if kind == "not_null":
         ok = c.isNotNull()
@@ -50,10 +53,29 @@ def heuristic(rule: dict) -> Column:
         ok = F.char_length(text).between(rule["min"], rule["max"])
     else:
         ok = text.rlike(HEURISTICS.get(kind) or rule["pattern"])
+    return _decision(ok, rule)
+
+
+def _decision(ok: Column, rule: dict) -> Column:
     confidence = F.when(F.coalesce(ok, F.lit(False)), rule.get("confidence", 0.9)).otherwise(1 - rule.get("confidence", 0.9))
     return F.struct(confidence.alias("confidence"), F.when(confidence >= 0.5, "accept").otherwise("reject").alias("decision"))
 
 
+def heuristics(df: DataFrame, rules: dict[str, dict]) -> DataFrame:
+    """``df`` with a struct (confidence, decision) for each named rule. For ``unique`` values are counted with partial sums, and
+    only rows of values that occur once look them up: a value that fills the table is grouped to one row and joins nothing.
+    Null is no unique value."""
+    out = df
+    for name, rule in rules.items():
+        if rule["kind"] != "unique":
+            out = out.withColumn(name, heuristic(rule))
+            continue
+        value = F.col(rule["field"])
+        once = df.filter(value.isNotNull()).groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("_v", F.lit(True).alias("_once"))
+        out = out.join(once, value == F.col("_v"), "left").withColumn(name, _decision(F.col("_once"), rule)).drop("_v", "_once")
+    return out
+
+
 def predict(df: DataFrame, features: Sequence[str], model: Callable[[np.ndarray], np.ndarray], least: float = 0.5, fallback: str = "manual_review", names: Sequence[str] = ("prediction", "confidence", "decision")) -> DataFrame:
     """Scores rows by a model from a matrix to (label, confidence) columns; below ``least`` the fallback decides. The model is
     broadcast, batches are Arrow's."""

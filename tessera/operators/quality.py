@@ -129,7 +129,7 @@ def scorecard(df: DataFrame, rules: Sequence[Mapping], by: Sequence[Column]) ->
 
 def validate_shapes(triples: DataFrame, target_class: str, shapes: Sequence[Mapping], type_predicate: str = "type") -> DataFrame:
     """(s, path, constraint, value): what the instances of a class break. A shape has a path and any of minCount,
-    maxCount, datatype, pattern, minLength, in."""
+    maxCount, datatype, pattern, minLength, in, class (the value is an instance of that class itself)."""
     focus = triples.filter((F.col("p") == type_predicate) & (F.col("o") == target_class)).select("s").distinct()
     paths = [s["path"] for s in shapes]
     values = triples.filter(F.col("p").isin(paths)).join(focus, "s", "left_semi")
@@ -154,6 +154,9 @@ def validate_shapes(triples: DataFrame, target_class: str, shapes: Sequence[Mapp
         for name, ok in checks.items():
             if name in shape:
                 add(row(own.filter(~F.coalesce(ok(shape[name]), F.lit(False))), name, F.col("o")))
+        if "class" in shape:
+            members = triples.filter((F.col("p") == type_predicate) & (F.col("o") == shape["class"])).select(F.col("s").alias("o")).distinct()
+            add(row(own.join(members, "o", "left_anti"), "class", F.col("o")))
     return out
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,7 +103,13 @@ def check_manifest(df: DataFrame, rows: int, checksum: int | None = None, column
 
 
 def file_checksums(spark, path: str) -> DataFrame:  # noqa: ANN001
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of each file under ``path``. Spark reads no empty files: these come from its list of files, which
+    the driver holds anyway."""
+    files = spark.read.format("binaryFile").load(path)
+    listed = [(re.sub("^file:/+", "file:/", unquote(f)),) for f in files.inputFiles()]
+    read = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    return read.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.sha2(F.lit(b""), 256).alias("sha256")))
 
 
 def evidence_rows(compared: DataFrame, keys: Sequence[str]) -> DataFrame:

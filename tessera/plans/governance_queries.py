@@ -191,6 +191,15 @@ def heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", F.round("h.confidence", 6).alias("confidence"), "h.decision")
 
 
+@query("j03_unique_rule", """SELECT o_orderkey, CASE WHEN n = 1 THEN 0.95 ELSE 0.05 END::DOUBLE AS confidence, CASE WHEN n = 1 THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN o_totalprice IS NOT NULL THEN 'accept' ELSE 'reject' END AS priced
+    FROM orders JOIN (SELECT o_custkey, o_orderdate, count(*) AS n FROM orders GROUP BY ALL) USING (o_custkey, o_orderdate)""")
+def unique_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that are their customer's only one of the day."""
+    o = table(spark, sf_dir, "orders").withColumn("visit", F.concat_ws("|", "o_custkey", "o_orderdate"))
+    h = models.heuristics(o, {"h": {"field": "visit", "kind": "unique", "confidence": 0.95}, "p": {"field": "o_totalprice", "kind": "not_null"}})
+    return h.select("o_orderkey", F.round("h.confidence", 6).alias("confidence"), "h.decision", F.col("p.decision").alias("priced"))
+
+
 def _linear(x):  # noqa: ANN001, ANN202
     import numpy as np
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import golden, match, profile, quality, sketches, vectors
+from ..operators import golden, match, profile, quality, sketches, terms, vectors
 from .registry import checkpoint_folder, query, table
 
 # -- K: validation
@@ -80,6 +80,16 @@ def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate_shapes(triples, "Customer", [{"path": "segment", "in": ["BUILDING", "MACHINERY"], "maxCount": 1}, {"path": "phone", "minCount": 1}])
 
 
+@query("k14_shape_class", """SELECT 'o' || o_orderkey AS s, 'customer' AS path, 'class' AS "constraint", 'c' || o_custkey AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0""")
+def shape_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose customer is no trusted one: customers in debt lack the class."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    s = F.concat(F.lit("o"), "o_orderkey")
+    triples = o.select(s.alias("s"), F.lit("type").alias("p"), F.lit("Order").alias("o")).unionByName(o.select(s.alias("s"), F.lit("customer").alias("p"), F.concat(F.lit("c"), "o_custkey").alias("o")))
+    trusted = c.filter("c_acctbal >= 0").select(F.concat(F.lit("c"), "c_custkey").alias("s"), F.lit("type").alias("p"), F.lit("Trusted").alias("o"))
+    return quality.validate_shapes(triples.unionByName(trusted), "Order", [{"path": "customer", "class": "Trusted", "minCount": 1}])
+
+
 @query("k15_validate_json", "SELECT event_id, 0 AS errors FROM events")
 def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate_json(table(spark, sf_dir, "events"), "props", {"properties": {"k": {}}}).select("event_id", F.size("_errors").alias("errors"))
@@ -583,6 +593,37 @@ def term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.term_candidates(brands, terms, k=1).select("field", "term")
 
 
+_RULES_SQL = ", ".join(f"({i}, {j}, '{word}', '{term}', {sure}, {str(outer).lower()})" for i, (words, term, sure, outer) in enumerate(terms.NAME_TERMS) for j, word in enumerate(words.split()))
+
+
+@query("m18_map_to_terms", f"""WITH n AS (SELECT DISTINCT p_name AS p FROM part),
+    f AS (SELECT replace(p, ' ', '_') || CASE length(p) % 3 WHEN 0 THEN '' WHEN 1 THEN '_email' ELSE '_createdAt' END AS field, p FROM n),
+    g AS (SELECT *, regexp_replace(lower(field), '[^a-z0-9]', '', 'g') AS plain, string_split(lower(field), '_') AS tokens, list_filter(regexp_split_to_array(lower(regexp_replace(field, '([A-Z])', ' \\1', 'g')), '[^a-z0-9]+'), lambda w: length(w) > 1) AS a FROM f),
+    t AS (SELECT 'x:' || p AS term, CASE length(p) % 4 WHEN 0 THEN replace(p, ' ', '') WHEN 1 THEN split_part(p, ' ', 2) ELSE p || 's' END AS label, length(p) % 2 = 0 AS own FROM n),
+    m AS (SELECT *, len(list_intersect(a, b)) / sqrt(len(a) * len(b)) AS c, 1 - levenshtein(plain, label)::DOUBLE / greatest(length(plain), length(label)) AS s FROM (SELECT *, string_split(label, ' ') AS b FROM g, t)),
+    h AS (SELECT field, 'heuristic' AS strategy, term, least(sure + arg_min(bonus, j), 0.75)::DOUBLE AS confidence FROM (SELECT field, term, sure, i, j,
+        CASE WHEN plain = word OR list_contains(tokens, word) THEN 0.03 WHEN ends_with(plain, word) THEN 0.02 WHEN starts_with(plain, word) THEN 0.01 WHEN NOT edge AND contains(plain, word) THEN 0.0 END AS bonus
+        FROM g, (VALUES {_RULES_SQL}) r(i, j, word, term, sure, edge)) WHERE bonus IS NOT NULL GROUP BY field, term, sure, i),
+    e AS (SELECT field, 'statistical' AS strategy, term, 0.70 + (c - 0.3) / 0.7 * 0.15 AS confidence FROM m WHERE c >= 0.3 - 1e-12
+        UNION ALL SELECT field, 'lexical', term, 0.65 + (s - 0.6) * 0.375 FROM m WHERE s >= 0.6 - 1e-12
+        UNION ALL SELECT * FROM (SELECT field, 'registry', term, CASE WHEN plain = label THEN 0.9 WHEN c >= 0.4 - 1e-12 THEN 0.75 + (c - 0.4) * 0.25 WHEN s >= 0.7 - 1e-12 THEN 0.75 + (s - 0.7) * 0.5 WHEN contains(plain, label) OR contains(label, plain) THEN 0.76 END AS x FROM m WHERE own) WHERE x IS NOT NULL
+        UNION ALL SELECT * FROM h),
+    v AS (SELECT field, 'manual' AS strategy, 'm:' || p AS term, 1.0::DOUBLE AS confidence FROM f WHERE p LIKE 'cold%' UNION ALL SELECT * FROM e WHERE field NOT LIKE 'cold%'),
+    w AS (SELECT field, term, sum(confidence * k) / sum(k) AS confidence, string_agg(strategy, ',' ORDER BY strategy) AS strategies FROM (SELECT *, CASE strategy WHEN 'statistical' THEN 1.0 WHEN 'lexical' THEN 0.8 WHEN 'registry' THEN 1.1 WHEN 'heuristic' THEN 0.6 ELSE 1.0 END::DOUBLE AS k FROM v) GROUP BY field, term)
+    SELECT field, term, round(confidence, 6) AS confidence, strategies, rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY round(confidence, 9) DESC, term) AS rank FROM w) WHERE rank <= 3""")
+def map_to_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as fields, some with an ending that says what they hold, against terms that are spelt otherwise."""
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("p")).distinct()
+    size = F.length("p")
+    ending = F.when(size % 3 == 0, "").when(size % 3 == 1, "_email").otherwise("_createdAt")
+    fields = n.select(F.concat(F.replace("p", F.lit(" "), F.lit("_")), ending).alias("field"), "p")
+    label = F.when(size % 4 == 0, F.replace("p", F.lit(" "), F.lit(""))).when(size % 4 == 1, F.split_part("p", F.lit(" "), F.lit(2))).otherwise(F.concat("p", F.lit("s")))
+    ontology = n.select(F.concat(F.lit("x:"), "p").alias("term"), label.alias("label"), F.when(size % 2 == 0, "own").otherwise("schema.org").alias("namespace"))
+    manual = fields.filter("p LIKE 'cold%'").select("field", F.concat(F.lit("m:"), "p").alias("term"))
+    best = terms.map_to_terms(terms.strategy_matches(fields, ontology, manual=manual), k=3)
+    return best.select("field", "term", F.round("confidence", 6).alias("confidence"), F.array_join("strategies", ",").alias("strategies"), "rank")
+
+
 @query("n10_customer_360", """WITH good AS (SELECT c_custkey, upper(c_mktsegment) AS segment, c_acctbal FROM customer WHERE c_acctbal BETWEEN 0 AND 9000),
     one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment, floor(c_acctbal) ORDER BY c_custkey) AS rn FROM good) WHERE rn = 1),
     f AS (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1)

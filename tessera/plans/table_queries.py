@@ -185,6 +185,11 @@ def route_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.route_stats(table(spark, sf_dir, "customer"), ROUTES[:2])
 
 
+@query("c06_route_matrix", "SELECT c_custkey, c_acctbal >= 8000 AS match_rich, c_mktsegment = 'AUTOMOBILE' AS match_auto FROM customer")
+def route_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.route_matrix(table(spark, sf_dir, "customer"), ROUTES[:2]).select("c_custkey", "match_rich", "match_auto")
+
+
 @query("c07_set_remove_field", "SELECT r_regionkey, 'x' AS tag FROM region")
 def set_remove_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").withColumn("tag", F.lit("x")).drop("r_name")
@@ -211,6 +216,14 @@ def compose_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.compose_mappings(a, b).withColumn("confidence", F.round("confidence", 9))
 
 
+@query("c10_mapping_coverage", "SELECT p_brand AS vendor, count(*) AS fields, count(*) FILTER (p_size > 10) AS mapped, round(count(*) FILTER (p_size > 10) / count(*), 6) AS coverage FROM part GROUP BY 1")
+def mapping_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a brand's fields, the larger ones mapped, some twice."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("vendor"), F.col("p_partkey").alias("field"), "p_size")
+    mapped = p.filter("p_size > 10").unionByName(p.filter("p_size > 30"))
+    return rows.mapping_coverage(p.select("vendor", "field"), mapped).withColumn("coverage", F.round("coverage", 6))
+
+
 @query("c11_confidence_gate", "SELECT c_custkey, c_acctbal >= 3000 AS passed FROM customer")
 def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     yes, no = rows.confidence_gate(table(spark, sf_dir, "customer"), "c_acctbal", 3000)
@@ -283,6 +296,16 @@ def convert_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.to_tangent_plane(p, "lat", "lon", "alt", (48.0, 11.0, 500.0)).select("c_custkey", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"))
 
 
+@query("d08_helmert", """WITH r AS (SELECT radians(1.5 / 3600) AS rx, radians(-0.75 / 3600) AS ry, radians(2.25 / 3600) AS rz, 1 + 4.5e-6::DOUBLE AS m),
+    p AS (SELECT c_custkey, 4000000.0::DOUBLE + c_custkey AS x, 800000.0::DOUBLE - c_custkey AS y, 4900000.0::DOUBLE + c_acctbal AS z FROM customer)
+    SELECT c_custkey, round(100 + m * (x - rz * y + ry * z), 3) AS x2, round(-50 + m * (rz * x + y - rx * z), 3) AS y2, round(25 + m * (-ry * x + rx * y + z), 3) AS z2 FROM p, r""")
+def helmert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(k, (4000000.0 + k).alias("x"), (800000.0 - k).alias("y"), (4900000.0 + F.col("c_acctbal")).alias("z"))
+    moved = rows.helmert(p, ["x", "y", "z"], [100.0, -50.0, 25.0], [1.5, -0.75, 2.25], 4.5)
+    return moved.select("c_custkey", *[F.round(c, 3).alias(c) for c in ("x2", "y2", "z2")])
+
+
 @query("d09_parse_date_multi", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
 def parse_date_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
