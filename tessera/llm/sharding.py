@@ -25,35 +25,51 @@ def hash_mod(key: Column, mod: Column | int) -> Column:
     return n % (F.lit(mod) if isinstance(mod, int) else mod)
 
 
+#: Owners are four bytes a slot in pieces of PIECE slots, ROW pieces a row of a two-level array: a claim copies one piece and two
+#: short arrays, not the table. STEPS tries are one inner fold.
+PIECE, ROW, STEPS = 2048, 16, 4096
+
+
 def lookup_table(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``slots`` rows (slot, shard). The turns are one fold in one row: a step tries one slot of the shard whose turn it is.
-    Owners are two bytes a slot, 0 where it is free, so a claim copies a few kilobytes."""
+    """``slots`` rows (slot, shard). The turns are one fold in one row: a step tries the next slot of the shard whose turn it
+    is. A step that fails moves one number; one that claims copies PIECE owners, two arrays of pieces and the shards' places."""
     if slots < max(2, len(shards)) or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError("slots must be a prime that is no less than the number of shards")
-    if not shards or len(set(shards)) != len(shards) or len(shards) > 65_535:
-        raise ValueError("shards need distinct names, 65,535 at most")
+    if not shards or len(set(shards)) != len(shards):
+        raise ValueError("shards need distinct names")
+    n, row = len(shards), PIECE * ROW
     names = F.array(*map(F.lit, sorted(shards)))
     one = spark.range(1).select(
         names.alias("names"),
-        F.transform(names, lambda s: hash_mod(F.concat(F.lit("offset:"), s), slots).cast("int")).alias("offset"),
-        F.transform(names, lambda s: (hash_mod(F.concat(F.lit("skip:"), s), slots - 1) + 1).cast("int")).alias("skip"),
-        F.expr(f"named_struct('owner', unhex(repeat('0000', {slots})), 'next', array_repeat(0, {len(shards)}), 'claims', 0)").alias("s"),
+        F.transform(names, lambda s: hash_mod(F.concat(F.lit("offset:"), s), slots)).alias("offset"),
+        F.transform(names, lambda s: hash_mod(F.concat(F.lit("skip:"), s), slots - 1) + 1).alias("skip"),
     )
-    # next: the first place in each shard's order that it has not tried
-    step = f"""
-      transform(array(named_struct('i', s.claims % {len(shards)}, 'p', (offset[s.claims % {len(shards)}] + cast(s.next[s.claims % {len(shards)}] as bigint) * skip[s.claims % {len(shards)}]) % {slots})), at ->
-        named_struct(
-          'owner', if(substring(s.owner, cast(2 * at.p + 1 as int), 2) = X'0000', overlay(s.owner PLACING unhex(lpad(hex(at.i + 1), 4, '0')) FROM cast(2 * at.p + 1 as int)), s.owner),
-          'next', transform(s.next, (n, j) -> if(j = at.i, n + 1, n)),
-          'claims', if(substring(s.owner, cast(2 * at.p + 1 as int), 2) = X'0000', s.claims + 1, s.claims)))[0]"""
+    # owner: 0 where a slot is free; next: the first place of each shard's order that it has not tried; i: whose turn it is,
+    # j: the place it tries, p: the slot there
+    one = one.withColumn("s", F.expr(f"""named_struct('owner', array_repeat(array_repeat(unhex(repeat('00000000', {PIECE})), {ROW}), {-(-slots // row)}),
+        'next', array_repeat(0L, {n}), 'i', 0, 'j', 0L, 'p', offset[0], 'claims', 0L)"""))
+    at = f"cast(s.p div {row} as int)", f"cast(s.p % {row} div {PIECE} as int)", f"cast(4 * (s.p % {PIECE}) + 1 as int)"
+    put = lambda xs, i, x: f"concat(slice({xs}, 1, {i}), array({x}), slice({xs}, {i} + 2, greatest(size({xs}) - {i} - 1, 0)))"
+    piece = f"overlay(s.owner[{at[0]}][{at[1]}] PLACING unhex(lpad(hex(s.i + 1), 8, '0')) FROM {at[2]})"
+    turn = f"((s.i + 1) % {n})"
+    place = f"if({n} = 1, s.j + 1, s.next[{turn}])"
+    step = f"""if(substring(s.owner[{at[0]}][{at[1]}], {at[2]}, 4) = X'00000000',
+      named_struct('owner', {put("s.owner", at[0], put(f"s.owner[{at[0]}]", at[1], piece))}, 'next', {put("s.next", "s.i", "s.j + 1")},
+        'i', {turn}, 'j', {place}, 'p', (offset[{turn}] + {place} * skip[{turn}]) % {slots}, 'claims', s.claims + 1),
+      named_struct('owner', s.owner, 'next', s.next, 'i', s.i, 'j', s.j + 1, 'p', (s.p + skip[s.i]) % {slots}, 'claims', s.claims))"""
+    done = f"s.claims >= {slots}"
     tries = int(slots * (math.log(slots) + 2)) + 1  # about slots * ln(slots) are needed
+    fold = f"aggregate(sequence(1, {-(-tries // STEPS)}), s, (s, t) -> if({done}, s, aggregate(sequence(1, {STEPS}), s, (s, u) -> if({done}, s, {step}))))"
     while True:
-        one = stash(one.withColumn("s", F.expr(f"aggregate(sequence(1, {tries}), s, (s, t) -> if(s.claims >= {slots}, s, {step}))")), "turns")
-        if one.filter(F.col("s.claims") >= slots).count():
+        one = stash(one.withColumn("s", F.expr(fold)), "turns")
+        if one.filter(f"s.claims >= {slots}").count():
             break
-    places = one.select("names", F.col("s.owner").alias("owner"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    owner = F.conv(F.hex(F.expr("substring(owner, 2 * slot + 1, 2)")), 16, 10).cast("int")
-    return places.select("slot", F.get("names", owner - 1).alias("shard"))
+    # rows of pieces, pieces, slots
+    rows = one.select("names", F.posexplode("s.owner").alias("r", "pieces"))
+    pieces = rows.select("names", "r", F.posexplode("pieces").alias("q", "piece"))
+    places = pieces.select("names", (F.col("r") * row + F.col("q") * PIECE).alias("first"), "piece", F.explode(F.sequence(F.lit(0), F.lit(PIECE - 1))).alias("x"))
+    owner = F.conv(F.hex(F.expr("substring(piece, 4 * x + 1, 4)")), 16, 10).cast("int")
+    return places.select((F.col("first") + F.col("x")).alias("slot"), F.get("names", owner - 1).alias("shard")).filter(F.col("slot") < slots)
 
 
 def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:

@@ -266,3 +266,39 @@ def test_mixing_edges(spark):
     assert out.count() == 5 and out.columns == ["doc_id", "text", "lang", "source", "domain", "p0", "leaf_target", "copies"]
     assert mixing.mixed_copies(df.limit(0)).count() == 0
     assert mixing.mix(df, budget=1.0).columns == ["doc_id", "text", "lang", "source", "domain", "p0"]
+
+
+def turns(shards, slots):
+    """The owners by the plain loop: shards take turns, each its first free slot."""
+    h = lambda text, mod: int(hashlib.md5(text.encode()).hexdigest()[:15], 16) % mod
+    names = sorted(shards)
+    offset, skip = [h("offset:" + n, slots) for n in names], [h("skip:" + n, slots - 1) + 1 for n in names]
+    owner, place = [None] * slots, [0] * len(names)
+    for k in range(slots):
+        i, p = k % len(names), None
+        while p is None or owner[p] is not None:
+            p = (offset[i] + place[i] * skip[i]) % slots
+            place[i] += 1
+        owner[p] = names[i]
+    return owner
+
+
+@pytest.mark.parametrize("piece, row, n, slots", [(2048, 16, 1, 7), (2048, 16, 7, 7), (4, 3, 5, 97), (16, 2, 40, 1009), (2048, 16, 16, 40009)])
+def test_fold_in_pieces(spark, monkeypatch, piece, row, n, slots):
+    monkeypatch.setattr(sharding, "PIECE", piece)
+    monkeypatch.setattr(sharding, "ROW", row)
+    names = [f"s{i}" for i in range(n)]
+    got = sharding.lookup_table(spark, names, slots).collect()
+    assert len(got) == slots
+    want = turns(names, slots)
+    assert all(want[r.slot] == r.shard for r in got)
+
+
+def test_shuffled_lookup(spark, monkeypatch):
+    """A table over BROADCAST_SLOTS places rows as the broadcast one does, a key that holds most rows included."""
+    df = spark.createDataFrame([(i if i % 3 else 7, f"r{i}") for i in range(300)] + [(None, "n")], "k long, slot string")
+    want = sorted((r.k or -1, r.shard) for r in sharding.assign_shards(df, "k").collect())
+    monkeypatch.setattr(sharding, "BROADCAST_SLOTS", 10)
+    placed = sharding.assign_shards(df, "k")
+    assert sorted((r.k or -1, r.shard) for r in placed.collect()) == want and len(want) == 301
+    assert "ResolvedHint (strategy=broadcast)" not in placed._jdf.queryExecution().analyzed().toString()
