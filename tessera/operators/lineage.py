@@ -335,7 +335,7 @@ def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(table, column, change) between two schemas of (table, column, type, nullable)."""
     j = old.alias("o").join(new.alias("n"), ["table", "column"], "full")
     known = lambda df, name: df.select("table").distinct().withColumn(name, F.lit(True))
-    j = j.join(F.broadcast(known(old, "_o")), "table", "left").join(F.broadcast(known(new, "_n")), "table", "left")
+    j = j.join(known(old, "_o"), "table", "left").join(known(new, "_n"), "table", "left")
     change = (
         F.when(F.col("_n").isNull(), "drop_table").when(F.col("_o").isNull(), "add_table")
         .when(F.col("n.type").isNull(), "drop_column").when(F.col("o.type").isNull(), "add_column")

@@ -23,7 +23,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", has_header: b
     else:
         lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
         first = lines.groupBy("file").agg(F.min("at").alias("first"))  # a small file is one partition; a large one starts at its first
-        kept = lines.join(F.broadcast(first), "file").filter(F.col("at") - F.col("first") >= skip_rows)
+        kept = lines.join(first, "file").filter(F.col("at") - F.col("first") >= skip_rows)
         head = kept.orderBy("at").first() if has_header else None
         names = [c.strip() for c in head["value"].split(delimiter)] if head else None
         body = kept.filter(F.col("at") - F.col("first") > skip_rows) if has_header else kept
