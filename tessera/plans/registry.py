@@ -33,4 +33,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import governance_queries, quality_queries, scalar_queries, table_queries  # noqa: E402,F401
+from . import governance_queries, quality_queries, scalar_queries, source_queries, table_queries  # noqa: E402,F401
