@@ -89,10 +89,12 @@ def compare_aggregates(expected: DataFrame, actual: DataFrame, names: Sequence[s
 
 def integrity(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Row count and a checksum that no order of the rows changes: the sum of 60 bits of each row's MD5. Unlike an exclusive
-    or, equal rows don't cancel."""
+    or, equal rows don't cancel. The bits are summed in three parts of 20, which are long integers up to 8 trillion rows."""
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns or df.columns])
-    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(38,0)").alias("checksum"))
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+    parts = df.select(bits.alias("_b")).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.shiftright("_b", 20 * i).bitwiseAND((1 << 20) - 1)).alias(f"_{i}") for i in range(3)])
+    whole = [F.coalesce(F.col(f"_{i}"), F.lit(0)).cast("decimal(20,0)") * F.lit(1 << 20 * i).cast("decimal(13,0)") for i in range(3)]
+    return parts.select("rows", (whole[0] + whole[1] + whole[2]).cast("decimal(38,0)").alias("checksum"))
 
 
 def check_manifest(df: DataFrame, rows: int, checksum: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
