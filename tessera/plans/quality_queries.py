@@ -575,6 +575,24 @@ def type_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.type_by_name(names).select("c_custkey", "kind")
 
 
+_ENDINGS = ["Email", "cell", "address", "Town", "region", "zip-code", "country", "iso.country", "ssn", "cc number", "price", "created_at", "birthdate", "dt", "link", "guid", "ip", "uid", "sku", "product_id", "status", "desc", "plain"]
+
+
+@query("l10_kinds_by_name", f"""WITH n AS (SELECT p_partkey, translate(lower(CASE WHEN p_size % 3 > 0 THEN p_name || '_' ELSE '' END || {_ENDINGS}[p_partkey % {len(_ENDINGS)} + 1]), '- .', '___') AS n FROM part),
+    w AS (SELECT p_partkey, n, CASE n WHEN 'email' THEN 'email' WHEN 'cell' THEN 'phone' WHEN 'address' THEN 'address' WHEN 'town' THEN 'city' WHEN 'region' THEN 'state' WHEN 'zip_code' THEN 'postal_code' WHEN 'country' THEN 'country'
+        WHEN 'iso_country' THEN 'country_code' WHEN 'ssn' THEN 'ssn' WHEN 'cc_number' THEN 'credit_card' WHEN 'price' THEN 'currency_amount' WHEN 'created_at' THEN 'timestamp' WHEN 'birthdate' THEN 'date_of_birth' WHEN 'link' THEN 'url'
+        WHEN 'guid' THEN 'uuid' WHEN 'ip' THEN 'ip_address' WHEN 'uid' THEN 'user_id' WHEN 'sku' THEN 'sku' WHEN 'product_id' THEN 'product_code' WHEN 'status' THEN 'status' WHEN 'desc' THEN 'description' END AS whole,
+        CASE WHEN n LIKE '%\\_email' ESCAPE '\\' THEN 'email' WHEN contains(n, 'phone') OR contains(n, 'tel') THEN 'phone' WHEN ends_with(n, '_address') THEN 'address' WHEN ends_with(n, '_country') THEN 'country' WHEN ends_with(n, '_price') THEN 'currency_amount'
+        WHEN ends_with(n, '_at') THEN 'timestamp' WHEN ends_with(n, '_dt') THEN 'date' WHEN ends_with(n, '_link') THEN 'url' WHEN ends_with(n, '_guid') THEN 'uuid' WHEN ends_with(n, '_ip') THEN 'ip_address' WHEN ends_with(n, '_status') THEN 'status'
+        WHEN ends_with(n, '_desc') THEN 'description' END AS part FROM n)
+    SELECT p_partkey, coalesce(whole, part) AS kind, CASE WHEN whole IS NOT NULL THEN 0.9 WHEN part IS NOT NULL THEN 0.7 END::DOUBLE AS confidence FROM w""")
+def kinds_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts before names of columns, and these alone."""
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("p_partkey") % len(_ENDINGS) + 1).cast("int"))
+    before = F.when(F.col("p_size") % 3 > 0, F.concat("p_name", F.lit("_"))).otherwise("")
+    return profile.kinds_by_name(table(spark, sf_dir, "part").select("p_partkey", F.concat(before, ending).alias("column"))).select("p_partkey", "kind", "confidence")
+
+
 @query("m17_match_schemas", f"""WITH t AS (SELECT DISTINCT lower(p_type) AS a, lower(p_type) || 's' AS b, length(p_type) % 3 AS k FROM part)
     SELECT a AS source, b AS target, round(s, 6) AS confidence, CASE k WHEN 0 THEN 'safe' WHEN 1 THEN 'lossy' ELSE 'invalid' END AS conversion FROM ({_lexical_sql('a, b, k', 't')}) WHERE s >= 0.65""")
 def match_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,16 @@ def test_profile(spark):
     assert {r.column: r.kind for r in named.collect()} == {"Email_Address": "email", "x": None}
 
 
+def test_kinds_by_name(spark):
+    """Each listed name, ending and part; the first kind of those that share one; nulls and clashing columns stay."""
+    want = {w: (kind, 0.9) for kind, words in reversed(profile.COLUMN_KINDS.items()) for w in words.split() if w[0] not in "_*"}
+    want |= {"Ship-To.City": ("city", 0.7), "order price": ("currency_amount", 0.7), "my_hotel_id": ("phone", 0.7), "old_credit_card_no": ("credit_card", 0.7), "x": (None, None), "": (None, None), "LAST_STATE": ("state", 0.7)}
+    df = spark.createDataFrame([(w, "k") for w in want] + [(None, "k")], "column string, _other string")
+    got = {r["column"]: (r.kind, r.confidence) for r in profile.kinds_by_name(df).collect()}
+    assert got == want | {None: (None, None)}
+    assert len(profile.COLUMN_KINDS) > 20 and profile.kinds_by_name(df.limit(0)).columns == ["column", "_other", "kind", "confidence"]
+
+
 def test_match(spark):
     df = spark.createDataFrame([("martha", "marhta"), ("", ""), ("a", None), ("dixon", "dicksonx")], "a string, b string")
     got = [r[0] for r in df.select(match.jaro_winkler(F.col("a"), F.col("b"))).collect()]
