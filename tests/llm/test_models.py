@@ -154,6 +154,40 @@ def test_pieces(spark):
     assert len(cuts) == 6 and not cuts & other and len({tuple(r.piece_ids) for r in pieces.encode(one, dropout=0.0).collect()}) == 1
 
 
+def plain_cut(unit, draw, v, seed, dropout):
+    """Merge-dropout without an agenda: in each step all neighbours are looked at, and of those that have a piece and aren't
+    skipped the best, leftmost pair becomes one."""
+    from hashlib import blake2b
+
+    word = 1 << 64
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % word
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % word
+        return x ^ x >> 31
+
+    key = int.from_bytes(blake2b(digest_size=8, key=seed.to_bytes(8, "little", signed=True)).digest(), "little")
+    skipped = lambda at, piece: mixed(mixed(key ^ draw) ^ mixed((at * 0x9E3779B97F4A7C15 + v.ids[piece]) % word)) < int(dropout * word)
+    parts = [(i, "\u2581" if c == " " else c if c != "\u2581" else "\0\u2581") for i, c in enumerate(unit)]
+    while True:
+        pairs = [(-v.ranks[a + b], i, n) for n, ((i, a), (_, b)) in enumerate(zip(parts, parts[1:])) if a + b in v.ranks and not skipped(i, a + b)]
+        if not pairs:
+            break
+        _, i, n = min(pairs)
+        parts[n : n + 2] = [(i, parts[n][1] + parts[n + 1][1])]
+    return [i for _, p in parts for i in ([v.ids[p]] if p in v.ids else [v.bytes[b] for b in p.lstrip("\0").encode()])]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 0.9])
+def test_dropout_as_without_an_agenda(dropout):
+    v = pieces.load_vocabulary()
+    units = [" the", " international", "ungheit", "   x", "\u2581y", "\u00e9\U0001f600", " " * 20, " Wortzusammensetzung", "9", "abababababab", " antidisestablishmentarianism"]
+    for seed in (5, -3):
+        for draw in range(20):
+            for u in units:
+                assert pieces.cut_unit(u, draw, v, seed, dropout) == plain_cut(u, draw, v, seed, dropout)
+
+
 def test_pieces_vary_by_occurrence():
     """Each occurrence has draws of its own: the encoder gives what the heap gives for it, more than four cuts of a word come
     out, and one merge is skipped as often as dropout says."""
@@ -231,6 +265,13 @@ def test_neighbours_edges(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Of queries that repeat an id one is searched; candidates that repeat one count each."""
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.1]), (1, [2.0, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in ann.search(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 1), (0, 3, 2)]
+
+
 def words(rng, n):
     return [f"w{int(x)}" for x in rng.integers(4000, size=n)]
 
@@ -296,6 +337,21 @@ def test_near_dedup_repeats(spark):
     assert near_dedup.keep_one_of_each(spark.createDataFrame([(2, t), (2, t)], "doc_id long, text string")).count() == 1
 
 
+def test_near_dedup_of_long_texts(spark):
+    """Texts of 12,000 words: a copy with 200 words changed all over is near (some 0.85), one with a third of them is not, and one
+    whose halves are exchanged is not, as order counts."""
+    rng = np.random.default_rng(12)
+    base = words(rng, 12_000)
+    few, many = list(base), list(base)
+    for at in range(30, 12_000, 60):
+        few[at] = f"x{at}"
+    for at in range(0, 12_000, 3):
+        many[at] = f"y{at}"
+    texts = [base, few, many, base[6_000:] + base[:6_000]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_hot_group(spark):
     """A third of all rows in one group of near copies stays one class."""
     rng = np.random.default_rng(5)
