@@ -10,8 +10,8 @@ from ..operators import bitemporal, contracts, facts, lineage, privacy, reconcil
 from ..sources import change_log
 from ..streaming import cdc
 from ..streaming.buckets import BucketedState
+from .base import checkpoint_folder, query, table
 from .quality_queries import FREQUENCY, _values
-from .registry import checkpoint_folder, query, table
 
 
 def _checkpoints(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import functions
-from .registry import query, table
+from .base import query, table
 
 #: query -> (table, key, expression of the library, the same in the oracle's SQL)
 SCALARS: dict[str, tuple[str, str, str, str]] = {

@@ -12,9 +12,9 @@ from ..functions import models
 from ..operators import privacy
 from ..sources import change_log, readers, writers
 from ..streaming import cdc
+from .base import checkpoint_folder, query, table
 from .governance_queries import EVENTS, FIELDS, ROW, _envelopes, _subject
 from .quality_queries import _values
-from .registry import checkpoint_folder, query, table
 
 ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 

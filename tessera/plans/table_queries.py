@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import quality, relational, rows
 from ..sources import readers, writers
-from .registry import query, table
+from .base import query, table
 
 RULES = [
     {"field": "o_custkey", "rule": "NOT_NULL", "severity": "critical"},
