@@ -41,17 +41,22 @@ MARKS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\x00\x00\xfe\xff", "UTF-32BE"), (b"\xff\
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
-    """The first SNIFF_BYTES of a file; of a folder, those of its first file that has any."""
+    """The first SNIFF_BYTES of a file; of a folder, those of its first file that has more than one line, as a task without rows
+    writes a header alone; else of the first that has any."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     inside = [s.getPath() for s in files.listStatus(at) if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", "."))]
-    if not inside:
-        return b""
-    stream = files.open(min(inside, key=lambda p: p.toString()))
-    try:
-        return bytes(stream.readNBytes(SNIFF_BYTES))
-    finally:
-        stream.close()
+    first = b""
+    for p in sorted(inside, key=lambda p: p.toString()):
+        stream = files.open(p)
+        try:
+            head = bytes(stream.readNBytes(SNIFF_BYTES))
+        finally:
+            stream.close()
+        first = first or head
+        if len(head.decode(detect_encoding(head), "replace").splitlines()) > 1:
+            return head
+    return first
 
 
 def detect_encoding(head: bytes) -> str:
