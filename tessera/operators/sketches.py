@@ -13,6 +13,8 @@ from .match import value_overlap
 
 #: Size of a quantile sketch: with 1,000 ranks are within some 0.3 %.
 QUANTILE_K, RANK_ERROR = 1000, 0.005
+#: Values that a theta sketch holds at least, if there are more; how far, times the root of the values seen, a share may be off.
+THETA_K, DOUBT = 4096, 4.0
 #: Values that a task keeps of a column.
 ROOM = 4096
 
@@ -68,8 +70,9 @@ def frequent_values(df: DataFrame, column: str, k: int = 10, room: int = ROOM) -
 
 
 def estimated_overlap(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """(left_column, right_column, share): the estimated share of the smaller column's distinct values that the other has, for
-    columns of different tables, from a theta sketch of each: one row a column leaves the tables."""
+    """(left_column, right_column, share, seen): the estimated share of the smaller column's distinct values that the other has,
+    for columns of different tables, from a theta sketch of each: one row a column leaves the tables. ``seen``: how many of the
+    smaller one's values the share is counted from, at least; few if the other column has very many."""
     every = None
     for name, (df, columns) in tables.items():
         one = df.agg(*[F.theta_sketch_agg(F.col(c).cast("string")).alias(c) for c in columns])
@@ -79,14 +82,19 @@ def estimated_overlap(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) ->
     a, b = every.alias("a"), every.alias("b")
     size = lambda s: F.theta_sketch_estimate(s)
     met = a.join(b, (F.col("a.t") != F.col("b.t")) & (F.col("a.column") < F.col("b.column")))  # pairs of columns
+    small, large = (f(size(F.col("a.s")), size(F.col("b.s"))) for f in (F.least, F.greatest))
+    seen = F.when(large <= THETA_K, small).otherwise(small * THETA_K / large)  # a sketch holds the values whose hashes are least
     share = F.try_divide(size(F.theta_intersection("a.s", "b.s")), F.least(size(F.col("a.s")), size(F.col("b.s"))))
-    return met.select(F.col("a.column").alias("left_column"), F.col("b.column").alias("right_column"), F.coalesce(share, F.lit(0.0)).alias("share"))
+    return met.select(F.col("a.column").alias("left_column"), F.col("b.column").alias("right_column"), F.coalesce(share, F.lit(0.0)).alias("share"), seen.alias("seen"))
 
 
 def sketched_overlap(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], least: float, slack: float = 0.1) -> DataFrame:
     """:func:`match.value_overlap` of the pairs of columns that share ``least`` of the smaller one's values: sketches choose the
-    finalists, with ``slack`` for their error, and only their columns' values are shuffled."""
-    chosen = [(r["left_column"], r["right_column"]) for r in estimated_overlap(tables).filter(F.col("share") >= least - slack).collect()]  # pairs of columns
+    finalists, and only their columns' values are shuffled. A pair is left out if its estimate is below ``least`` by ``slack`` for
+    the sketches' sizes and by DOUBT for the share: by Hoeffding's bound one of 10^13 pairs is left out wrongly. A small column
+    against a very large one, of which hardly any value is in both sketches, is always counted."""
+    margin = slack + DOUBT / F.sqrt(F.greatest("seen", F.lit(1.0)))
+    chosen = [(r["left_column"], r["right_column"]) for r in estimated_overlap(tables).filter(F.col("share") >= least - margin).collect()]  # pairs of columns
     wanted = {c for pair in chosen for c in pair}
     few = {name: (df, [c for c in columns if f"{name}.{c}" in wanted]) for name, (df, columns) in tables.items()}
     few = {name: found for name, found in few.items() if found[1]}
