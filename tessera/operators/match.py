@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from pyspark.sql import types as T
 from .relational import top_k_per_group
 from .shared import checkpoint_folder
 
+#: Queries and vectors that are compared by one product, vectors of a block, what a component adds at most to the error of a product
+#: in single precision.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE, BLOCK, SINGLE = 256, 2048, 16384, 2.4e-7
+
 LEXICAL = {"levenshtein": 0.25, "jaro_winkler": 0.35, "tokens": 0.25, "substring": 0.15}
 # How sure a match by each rule is.
 RULE_CONFIDENCE = {"email": 0.95, "phone": 0.90, "ssn": 0.99, "name": 0.70, "address": 0.75, "tax_id": 0.98}
@@ -296,17 +301,67 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, least: float = -1.0, block: int = 1000) -> DataFrame:
+def _nearest(k: int, least: float):  # noqa: ANN202
+    """The pairs of a block of queries and a block of vectors that may be among the first k, and reach ``least``: products in single
+    precision against the k-th best so far, with room for their error, then in the order in which Spark and SQL add up."""
+
+    def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a))
+        for c in range(a.shape[1]):
+            out += a[:, c] * b[:, c]
+        return out
+
+    def run(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"_q": np.zeros(0, np.int64), "_v": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+        if not len(queries) or not len(vectors):
+            return none.astype({"_q": object, "_v": object})  # keys of any type
+        q, v = np.array(queries["x"].tolist(), np.float64), np.array(vectors["x"].tolist(), np.float64)
+        nq, nv = np.sqrt(in_order(q, q)), np.sqrt(in_order(v, v))
+        single_q, single_v = (q / nq[:, None]).astype(np.float32), (v / nv[:, None]).astype(np.float32).T.copy()
+        q_id, v_id, room = queries["id"].to_numpy(), vectors["id"].to_numpy(), (q.shape[1] + 4) * SINGLE
+        kept = []
+        for s in range(0, len(q), QUERIES_AT_ONCE):
+            rows = slice(s, s + QUERIES_AT_ONCE)
+            best, part = np.full(len(q_id[rows]), least), none
+            for w in range(0, len(v), VECTORS_AT_ONCE):
+                close = single_q[rows] @ single_v[:, w : w + VECTORS_AT_ONCE]
+                if w == 0 and k < close.shape[1]:
+                    close[q_id[rows][:, None] == v_id[None, :VECTORS_AT_ONCE]] = -2
+                    best = np.maximum(best, np.partition(close, -k, axis=1)[:, -k] - room)
+                i, j = np.nonzero(close >= (best - room).astype(np.float32)[:, None])
+                i, j = i + s, j + w
+                score = np.concatenate([np.zeros(0)] + [in_order(q[i[p : p + 65536]], v[j[p : p + 65536]]) / (nq[i[p : p + 65536]] * nv[j[p : p + 65536]]) for p in range(0, len(i), 65536)])
+                ok = (score >= least) & (q_id[i] != v_id[j])
+                part = pd.concat([part, pd.DataFrame({"_q": i[ok], "_v": j[ok], "similarity": score[ok]})])
+                if len(part) > k:
+                    part = part.assign(id=v_id[part["_v"]]).sort_values(["_q", "similarity", "id"], ascending=[True, False, True]).drop(columns="id")
+                    part = part[part.groupby("_q").cumcount() < k]
+                    full = part.groupby("_q")["similarity"].agg(["size", "min"])
+                    full = full[full["size"] == k]
+                    best[full.index.to_numpy() - s] = full["min"].to_numpy()
+            kept.append(part)
+        out = pd.concat(kept)
+        return pd.DataFrame({"_q": q_id[out["_q"]], "_v": v_id[out["_v"]], "similarity": out["similarity"]})
+
+    return run
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, least: float = -1.0, block: int = 8192) -> DataFrame:
     """(query, key, similarity, rank): a stated set of queries against all vectors. Both are dealt into blocks, and each
-    block of at most some ``block`` queries meets each block of vectors in one task, so neither side is broadcast."""
+    block of at most some ``block`` queries meets each block of vectors in one task, as one product, so neither side is broadcast.
+    Vectors that are null, zero or hold a null or non-finite component have no cosine, nor have two of different lengths."""
+    from .vectors import usable
+
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = -(-queries.count() // block) or 1
+    shape = lambda df: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x"))).withColumn("n", F.size("x"))
+    q, v = shape(queries), shape(vectors)
+    blocks, parts = -(-q.count() // block) or 1, max(parts, -(-vectors.count() // BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q")).withColumn("_i", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("_j", every(parts))
-    v = vectors.select(key, vector).withColumn("_j", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("_i", every(blocks))
-    pairs = v.join(q, ["_i", "_j"]).filter(F.col(key) != F.col("query"))
-    scored = pairs.select("query", key, cosine(F.col("_q"), F.col(vector)).alias("similarity")).filter(F.col("similarity") >= least)
-    return top_k_per_group(scored, ["query"], [F.desc("similarity"), F.col(key)], k)
+    q = q.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("j", every(parts))
+    v = v.withColumn("j", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("i", every(blocks))
+    kind = vectors.schema[key].dataType.simpleString()
+    scored = q.groupBy("i", "j", "n").cogroup(v.groupBy("i", "j", "n")).applyInPandas(_nearest(k, least), f"_q {kind}, _v {kind}, similarity double")
+    return top_k_per_group(scored.select(F.col("_q").alias("query"), F.col("_v").alias(key), "similarity"), ["query"], [F.desc("similarity"), F.col(key)], k)
 
 
 def match_schemas(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
