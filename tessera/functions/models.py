@@ -104,12 +104,13 @@ def resolve_by(df: DataFrame, by: Sequence[str], f: Callable[[pd.DataFrame], str
 def embed(df: DataFrame, column: str, size: int = 64, encoder: Callable[[list[str]], np.ndarray] | None = None, to: str = "vector") -> DataFrame:
     """A vector for each text by a user's encoder; by default hashed term counts scaled to length one, without Python."""
     if encoder is None:
+        let = lambda x, then: F.transform(F.array(x), then)[0]  # noqa: E731 one evaluation a row: a projection's columns are put in where they are used
         words = F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda w: w != "")
         slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter("_slots", lambda s: s == i)).cast("double"))
-        norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x * x))
-        out = df.withColumn("_slots", slots).withColumn("_counts", counts)
-        return out.withColumn(to, F.when(norm > 0, F.transform("_counts", lambda x: x / norm)).otherwise(F.col("_counts"))).drop("_slots", "_counts")
+        counts = lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double"))
+        norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+        scaled = lambda c: let(norm(c), lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(c))
+        return df.withColumn(to, let(slots, lambda s: let(counts(s), scaled)))
     shared = df.sparkSession.sparkContext.broadcast(encoder)
 
     @F.pandas_udf("array<double>")
