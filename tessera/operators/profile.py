@@ -79,32 +79,46 @@ def _long(df: DataFrame, parts: Sequence[Column]) -> DataFrame:
     return df.agg(F.array(*parts).alias("a")).select(F.inline("a"))
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
+def _distinct_values(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(column, distinct): each column grouped by itself, so that a task holds one column's values and no row is copied for
+    another column."""
+    one = lambda c, v: df.select(v.alias("v")).filter("v IS NOT NULL").distinct().agg(F.count(F.lit(1)).alias("distinct")).select(F.lit(c).alias("column"), "distinct")
+    return reduce(DataFrame.unionByName, [one(c, v) for c, v in values.items()])
+
+
+def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False, medians: bool = True) -> DataFrame:
     """A row for each column: rows, nulls, null share, distinct values, cardinality, smallest and largest (as text), and for
     numbers mean, median and population standard deviation, for texts the lengths.
 
     One pass with sketches: distinct values within some 1 % (one standard deviation), medians within 0.01 % of the rows'
-    ranks. ``exact`` counts distinct values, and ranks values for the medians, at the price of shuffles of all columns."""
-    parts, numeric = [], {}
+    ranks. ``exact`` counts distinct values, and ranks values for the medians, at the price of a shuffle of each column for
+    either; without ``medians`` these are null."""
+    parts, numeric, values = [], {}, {}
     for c in columns or df.columns:
         kind = df.schema[c].dataType
         v = F.when(present(F.col(c)), F.col(c))
         x = number(v) if not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.lit(None).cast("double")
         numeric[c] = x
-        distinct = F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.01)
+        values[c] = v
+        distinct = F.lit(None).cast("bigint") if exact else F.approx_count_distinct(v, 0.01)
         size = F.when(F.lit(isinstance(kind, T.StringType)), F.char_length(v.cast("string")))
         parts.append(F.struct(
             F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(~present(F.col(c))).alias("nulls"), F.try_divide(F.count_if(~present(F.col(c))) * 100.0, F.count(F.lit(1))).alias("null_percent"),
             distinct.alias("distinct_values"), F.try_divide(distinct, F.count(v)).alias("cardinality"), F.min(v).cast("string").alias("smallest"), F.max(v).cast("string").alias("largest"),
-            F.avg(x).alias("mean"), (F.lit(None) if exact else F.percentile_approx(x, 0.5)).cast("double").alias("median"), F.stddev_pop(x).alias("stddev"),
-            F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.avg(size).alias("avg_length"),
+            F.avg(x).alias("mean"), (F.percentile_approx(x, 0.5) if medians and not exact else F.lit(None)).cast("double").alias("median"), F.stddev_pop(x).alias("stddev"),
+            F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.avg(size).alias("avg_length"), F.count(v).alias("_some"),
         ))
+    found = _long(df, parts)
+    out = found.drop("_some")
     if not exact:
-        return _long(df, parts)
-    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), x.alias("value")) for c, x in numeric.items()])).alias("r")).select("r.*")
-    medians = percentiles(values, ["column"], F.col("value"), {"_median": 0.5})
-    out = _long(df, parts)
-    return out.join(medians, "column", "left").withColumn("median", F.col("_median")).select(*out.columns)
+        return out
+    counted = found.drop("distinct_values", "cardinality").join(F.broadcast(_distinct_values(df, values)), "column")  # a row a column
+    out = counted.withColumns({"distinct_values": F.col("distinct"), "cardinality": F.try_divide(F.col("distinct"), F.col("_some"))}).select(*out.columns)
+    if not medians:
+        return out
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), x.alias("value")) for c, x in numeric.items()])).alias("r")).select("r.*")
+    ranked = percentiles(long, ["column"], F.col("value"), {"_median": 0.5})
+    return out.join(ranked, "column", "left").withColumn("median", F.col("_median")).select(*out.columns)
 
 
 def unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -247,11 +261,11 @@ def scan_text(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({f"n_{k}": F.when(at if k == "email" else digit, F.regexp_count(column, F.lit(p))).otherwise(0) for k, p in IN_TEXT.items()})
 
 
-def profile_tables(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
+def profile_tables(tables: dict[str, DataFrame], exact: bool = False, medians: bool = True) -> DataFrame:
     """One profile of many tables, with the table's name."""
     out = None
     for name, df in tables.items():
-        part = profile(df, exact=exact).withColumn("table", F.lit(name))
+        part = profile(df, exact=exact, medians=medians).withColumn("table", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
