@@ -8,7 +8,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpoint_folder
+from .shared import checkpoint_folder, drop_stored, stored, stored_folder
 
 # Changes that break readers.
 BREAKING = ("drop_table", "drop_column", "change_type", "set_not_null", "drop_primary_key", "drop_foreign_key")
@@ -138,19 +138,36 @@ def trace(edges: DataFrame, starts: DataFrame, direction: str = "downstream", ma
     return out if out is not None else frontier.filter("false").withColumn("hops", F.lit(0))
 
 
-def _without_ends(edges: DataFrame) -> DataFrame:
-    """The edges that can be part of a cycle: those whose source has no edge to it, or whose target none from it, go until
-    none is left."""
-    checkpoint_folder(edges.sparkSession)
-    e = edges.select("src", "dst").distinct().checkpoint()
-    n = e.count()
-    while n:
-        kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
-        before, n = n, kept.count()
-        e = kept
-        if n == before:
+def _core(e: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) that can be part of a cycle: a node without an edge in or without one out goes, until all have both.
+    Edges in and out are counted once; then a round looks only for edges of nodes that went in the one before. ``e`` has no
+    nulls and is stored."""
+    spark = e.sparkSession
+    end = lambda df, c, n_out, n_in: df.select(F.col(c).alias("node"), F.lit(n_out).cast("bigint").alias("n_out"), F.lit(n_in).cast("bigint").alias("n_in"))
+    both = lambda a, b: a.unionByName(b).groupBy("node").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"))
+    nodes, n, went = stored(both(end(e, "src", 1, 0), end(e, "dst", 0, 1)), f"{at}/nodes-0"), 0, []
+    while True:
+        gone = stored(nodes.filter("n_out = 0 OR n_in = 0").select("node"), f"{at}/gone-{n}")  # small ones are sent to all tasks
+        if gone.isEmpty():
             break
-    return e
+        went.append(f"{at}/gone-{n}")
+        less = both(end(e.join(gone, e["src"] == gone["node"]), "dst", 0, 1), end(e.join(gone, e["dst"] == gone["node"]), "src", 1, 0))
+        less = less.select("node", F.col("n_out").alias("l_out"), F.col("n_in").alias("l_in"))
+        left = lambda c: (F.col(f"n_{c}") - F.coalesce(f"l_{c}", F.lit(0))).alias(f"n_{c}")
+        fewer = nodes.filter("n_out > 0 AND n_in > 0").join(less, "node", "left").select("node", left("out"), left("in"))
+        nodes, n = stored(fewer, f"{at}/nodes-{n + 1}"), n + 1
+        drop_stored(spark, f"{at}/nodes-{n - 1}")
+    if went:
+        gone = spark.read.schema(gone.schema).parquet(*went)
+        for c in ("src", "dst"):
+            e = e.join(gone.withColumnRenamed("node", c), c, "left_anti")
+    return e.select("src", "dst"), nodes.select("node")
+
+
+def _without_ends(edges: DataFrame) -> DataFrame:
+    """The distinct edges that can be part of a cycle (:func:`_core`)."""
+    at = stored_folder(edges.sparkSession, "edges")
+    return stored(_core(stored(edges.select("src", "dst").dropna(), f"{at}/all"), at)[0].distinct(), f"{at}/core")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -184,48 +201,58 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.join(whole, "c").select("node", F.col("c").alias("component"))
 
 
-def _contracted(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of trimmed edges without loops: rings (node, length) of nodes of one edge in and out; chains (node, chain) of such
+def _contracted(e: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of distinct core edges without loops: rings (node, length) of nodes of one edge in and out; chains (node, chain) of such
     nodes between others; and the edges (u, v, w, chain) that are left, a chain as one of its length. Each round doubles how
-    far a node of a chain sees, so there are as many as the logarithm of the longest."""
-    one = lambda c: e.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias(f"n_{c}"))
-    inner = one("src").join(one("dst"), "node").filter("n_src = 1 AND n_dst = 1").select("node")
-    inner = inner.checkpoint()
-    names = inner.withColumn("inside", F.lit(True))
-    p = e.join(inner, e["src"] == inner["node"]).select("node", F.col("dst").alias("to"), F.lit(1).cast("bigint").alias("len"), F.col("src").alias("end"), F.col("src").alias("least"))
-    p = p.join(names.withColumnRenamed("node", "to"), "to", "left").select("node", "to", "len", "end", "least", F.coalesce("inside", F.lit(False)).alias("on")).checkpoint()
-    before = -1
+    far a node of a chain sees, so there are as many as the logarithm of the longest. A ring is whole when the node behind
+    its least one sees that one again."""
+    spark, kind = e.sparkSession, e.schema["src"].dataType
+    none = F.lit(None).cast(kind)
+    ends = e.select(F.col("src").alias("node"), F.col("dst").alias("to"), none.alias("from")).unionByName(e.select(F.col("dst").alias("node"), none.alias("to"), F.col("src").alias("from")))
+    one = F.max("to").alias("to"), F.max("from").alias("from"), ((F.count("to") == 1) & (F.count("from") == 1)).alias("inner")
+    degrees = stored(ends.groupBy("node").agg(*one), f"{at}/degrees")
+    number = lambda n: F.lit(n).cast("bigint")
+    p = degrees.filter("inner").select("node", "to", "from", number(1).alias("len"), F.col("node").alias("end"), F.col("node").alias("least"), number(0).alias("ahead"), F.lit(True).alias("on"))
+    n = 0
     while True:
-        active = p.filter("on").count()
-        if not active:
+        far = p.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("len").alias("len2"), F.col("end").alias("end2"), F.col("least").alias("least2"), F.col("ahead").alias("ahead2"))
+        q = p.filter("on").join(far, "to", "left")
+        go, less = F.col("to2").isNotNull(), F.col("least2") < F.col("least")
+        pick = lambda a, b, when: F.when(when, b).otherwise(F.col(a)).alias(a)
+        q = q.select("node", pick("to", F.col("to2"), go), "from", pick("len", F.col("len") + F.col("len2"), go), pick("end", F.col("end2"), go), pick("least", F.col("least2"), less), pick("ahead", F.col("len") + F.col("ahead2"), less), go.alias("on"))
+        p, n = stored(q.unionByName(p.filter("NOT on")), f"{at}/seen-{n + 1}"), n + 1
+        if n > 1:
+            drop_stored(spark, f"{at}/seen-{n - 1}")
+        whole = p.filter("on AND `from` = least").select("least", (F.col("ahead") + 1).alias("length"))
+        if p.filter("on").count() == (whole.agg(F.sum("length")).first()[0] or 0):
             break
-        far = p.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("len").alias("len2"), F.col("end").alias("end2"), F.col("least").alias("least2"), F.col("on").alias("on2"))
-        q = p.join(far, "to", "left").withColumn("go", F.col("on"))
-        pick = lambda a, b: F.when(F.col("go"), b).otherwise(F.col(a)).alias(a)
-        q = q.select("node", pick("to", F.col("to2")), pick("len", F.col("len") + F.col("len2")), pick("end", F.col("end2")), pick("least", F.least("least", "least2")), pick("on", F.col("on2")), (F.col("go") & (F.col("least2") < F.col("least"))).alias("less")).checkpoint()
-        changed, p = bool(q.filter("less").take(1)), q.drop("less")
-        if not changed and active == before:  # the same least name all round: these are rings
-            break
-        before = active
-    ring = p.filter("on").select("node", "least")
-    rings = ring.join(ring.groupBy("least").agg(F.count(F.lit(1)).alias("length")), "least").select("node", "length")
-    chains = p.filter("NOT on").select("node", F.col("end").alias("chain"), "to", "len").checkpoint()
-    first = chains.groupBy("chain").agg(F.max("len").alias("len"), F.max_by("node", "len").alias("dst"), F.first("to").alias("v"))
-    long = first.join(e, "dst").select(F.col("src").alias("u"), "v", (F.col("len") + 1).alias("w"), "chain")
-    short = e.join(inner, e["src"] == inner["node"], "left_anti").join(inner, e["dst"] == inner["node"], "left_anti").select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).cast("bigint").alias("w"), F.lit(None).cast(chains.schema["chain"].dataType).alias("chain"))
-    return rings, chains.select("node", "chain"), short.unionByName(long).checkpoint()
+    rings = p.filter("on").join(whole, "least").select("node", "length")
+    chains = p.filter("NOT on").select("node", F.col("end").alias("chain"), "to", "from", "len")
+    long = chains.groupBy("chain").agg(F.max_by("from", "len").alias("u"), F.max("to").alias("v"), (F.max("len") + 1).alias("w")).select("u", "v", "w", "chain")
+    outer = stored(degrees.filter("NOT inner").select("node"), f"{at}/outer")
+    short = e.join(outer, e["src"] == outer["node"], "left_semi").join(outer, e["dst"] == outer["node"], "left_semi").select(F.col("src").alias("u"), F.col("dst").alias("v"), number(1).alias("w"), none.alias("chain"))
+    return rings, chains.select("node", "chain"), stored(short.unionByName(long), f"{at}/left")
+
+
+def _numbered(node: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), node)
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, length) of nodes that reach themselves, by the shortest way, however long.
 
-    What leads nowhere goes; chains and rings of nodes with one edge in and out are contracted; ways are sought between the
-    branching nodes of each strong component only. A ring of any size costs a few rounds and a row a node; a component costs
-    at most the square of its branching nodes."""
-    trimmed = _without_ends(edges)
-    loops = trimmed.filter("src = dst").select(F.col("src").alias("node"), F.lit(1).cast("bigint").alias("length"))
-    rings, chains, left = _contracted(_without_ends(trimmed.filter("src != dst")))
-    out = loops.unionByName(rings)
+    What leads nowhere goes; then nodes are numbers, their hashes by the first seed that gives no two the same; chains and
+    rings of nodes with one edge in and out are contracted; ways are sought between the branching nodes of each strong
+    component only. A ring of any size costs a few rounds and a row a node; a component costs at most the square of its
+    branching nodes."""
+    at, seed = stored_folder(edges.sparkSession, "cycles"), 0
+    e = stored(edges.select("src", "dst").dropna(), f"{at}/edges")
+    loops = e.filter("src = dst").select(F.col("src").alias("node"), F.lit(1).cast("bigint").alias("length"))
+    core, nodes = _core(e.filter("src != dst"), at)
+    while nodes.groupBy(_numbered(F.col("node"), seed)).count().filter("count > 1").take(1):
+        seed += 1
+    numbered = stored(core.select(_numbered(F.col("src"), seed).alias("src"), _numbered(F.col("dst"), seed).alias("dst")).distinct(), f"{at}/core")
+    out, chains, left = _contracted(numbered, at)
     if left.take(1):
         of = strong_components(left.select(F.col("u").alias("src"), F.col("v").alias("dst"))).checkpoint()
         c = lambda x: of.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
@@ -242,7 +269,10 @@ def cycles(edges: DataFrame) -> DataFrame:
         back = best.select(F.col("start").alias("v"), F.col("at").alias("u"), "d")
         round_ = inside.join(back, ["u", "v"], "left").filter("u = v OR d IS NOT NULL").select("u", "chain", (F.col("w") + F.when(F.col("u") == F.col("v"), 0).otherwise(F.col("d"))).alias("length"))
         out = out.unionByName(round_.select(F.col("u").alias("node"), "length")).unionByName(chains.join(round_, "chain").select("node", "length"))
-    return out.groupBy("node").agg(F.min("length").alias("length"))
+        out = out.groupBy("node").agg(F.min("length").alias("length"))
+    names = nodes.select(_numbered(F.col("node"), seed).alias("_n"), "node")
+    out = out.withColumnRenamed("node", "_n").join(names, "_n").select("node", "length")
+    return out.unionByName(loops).groupBy("node").agg(F.min("length").alias("length")) if loops.take(1) else out
 
 
 def impact(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
