@@ -24,15 +24,19 @@ ROW = "o_orderkey bigint, o_orderstatus string, o_totalprice double"
 FIELDS = ["o_orderkey", "o_orderstatus", "o_totalprice"]
 
 
-def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change events of orders: creates for all, updates where the key divides by 3, deletes where it divides by 10."""
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change events (e) of orders: creates for all, updates where the key divides by 3, deletes where it divides by 10."""
     o = table(spark, sf_dir, "orders").select(*FIELDS)
     row, newer = F.struct(*FIELDS), F.struct("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
     none = F.when(F.lit(False), row)
     e = lambda op, before, after, ts: F.struct(before.alias("before"), after.alias("after"), F.lit(op).alias("op"), F.lit(ts).alias("ts_ms"))
     k = F.col("o_orderkey")
     events = F.array_compact(F.array(e("c", none, row, 1), F.when(k % 3 == 0, e("u", row, newer, 2)), F.when(k % 10 == 0, e("d", row, none, 3))))
-    return o.select(F.explode(events).alias("e")).select(F.to_json("e").alias("value"))
+    return o.select(F.explode(events).alias("e"))
+
+
+def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(F.to_json("e").alias("value"))
 
 
 EVENTS = """(SELECT o_orderkey, 'create' AS operation, o_orderstatus, o_totalprice, 1 AS ts_ms FROM orders UNION ALL SELECT o_orderkey, 'update', 'X', o_totalprice + 1, 2 FROM orders WHERE o_orderkey % 3 = 0
@@ -72,10 +76,11 @@ def _logged(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
     import uuid
 
     at = f"{checkpoint_folder(spark)}/log-{uuid.uuid4().hex}"
-    e = _envelopes(spark, sf_dir).select(F.get_json_object("value", "$.op").alias("op"), F.coalesce(F.get_json_object("value", "$.after.o_orderkey"), F.get_json_object("value", "$.before.o_orderkey")).alias("key"), "value")
-    change_log.append_log(e.filter("op = 'c'"), at)
+    e, key = _events(spark, sf_dir), F.coalesce("e.after.o_orderkey", "e.before.o_orderkey").cast("string").alias("key")
+    send = lambda which: change_log.append_log(e.filter(which).select(key, F.to_json("e").alias("value")), at)
+    send("e.op = 'c'")
     between = change_log.log_position(at)
-    change_log.append_log(e.filter("op != 'c'"), at)
+    send("e.op != 'c'")
     return at, between
 
 

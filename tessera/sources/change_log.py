@@ -13,12 +13,13 @@ import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "partition int, offset bigint, key string, value string"
 MESSAGE = pa.schema([("key", pa.string()), ("value", pa.string())])
@@ -86,8 +87,8 @@ def read_slice(path: str, s: Slice) -> Iterator[pa.RecordBatch]:
             a, b = max(s.low - at, 0), min(s.high - at, len(batch))
             if a < b:
                 part = batch.slice(a, b - a)
-                numbers = pa.array(range(at + a, at + b), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([s.partition] * len(part), pa.int32()), numbers, part.column("key"), part.column("value")], ["partition", "offset", "key", "value"])
+                numbers = pa.array(np.arange(at + a, at + b))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), s.partition, np.int32)), numbers, part.column("key"), part.column("value")], ["partition", "offset", "key", "value"])
             at += len(batch)
 
 
@@ -138,29 +139,31 @@ class LogStream(DataSourceStreamReader):
         pass
 
 
-class LogWriter(DataSourceWriter, DataSourceStreamWriter):
-    """Writes ``key`` and ``value``; equal keys go to one partition."""
+class LogWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
+    """Writes ``key`` and ``value``; equal keys go to one partition. Rows come and stay in Arrow batches."""
 
     def __init__(self, options: Mapping[str, str]):
         self.options, self.many = dict(options), int(options.get("partitions", PARTITIONS))
 
-    def write(self, iterator: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         folder, waiting, open_ = Folder(self.options["path"]), {}, {}
         folder.files.create_dir(f"{folder.root}/segments", recursive=True)
 
         def flush(p: int) -> None:
-            rows = waiting.pop(p)
+            rows = pa.Table.from_batches(waiting.pop(p))
             if p not in open_:
                 name = f"{uuid.uuid4().hex}-{p}.parquet"
                 open_[p] = [pq.ParquetWriter(f"{folder.root}/segments/{name}", MESSAGE, filesystem=folder.files), 0, name]
-            open_[p][0].write_table(pa.table({"key": [k for k, _ in rows], "value": [v for _, v in rows]}, MESSAGE))
+            open_[p][0].write_table(rows)
             open_[p][1] += len(rows)
 
-        for row in iterator:
-            p = zlib.crc32((row["key"] or "").encode()) % self.many
-            waiting.setdefault(p, []).append((row["key"], row["value"]))
-            if len(waiting[p]) >= ROWS_AT_ONCE:
-                flush(p)
+        for batch in iterator:
+            batch = pa.RecordBatch.from_arrays([batch.column(c).cast(pa.string()) for c in MESSAGE.names], schema=MESSAGE)
+            to = np.array([zlib.crc32((k or "").encode()) for k in batch.column("key").to_pylist()], np.int64) % self.many
+            for p in np.unique(to).tolist():
+                waiting.setdefault(p, []).append(batch.take(pa.array(np.flatnonzero(to == p))))
+                if sum(map(len, waiting[p])) >= ROWS_AT_ONCE:
+                    flush(p)
         for p in list(waiting):
             flush(p)
         for writer, _, _ in open_.values():

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BUCKETS, KEEP = 64, 2
+BUCKETS, KEEP, ROWS_A_TASK = 64, 2, 1_000_000
 
 
 class BucketedState:
@@ -47,7 +47,7 @@ class BucketedState:
 
     def _read(self, live: dict[int, int], schema: StructType) -> DataFrame:
         if not live:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])  # no Python tasks for nothing
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/data/version={v}/_bucket={b}" for b, v in sorted(live.items())])
 
     def frame(self, version: int | None = None) -> DataFrame:
@@ -83,8 +83,10 @@ class BucketedState:
             same = c if same is None else same & c
         rest = old.join(last, same, "left_anti")
         new = rest.unionByName(last.filter("operation != 'delete'").select(*self.fields)).withColumn("_bucket", self.bucket())
-        data = f"{self.path}/data/version={epoch}"
-        new.repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(data)
+        data, tasks = f"{self.path}/data/version={epoch}", max(1, len(touched))
+        parts = 1 + (old.count() + last.count()) // (tasks * ROWS_A_TASK)  # of a bucket; the counts are in the files' footers
+        part = F.pmod(F.hash(*self.keys), F.lit(parts))
+        new.repartition(tasks * parts, "_bucket", part).write.mode("overwrite").partitionBy("_bucket").parquet(data)
         wrote = self._numbers(data, "_bucket=")
         now = {b: v for b, v in live.items() if b not in touched} | dict.fromkeys(wrote, epoch)
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
